@@ -35,6 +35,11 @@ def normalized(value: Column, lo: Column, hi: Column) -> Column:
     return F.try_divide(value - lo, hi - lo)
 
 
+def fixed(c: Column, digits: int = 12) -> Column:
+    """A computed double without the noise of its last bits, and without a negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def round_even(c: Column | str, digits: int) -> Column:
     """Rounding with ties to the even digit.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import month_start
-from ..functions.scores import normalized, score_label
+from ..functions.scores import fixed, normalized, score_label
 from .rollup import monthly_mean_volume
 
 # The media, in the order their columns are laid out.
@@ -42,7 +42,7 @@ def media_summary(
     days = days.filter(F.col("_media") == len(media)).drop("_media").fillna(0)
     if limited is not None:
         days = days.filter(F.col(f"{limited}_count") < limit)
-    mean = _sum([f"{m}_sentiment" for m in media]) / len(media)
+    mean = fixed(_sum([f"{m}_sentiment" for m in media]) / len(media))
     return (
         days.withColumn("sentiment", mean)
         .withColumn("norm_sent", normalized(F.col("sentiment"), F.lit(-1.0), F.lit(1.0)))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import month_key
-from ..functions.scores import NEGATIVE, POSITIVE, mid_price, normalized, score_label, signed_score
+from ..functions.scores import NEGATIVE, POSITIVE, fixed, mid_price, normalized, score_label, signed_score
 from ..functions.text import strip_quotes
 from .common import attach
 
@@ -43,7 +43,7 @@ def daily_sentiment(info: DataFrame, keys: Sequence[str] = (), require_both: boo
         signed_daily(info)
         .groupBy(*keys, "date")
         .agg(
-            (F.sum(count * F.col("signed_score")) / F.sum(count)).alias("sentiment"),
+            fixed(F.sum(count * F.col("signed_score")) / F.sum(count)).alias("sentiment"),
             F.sum(count).alias("count"),
             F.sum(F.when(F.col("label") == NEGATIVE, count)).alias("negatives"),
             F.sum(F.when(F.col("label") == POSITIVE, count)).alias("positives"),

@@ -63,7 +63,7 @@ bounds AS (
   FROM ({spans} UNION ALL SELECT min(date), max(date) FROM market)),
 perday AS (
   SELECT {k} date,
-         sum(n * CASE WHEN replace(label, '"', '') = 'POSITIVE' THEN conf ELSE -conf END) / sum(n) + 0e0 AS sentiment,
+         round(sum(n * CASE WHEN replace(label, '"', '') = 'POSITIVE' THEN conf ELSE -conf END) / sum(n), 12) + 0e0 AS sentiment,
          CAST(sum(n) AS BIGINT) AS n,
          CAST(sum(n) FILTER (replace(label, '"', '') = 'NEGATIVE') AS BIGINT) AS negatives,
          CAST(sum(n) FILTER (replace(label, '"', '') = 'POSITIVE') AS BIGINT) AS positives
@@ -116,11 +116,12 @@ ranked AS (
         FROM ranked GROUP BY {g}"""
         )
     join = ", ".join(f"'{m}'" for m in methods)
+    gb = g.replace(k, "", 1) if k else g
     return f"""
-grid AS (SELECT DISTINCT {ak} {cut_columns} s.k FROM series a CROSS JOIN {_steps(offsets)} s{cut}),
-pairs AS (
-  SELECT {ak} {cut_columns} s.k, a.x, b.y
-  FROM series a CROSS JOIN {_steps(offsets)} s{cut} JOIN series b ON b.i = a.i + s.k{on}),
+shifted AS MATERIALIZED (
+  SELECT {ak} {cut_columns} s.k, a.i + s.k AS j, a.x FROM series a CROSS JOIN {_steps(offsets)} s{cut}),
+grid AS (SELECT DISTINCT {g} FROM shifted),
+pairs AS (SELECT {ak} {gb}, a.x, b.y FROM shifted a JOIN series b ON b.i = a.j{on}),
 {ranks},
 found AS ({' UNION ALL '.join(parts)}),
 methods AS (SELECT unnest([{join}]) AS method),
@@ -216,10 +217,8 @@ p{k + 1} AS (
   SELECT date, {value}, y, t, (t - tpp / norm) * p - {beta} * prev AS p, p AS prev, fit + yp / norm * p AS fit,
          norm AS prev_norm FROM m{k})"""
         )
-    shown = _r(value, digits) if value == "mid_price" else 'n AS "count"'
-    shown = f"{shown} AS mid_price" if value == "mid_price" else shown
     return f"""WITH {base}, {','.join(steps)}
-SELECT {_day('date')} AS date, {shown}, {_r('fit', digits)} AS trend FROM p{degree + 1}"""
+SELECT {_day('date')} AS date, {_r('fit', digits)} AS trend FROM p{degree + 1}"""
 
 
 _picks = ", ".join(
@@ -230,10 +229,10 @@ _picks = ", ".join(
 SUMMARY = f"""{BY_MEDIUM}, {PRICES},
 wide AS (SELECT date, {_picks} FROM daily GROUP BY date HAVING count(DISTINCT medium) = 4),
 summary AS (
-  SELECT *, ({' + '.join(m + '_sentiment' for m in MEDIA)}) / 4 AS sentiment,
-         (({' + '.join(m + '_sentiment' for m in MEDIA)}) / 4 + 1) / 2 AS norm_sent,
-         {' + '.join(m + '_count' for m in MEDIA)} AS n
-  FROM wide WHERE twitter_count < 100000),
+  SELECT *, (sentiment + 1) / 2 AS norm_sent
+  FROM (SELECT *, round(({' + '.join(m + '_sentiment' for m in MEDIA)}) / 4, 12) + 0e0 AS sentiment,
+               {' + '.join(m + '_count' for m in MEDIA)} AS n FROM wide)
+  WHERE twitter_count < 100000),
 media_prices AS (
   SELECT * FROM prices WHERE date BETWEEN (SELECT min(date) FROM summary) AND (SELECT max(date) FROM summary))"""
 
@@ -278,11 +277,10 @@ def _sentences(source: str, keys: str) -> str:
     """CTE ``sent``: one row per sentence."""
     return f"""
 marked AS (
-  SELECT {keys}, list_filter(
-           list_transform(
-             string_split(regexp_replace({_cleaned('text')}, '([.!?]["''\\)\\]]?)[ \\t\\r\\n\\f]+', '\\1' || chr(30), 'g'), chr(30)),
-             s -> trim(s, ' ' || chr(9) || chr(13) || chr(12))),
-           s -> s <> '') AS parts FROM {source}),
+  SELECT {keys}, [s FOR s IN
+           [trim(s, ' ' || chr(9) || chr(13) || chr(12)) FOR s IN
+             string_split(regexp_replace({_cleaned('text')}, '([.!?]["''\\)\\]]?)[ \\t\\r\\n\\f]+', '\\1' || chr(30), 'g'), chr(30))]
+           IF s <> ''] AS parts FROM {source}),
 sent AS (
   SELECT {keys}, CAST(pos - 1 AS INTEGER) AS pos, parts[pos] AS sentence
   FROM (SELECT {keys}, parts, unnest(range(1, len(parts) + 1)) AS pos FROM marked))"""
@@ -290,8 +288,8 @@ sent AS (
 
 _SCORED = f"""
 counted AS (
-  SELECT *, len(list_filter(words, w -> w IN ({_values(POSITIVE_WORDS)}))) AS p,
-         len(list_filter(words, w -> w IN ({_values(NEGATIVE_WORDS)}))) AS n
+  SELECT *, len([w FOR w IN words IF w IN ({_values(POSITIVE_WORDS)})]) AS p,
+         len([w FOR w IN words IF w IN ({_values(NEGATIVE_WORDS)})]) AS n
   FROM (SELECT *, regexp_extract_all(lower(sentence), '\\p{{L}}+') AS words FROM sent)),
 scored AS (
   SELECT * EXCLUDE (words, sentence, p, n), CASE WHEN p > n THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label,
@@ -349,8 +347,9 @@ def _tidy(expr: str) -> str:
 _TITLE_SQL = _tidy("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')")
 _BODY = f"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<title[^>]*>(.*?)</title>', '', 'g'),
   '{_DROPPED}', '', 'g'), '{_BREAK}', chr(30), 'g')"""
-_TEXT_SQL = f"""array_to_string(list_filter(list_transform(string_split({_BODY}, chr(30)),
-  s -> {_tidy("regexp_replace(s, '(?s)<[^>]*>', '', 'g')")}), s -> s <> ''), chr(10) || chr(10))"""
+_PARAGRAPH = _tidy("regexp_replace(s, '(?s)<[^>]*>', '', 'g')")
+_TEXT_SQL = f"""array_to_string([s FOR s IN [{_PARAGRAPH} FOR s IN string_split({_BODY}, chr(30))] IF s <> ''],
+  chr(10) || chr(10))"""
 
 
 def _monthly(keys: tuple[str, ...]) -> str:
@@ -500,8 +499,8 @@ WHERE username IS NOT NULL AND tweets BETWEEN 0 AND 40 AND retweets BETWEEN 0 AN
     "user_words_long": f"""WITH {USER_POSTS}
 SELECT viz, CAST(trunc(words_avg) AS INTEGER) AS words_avg FROM users CROSS JOIN (SELECT unnest(['outliers', 'no outliers']) AS viz)""",
     "format_datetimes": f"""WITH {RAW_TIMES}, read AS (
-  SELECT event_id, CASE kind WHEN 0 THEN ts WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) END AS at FROM raw)
-SELECT event_id, strftime(at, '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('at')} AS date, at IS NOT NULL AS formatted FROM read""",
+  SELECT event_id, CASE kind WHEN 0 THEN ts WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) END AS t FROM raw)
+SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('t')} AS date, t IS NOT NULL AS formatted FROM read""",
     "datetime_rejects": f"""WITH {RAW_TIMES} SELECT event_id, 'n/a ' || event_id AS datetime FROM raw WHERE kind = 3""",
     "datetime_format_check": f"""WITH {RAW_TIMES}
 SELECT CASE WHEN kind < 3 THEN true END AS after, kind < 3 AS formatted, count(*) AS rows FROM raw GROUP BY 1, 2""",
@@ -568,7 +567,8 @@ done AS (SELECT role, coalesce(label, 'NEUTRAL') AS label, coalesce(conf, 0e0) A
 SELECT role, label, count(*) AS "count", {_r('avg(conf)')} AS conf FROM done GROUP BY 1, 2""",
     "csv_export_and_read": f"""WITH {POSTS}
 SELECT {_day('date')} AS date, label, count(*) AS "count", {_r('avg(conf)')} AS conf FROM posts GROUP BY date, label""",
-    "csv_drops_malformed": "SELECT o_orderkey AS orderkey, o_orderpriority AS priority FROM orders WHERE o_orderkey % 5 <> 0",
+    "csv_malformed_lines": """SELECT 'x' || o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0""",
+    "csv_drops_malformed": f"SELECT o_orderpriority AS priority, {_r('o_totalprice')} AS price FROM orders WHERE o_orderkey % 5 <> 0",
     "headerless_articles": f"""SELECT nullif({_TITLE_SQL}, '') AS title, media, url AS link, sha256({_TEXT_SQL}) AS text
 FROM pages CROSS JOIN (SELECT unnest([NULL, 'second run']) AS media)""",
     "found_files": """SELECT o_orderkey AS orderkey, o_orderpriority AS priority FROM orders
