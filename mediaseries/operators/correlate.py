@@ -131,7 +131,7 @@ def lagged_correlation(
 
     Pearson and Spearman share one pass over the pairs. Spearman ranks are made
     anew for each group, over the pairs that exist there. Groups without a
-    result stay, with NULL.
+    result stay, with NULL; a lone series has a row for every offset even when empty.
     """
     unknown = set(methods) - set(METHODS)
     if unknown:
@@ -154,6 +154,10 @@ def lagged_correlation(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    if not keys and not window_sizes:
+        grid = series.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+        grid = grid.select("method", F.explode(_offset_array(offsets)).alias("offset"))
+        out = grid.join(out, ["method", "offset"], "left")
     return out.select(*groups[:-1], "method", "offset", "correlation")
 
 

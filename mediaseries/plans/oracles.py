@@ -120,7 +120,7 @@ ranked AS (
     return f"""
 shifted AS MATERIALIZED (
   SELECT {ak} {cut_columns} s.k, a.i + s.k AS j, a.x FROM series a CROSS JOIN {_steps(offsets)} s{cut}),
-grid AS (SELECT DISTINCT {g} FROM shifted),
+grid AS ({f"SELECT DISTINCT {g} FROM shifted" if keys or sizes else f"SELECT k FROM {_steps(offsets)}"}),
 pairs AS (SELECT {ak} {gb}, a.x, b.y FROM shifted a JOIN series b ON b.i = a.j{on}),
 {ranks},
 found AS ({' UNION ALL '.join(parts)}),
@@ -520,7 +520,7 @@ SELECT count(*) AS total, count(*) FILTER (NOT named) AS pending, count(*) FILTE
 UNION ALL
 SELECT count(*), count(*) FILTER (NOT (named OR known)), count(*) FILTER (named OR known), 'after' FROM c""",
     "numeric_ids": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id END AS id FROM events",
-    "merge_by_text": f"""WITH d AS (
+    "merge_upsert_text": f"""WITH d AS (
   SELECT {_TRIMMED} AS text, doc_id, doc_id % 2 AS rank, CASE WHEN doc_id % 2 = 1 THEN lang END AS lang,
          CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS source, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS n_chars
   FROM documents)
@@ -528,7 +528,7 @@ SELECT text, arg_min(doc_id, (rank, doc_id)) AS doc_id, arg_min(lang, (rank, doc
        coalesce(arg_min(source, (rank, doc_id)) FILTER (source <> ''), '') AS source,
        arg_min(n_chars, (rank, doc_id)) FILTER (n_chars IS NOT NULL) AS n_chars
 FROM d GROUP BY text""",
-    "merge_by_id": """WITH gaps AS (
+    "merge_upsert_id": """WITH gaps AS (
   SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN lang END AS lang, source, n_chars FROM documents WHERE doc_id % 3 <> 0),
 fill AS (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0),
 rest AS (SELECT doc_id, upper(lang) AS lang, source, n_chars + 1 AS n_chars FROM documents)

@@ -608,13 +608,13 @@ _DOC_BY_ID = T.StructType([f for f in _DOC.fields if f.name != "text"])
 
 
 @query
-def merge_by_text(spark, d):
+def merge_upsert_text(spark, d):
     """Two document tables folded by text; blanks yield to later values."""
     return merge.merge_upsert(views.two_sources(spark, d), "text", _DOC, ["doc_id"], blank_is_missing=True, trim=True)
 
 
 @query
-def merge_by_id(spark, d):
+def merge_upsert_id(spark, d):
     """Three document tables folded by id."""
     return merge.merge_upsert(views.id_sources(spark, d), "doc_id", _DOC_BY_ID, ["doc_id"])
 
