@@ -9,22 +9,24 @@ from pyspark.sql import Column, functions as F
 
 from .text import strip_quotes
 
-# The two layouts tried after epoch seconds.
-PATTERNS = ("h:m a - d MMM yyyy", "yyyy-M-d")
+# The two layouts tried after epoch seconds, each behind the shape a text must have.
+PATTERNS = (
+    (r"^[0-9]{1,2}:[0-9]{1,2} [AaPp][Mm] - ", ("h:m a - d MMM yyyy",)),
+    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", ("yyyy-M-d",)),
+)
 
 # Layouts met in exports of posts, tried in this order once the fixed ones have failed.
 FREE_PATTERNS = (
-    "yyyy-M-d'T'H:m:s[.SSSSSS][.SSS][XXX][X]",
-    "yyyy-M-d H:m:s[.SSSSSS][.SSS][ ][XXX][X]",
-    "yyyy-M-d H:m[XXX]",
-    "yyyy/M/d[ H:m[:s]]",
-    "M/d/yyyy[ H:m[:s]]",
-    "M/d/yyyy h:m[:s] a",
-    "MMM d H:m:s Z yyyy",
-    "d MMM yyyy[ H:m[:s]][ Z]",
-    "MMM d, yyyy[ H:m[:s]]",
-    "MMMM d, yyyy[ H:m[:s]]",
-    "d MMMM yyyy[ H:m[:s]]",
+    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T", ("yyyy-M-d'T'H:m:s[.SSSSSS][.SSS][XXX][X]",)),
+    (
+        r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]",
+        ("yyyy-M-d H:m:s[.SSSSSS][.SSS][ ][XXX][X]", "yyyy-M-d H:m[XXX]"),
+    ),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]", ("yyyy/M/d[ H:m[:s]]",)),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", ("M/d/yyyy[ H:m[:s]]", "M/d/yyyy h:m[:s] a")),
+    (r"^[A-Za-z]{3,9} [0-9]{1,2} [0-9]", ("MMM d H:m:s Z yyyy",)),
+    (r"^[A-Za-z]{3,9} [0-9]{1,2},", ("MMM d, yyyy[ H:m[:s]]", "MMMM d, yyyy[ H:m[:s]]")),
+    (r"^[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", ("d MMM yyyy[ H:m[:s]][ Z]", "d MMMM yyyy[ H:m[:s]]")),
 )
 
 _WEEKDAY = r"(?i)^\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
@@ -56,18 +58,26 @@ def _dateutil(text: pd.Series) -> pd.Series:
     return pd.Series([one(v) for v in text], dtype="datetime64[us]")
 
 
-def parse_datetime(raw: Column | str, patterns: Sequence[str] = FREE_PATTERNS, dateutil: bool = False) -> Column:
+def _read(text: Column, layouts) -> list[Column]:
+    """One attempt per layout, made only for texts of its shape: a failed attempt is dear."""
+    return [
+        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+        for shape, patterns in layouts
+        for pattern in patterns
+    ]
+
+
+def parse_datetime(
+    raw: Column | str, free: Sequence[tuple[str, Sequence[str]]] = FREE_PATTERNS, dateutil: bool = False
+) -> Column:
     """Timestamp from epoch seconds, then the fixed layouts, then free-form layouts, else NULL.
 
     ``dateutil=True`` adds a vectorised last resort outside the JVM. It is sent
     NULL for every text the built-in layouts have read.
     """
     text = strip_quotes(raw)
-    tries = [epoch_timestamp(text)]
-    tries += [F.try_to_timestamp(text, F.lit(p)) for p in PATTERNS]
     bare = F.regexp_replace(text, _WEEKDAY, "")
-    tries += [F.try_to_timestamp(bare, F.lit(p)) for p in patterns]
-    known = F.coalesce(*tries)
+    known = F.coalesce(epoch_timestamp(text), *_read(text, PATTERNS), *_read(bare, free))
     if not dateutil:
         return known
     guess = F.pandas_udf(_dateutil, "timestamp")

@@ -25,8 +25,12 @@ HTML_STEPS = (
     ("\n", ""),
 )
 
+# The same blanks as a Java class: the Unicode property plus the four information separators.
+_NOT_BLANK = r"(?U)[^\s\x1c-\x1f]+"
+
 # A sentence ends at . ! or ?, perhaps inside a closing quote or bracket, before a blank.
-SENTENCE_BREAK = r"""(?<=[.!?]|[.!?]["')\]])[ \t\r\n\f]+"""
+_SENTENCE_END = r"""([.!?]["')\]]?)[ \t\r\n\f]+"""
+_MARK = "\uffff"  # a noncharacter, which no text holds
 
 
 def _col(c: Column | str) -> Column:
@@ -48,7 +52,7 @@ def none_to_null(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(_col(c), F.lit(f"[^{BLANKS}]+"))
+    return F.regexp_count(_col(c), F.lit(_NOT_BLANK))
 
 
 def clean_html(c: Column | str) -> Column:
@@ -63,7 +67,8 @@ def clean_html(c: Column | str) -> Column:
 
 def split_sentences(c: Column | str) -> Column:
     """Array of non-empty sentences in text order."""
-    parts = F.transform(F.split(_col(c), SENTENCE_BREAK), lambda s: F.btrim(s, F.lit(BLANKS)))
+    marked = F.regexp_replace(_col(c), _SENTENCE_END, f"$1{_MARK}")
+    parts = F.transform(F.split(marked, _MARK), lambda s: F.btrim(s, F.lit(BLANKS)))
     return F.filter(parts, lambda s: s != "")
 
 

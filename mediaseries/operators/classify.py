@@ -33,13 +33,12 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str]) -> Scorer:
         raise ValueError("lexicon too long for the plan; use score_with_lexicon_table")
 
     def score(sentences: Column) -> Column:
-        def one(sentence: Column) -> Column:
-            words = letters_only_words(sentence)
-            p = F.size(F.filter(words, lambda w: w.isin(list(positive))))
-            n = F.size(F.filter(words, lambda w: w.isin(list(negative))))
-            return F.struct(p.alias("p"), n.alias("n"))
+        def hits(words: Column, listed: Sequence[str]) -> Column:
+            return F.size(F.filter(words, lambda w: w.isin(list(listed))))
 
-        counted = F.filter(F.transform(sentences, one), lambda s: s["p"] != s["n"])
+        worded = F.transform(sentences, letters_only_words)
+        counts = F.transform(worded, lambda ws: F.struct(hits(ws, positive).alias("p"), hits(ws, negative).alias("n")))
+        counted = F.filter(counts, lambda s: s["p"] != s["n"])
         return F.transform(
             counted,
             lambda s: F.struct(
@@ -78,7 +77,7 @@ def model_scorer(load: Callable[[], Model], mini_batch: int = 500) -> Scorer:
 
 
 def verdict(scores: Column) -> Column:
-    """(label, conf) of a text: the label with the highest mean confidence, the first seen on a draw.
+    """Struct with ``label`` and ``conf`` of a text: the label with the highest mean confidence, the first seen on a draw.
 
     Means are compared at 12 decimals. No scored sentence means NEUTRAL with 0.
     """
@@ -89,11 +88,11 @@ def verdict(scores: Column) -> Column:
         return F.round(total / F.size(own), 12)
 
     labels = F.array_distinct(F.transform(scores, lambda s: s["label"]))
-    best = F.array_max(
-        F.transform(labels, lambda l, k: F.struct(mean(l).alias("conf"), (-k).alias("first"), l.alias("label")))
+    ranked = F.transform(
+        labels, lambda name, k: F.struct(mean(name).alias("conf"), (-k).alias("first"), name.alias("label"))
     )
-    neutral = F.struct(F.lit(NEUTRAL).alias("label"), F.lit(0.0).alias("conf"))
-    return F.coalesce(F.when(best.isNotNull(), F.struct(best["label"].alias("label"), best["conf"].alias("conf"))), neutral)
+    neutral = F.struct(F.lit(0.0).alias("conf"), F.lit(0).alias("first"), F.lit(NEUTRAL).alias("label"))
+    return F.coalesce(F.array_max(ranked), neutral)
 
 
 def classify(df: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:

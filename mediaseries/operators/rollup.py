@@ -93,8 +93,8 @@ def common_range(*frames: DataFrame, keys: Sequence[str] = (), date: str = "date
 
 def in_range(df: DataFrame, bounds: DataFrame, date: str = "date") -> DataFrame:
     """Rows whose date lies in the inclusive range that ``bounds`` holds."""
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    return df.filter((F.col(date) >= lo) & (F.col(date) <= hi))
+    span = bounds.select(F.struct("lo", "hi").alias("span")).scalar()
+    return df.filter(F.col(date).between(span["lo"], span["hi"]))
 
 
 def distinct_dates(*frames: DataFrame, date: str = "date") -> DataFrame:
@@ -105,9 +105,12 @@ def distinct_dates(*frames: DataFrame, date: str = "date") -> DataFrame:
     return dates.distinct()
 
 
-def price_frame(market: DataFrame, dates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mid price on the given dates, and its place between its lowest and highest."""
-    prices = market.dropna("any").join(dates.select("date").distinct(), "date").withColumn("mid_price", mid_price())
+def price_frame(market: DataFrame, dates: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Mid price, and its place between its lowest and highest; only on ``dates`` if given."""
+    prices = market.dropna("any")
+    if dates is not None:
+        prices = prices.join(dates.select("date").distinct(), "date")
+    prices = prices.withColumn("mid_price", mid_price())
     span = prices.groupBy(*keys).agg(F.min("mid_price").alias("lo_price"), F.max("mid_price").alias("hi_price"))
     prices = attach(prices, span, keys, ["lo_price", "hi_price"])
     return prices.select(

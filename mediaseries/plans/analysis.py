@@ -38,10 +38,10 @@ class Analysis:
 
 def _frames(info: DataFrame, market: DataFrame, keys: Sequence[str]):
     info, market = info.dropna("any"), market.dropna("any")
-    bounds = common_range(info, market, keys=keys)
+    bounds = stage(common_range(info, market, keys=keys), "bounds")
     dates = in_range(distinct_dates(market, info), bounds)
     daily = daily_sentiment(in_range(info, bounds), keys)
-    prices = price_frame(in_range(market, bounds), dates)
+    prices = price_frame(in_range(market, bounds))  # the dates hold every market date of the range
     return daily, prices, bounds, dates
 
 

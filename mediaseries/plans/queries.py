@@ -121,7 +121,8 @@ def market_daily_by_pair(spark, d):
 @query
 def market_prices(spark, d):
     """Mid price, plain and scaled, on the dates in the common range."""
-    return shown(_analysis(spark, d).prices)
+    market = stage(rollup.market_daily(views.quotes(spark, d)), "market_daily")
+    return shown(rollup.price_frame(market, _analysis(spark, d).dates))
 
 
 @query

@@ -13,10 +13,26 @@ from ..schemas import ARTICLE, MESSAGE
 BAD = "_corrupt"
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A Parquet table, or only some of its columns."""
+SPREAD_BYTES_PER_CORE = 32 << 20
+
+
+def read_table(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, spread_by: str | None = None
+) -> DataFrame:
+    """A Parquet table, or only some of its columns.
+
+    ``spread_by`` names a key for tables whose rows are costly to work on: a table
+    too small to give every core a file block is hashed over the cores first. The
+    size is checked, so a table of many blocks is never shuffled for this.
+    """
     df = spark.read.parquet(path)
-    return df if columns is None else df.select(*columns)
+    df = df if columns is None else df.select(*columns)
+    if spread_by is None:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(size) < cores * SPREAD_BYTES_PER_CORE
+    return df.repartition(cores, spread_by) if small else df
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> DataFrame:
