@@ -3,3 +3,10 @@
 Every public function takes and returns DataFrames (or Columns), is lazy, and
 leaves partitioning, join strategy and shuffle sizing to Catalyst and AQE.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python helpers travel to the workers inside their job, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

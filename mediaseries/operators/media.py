@@ -38,8 +38,10 @@ def media_summary(
         for m in media
         for column, out in (("sentiment", "sentiment"), ("norm_count", "normalized_count"), ("count", "count"))
     ]
-    days = daily.groupBy("date").agg(F.count_distinct("medium").alias("_media"), *picks)
-    days = days.filter(F.col("_media") == len(media)).drop("_media").fillna(0)
+    days = daily.groupBy("date").agg(*picks)
+    for m in media:
+        days = days.filter(F.col(f"{m}_count").isNotNull())
+    days = days.fillna(0)
     if limited is not None:
         days = days.filter(F.col(f"{limited}_count") < limit)
     mean = fixed(_sum([f"{m}_sentiment" for m in media]) / len(media))

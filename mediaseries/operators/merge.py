@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import none_to_null, parse_text, strip_quotes
 from .common import align
 
-_RANK, _ORDER, _LONE = "_rank", "_order", "_lone"
+_RANK, _ORDER, _LONE, _COPIES = "_rank", "_order", "_lone", "_copies"
 
 
 def clean_strings(df: DataFrame, trim: bool = False) -> DataFrame:
@@ -36,13 +36,14 @@ def stack_sources(
     return stacked
 
 
-def _groups(key: str) -> list[Column]:
+def _grouped(stacked: DataFrame, key: str, columns: Sequence[str]):
     """Grouping by key: a hash in front makes comparing long texts cheap, equality stays exact.
 
-    Rows without a key match nothing; each is a group of its own, so they spread.
+    Rows without a key match nothing. They are grouped by all they hold, so they
+    spread, and ``_COPIES`` of equal ones are told apart again afterwards.
     """
-    lone = F.when(F.col(key).isNull(), F.struct(_RANK, _ORDER)).alias(_LONE)
-    return [F.xxhash64(key, _LONE).alias("_hash"), F.col(key), F.col(_LONE)], lone
+    lone = F.when(F.col(key).isNull(), F.struct(_RANK, _ORDER, *columns))
+    return stacked.withColumn(_LONE, lone).groupBy(F.xxhash64(key, _LONE).alias("_hash"), F.col(key), F.col(_LONE))
 
 
 def merge_upsert(
@@ -59,8 +60,7 @@ def merge_upsert(
     map-side combining, so copies of one text, however many, are reduced where
     they are read. With ``blank_is_missing`` an empty string yields to any later value.
     """
-    groups, lone = _groups(key)
-    stacked = stack_sources(sources, schema, order, trim).withColumn(_LONE, lone)
+    stacked = stack_sources(sources, schema, order, trim)
     strings = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
 
     def first(c: str) -> Column:
@@ -68,24 +68,26 @@ def merge_upsert(
         return F.min(F.when(F.col(c).isNotNull(), F.struct(*late, _RANK, _ORDER, F.col(c).alias("value"))))["value"].alias(c)
 
     rest = [f.name for f in schema.fields if f.name != key]
-    merged = stacked.groupBy(*groups).agg(*[first(c) for c in rest])
-    return merged.select(*[f.name for f in schema.fields])
+    merged = _grouped(stacked, key, rest).agg(*[first(c) for c in rest], F.count("*").alias(_COPIES))
+    copies = F.when(F.col(key).isNull(), F.col(_COPIES).cast("int")).otherwise(1)
+    return merged.withColumn(_COPIES, F.explode(F.array_repeat(F.lit(0), copies))).select(*schema.names)
 
 
 def merge_report(
     sources: Sequence[DataFrame], key: str, schema: T.StructType, order: Sequence[str], trim: bool = False
 ) -> DataFrame:
     """Rows of each source that opened a new key, and rows that met a known one."""
-    groups, lone = _groups(key)
-    only_key = T.StructType([schema[key]])
-    stacked = stack_sources(sources, only_key, order, trim).withColumn(_LONE, lone)
+    stacked = stack_sources(sources, T.StructType([schema[key]]), order, trim)
     ranks = range(len(sources))
-    per_key = stacked.groupBy(*groups).agg(
+    per_key = _grouped(stacked, key, []).agg(
         F.min(_RANK).alias("opener"), *[F.count_if(F.col(_RANK) == r).alias(f"rows{r}") for r in ranks]
     )
+
+    def opened(r: int) -> Column:
+        return F.when(F.col("opener") == r, F.when(F.col(key).isNull(), F.col(f"rows{r}")).otherwise(1)).otherwise(0)
+
     sums = per_key.agg(
-        *[F.sum(f"rows{r}").alias(f"rows{r}") for r in ranks],
-        *[F.count_if(F.col("opener") == r).alias(f"new{r}") for r in ranks],
+        *[F.sum(f"rows{r}").alias(f"rows{r}") for r in ranks], *[F.sum(opened(r)).alias(f"new{r}") for r in ranks]
     )
     lines = F.array(
         *[

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import attach
 
 ACCURACY = 10_000
-WHOLE_BELOW = 10 * ACCURACY
 
 
 def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -17,23 +16,27 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count("*").alias("rows"))
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = ACCURACY
+) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key and probability.
 
     A quantile sketch brackets each answer, equal values are counted together,
     and everything below a bracket is reduced to one count where it lies. Only
-    the values inside a bracket (about 1/2500 of a large key) are ordered, so no
-    task ever holds a key's rows. The sketch steers the work, not the result.
+    the distinct values inside a bracket (about 4/accuracy of a large key's rows)
+    are ordered, so no task ever holds a key. The sketch steers the work, not the
+    result: its rank error is at most 1/accuracy, and the bracket spans two of
+    those each way. Keys of up to ``10 * accuracy`` rows are ordered whole.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 2.0 / ACCURACY
+    slack = 2.0 / accuracy
     near = [p for q in probs for p in (max(q - slack, 0.0), min(q + slack, 1.0))]
     sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", near, ACCURACY).alias("_near"), F.count("*").alias("_total")
+        F.percentile_approx("_v", near, accuracy).alias("_near"), F.count("*").alias("_total")
     )
     counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    large = F.col("_total") > WHOLE_BELOW
+    large = F.col("_total") > 10 * accuracy
     brackets = F.array(
         *[
             F.struct(

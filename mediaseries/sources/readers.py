@@ -108,10 +108,9 @@ def message_rows(messages: DataFrame) -> DataFrame:
 
 
 def incomplete_messages(messages: DataFrame) -> DataFrame:
-    """Messages of users that lack a field every message should have."""
-    needed = [F.col("id"), F.col("date"), F.col("message"), F.col("from_id.user_id")]
-    missing = needed[0].isNull()
-    for c in needed[1:]:
-        missing = missing | c.isNull()
-    kind = F.col("_").isNull() | ((F.col("_") == "Message") & (F.col("from_id._").isNull() | missing))
-    return messages.filter(kind)
+    """Messages that lack a field every one of their kind should have."""
+    missing = F.col("from_id._").isNull()
+    for field in ("id", "date", "message"):
+        missing = missing | F.col(field).isNull()
+    nameless = (F.col("from_id._") == "PeerUser") & F.col("from_id.user_id").isNull()
+    return messages.filter(F.col("_").isNull() | ((F.col("_") == "Message") & (missing | nameless)))
