@@ -1,7 +1,8 @@
 """Media and price time-series analytics written as Spark DataFrame jobs.
 
-Every public function takes and returns DataFrames (or Columns), is lazy, and
-leaves partitioning, join strategy and shuffle sizing to Catalyst and AQE.
+Functions and operators take and return Columns and DataFrames, are lazy, and leave
+join strategy and shuffle sizing to Catalyst and AQE. Only ``plans`` run something
+early: they write the small daily roll-ups that all their later steps read.
 """
 
 import sys

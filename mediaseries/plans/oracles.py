@@ -158,9 +158,9 @@ FROM tlcc JOIN top USING (method) GROUP BY method"""
 DAILY = _daily()
 BY_MEDIUM = _daily(("medium",))
 
-_DAILY_COLUMNS = f"""{_day('date')} AS date, {_r('sentiment')} AS sentiment, {_r('norm_sent')} AS norm_sent,
+_DAILY_COLUMNS = f"""{_day('date')} AS date, {_r('sentiment', 10)} AS sentiment, {_r('norm_sent', 10)} AS norm_sent,
   CASE WHEN sentiment = 0 THEN 'NEUTRAL' WHEN sentiment > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label,
-  n AS "count", {_r('norm_count')} AS norm_count, negatives, positives"""
+  n AS "count", {_r('norm_count', 10)} AS norm_count, negatives, positives"""
 
 # Ties are judged at nine decimals, to the even digit, in whole numbers.
 _TWO_DIGITS = """(CASE WHEN nano % 10000000 > 5000000 OR (nano % 10000000 = 5000000 AND (nano // 10000000) % 2 = 1)
@@ -369,18 +369,18 @@ _BIN_DOUBLE, _BIN_LONG = _r("sum(v)", 6), "CAST(sum(v) AS BIGINT)"
 
 ORACLES: dict[str, str] = {
     "daily_info": f"""WITH {POSTS}
-SELECT {_day('date')} AS date, label, count(*) AS "count", {_r('avg(conf)')} AS conf FROM posts GROUP BY date, label""",
+SELECT {_day('date')} AS date, label, count(*) AS "count", {_r('avg(conf)', 10)} AS conf FROM posts GROUP BY date, label""",
     "signed_daily": f"""WITH {POSTS},
 info AS (SELECT date, replace(label, '"', '') AS label, count(*) AS n, avg(conf) AS conf FROM posts GROUP BY 1, 2),
 signed AS (SELECT *, CASE WHEN label = 'POSITIVE' THEN conf ELSE -conf END + 0e0 AS s FROM info)
-SELECT {_day('date')} AS date, label, n AS "count", {_r('conf')} AS conf, {_r('s')} AS signed_score,
+SELECT {_day('date')} AS date, label, n AS "count", {_r('conf', 10)} AS conf, {_r('s', 10)} AS signed_score,
        CASE WHEN s = 0 THEN 'NEUTRAL' WHEN s > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS score_label FROM signed""",
     "daily_sentiment": f"WITH {DAILY} SELECT {_DAILY_COLUMNS} FROM daily",
     "daily_sentiment_all_days": f"WITH {_daily(all_days=True, ranged=False)} SELECT {_DAILY_COLUMNS} FROM daily",
     "daily_sentiment_by_medium": f"WITH {BY_MEDIUM} SELECT medium, {_DAILY_COLUMNS} FROM daily",
     "daily_without_outliers": f"WITH {_daily(limit=OUTLIER_LIMIT)} SELECT {_DAILY_COLUMNS} FROM daily",
     "daily_without_period": f"""WITH {POSTS}
-SELECT {_day('date')} AS date, replace(label, '"', '') AS label, count(*) AS "count", {_r('avg(conf)')} AS conf
+SELECT {_day('date')} AS date, replace(label, '"', '') AS label, count(*) AS "count", {_r('avg(conf)', 10)} AS conf
 FROM posts WHERE date < DATE '1998-11-01' OR date > DATE '1998-11-30' GROUP BY date, 2""",
     "market_daily": f"""WITH {MARKET}
 SELECT {_day('date')} AS date, {_r('high')} AS high, {_r('low')} AS low FROM market""",
@@ -566,7 +566,7 @@ FROM documents LEFT JOIN verdicts USING (doc_id) LEFT JOIN known USING (doc_id)"
 done AS (SELECT role, coalesce(label, 'NEUTRAL') AS label, coalesce(conf, 0e0) AS conf FROM turns LEFT JOIN verdicts USING (key))
 SELECT role, label, count(*) AS "count", {_r('avg(conf)')} AS conf FROM done GROUP BY 1, 2""",
     "csv_export_and_read": f"""WITH {POSTS}
-SELECT {_day('date')} AS date, label, count(*) AS "count", {_r('avg(conf)')} AS conf FROM posts GROUP BY date, label""",
+SELECT {_day('date')} AS date, label, count(*) AS "count", {_r('avg(conf)', 10)} AS conf FROM posts GROUP BY date, label""",
     "csv_malformed_lines": """SELECT 'x' || o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0""",
     "csv_drops_malformed": f"SELECT o_orderpriority AS priority, {_r('o_totalprice')} AS price FROM orders WHERE o_orderkey % 5 <> 0",
     "headerless_articles": f"""SELECT nullif({_TITLE_SQL}, '') AS title, media, url AS link, sha256({_TEXT_SQL}) AS text

@@ -62,46 +62,46 @@ def _media(spark: SparkSession, d: str):
 @query
 def daily_info(spark, d):
     """Posts per date and label with mean confidence; labels as stored."""
-    return shown(rollup.daily_info(views.posts(spark, d)))
+    return shown(rollup.daily_info(views.posts(spark, d)), 10)
 
 
 @query
 def signed_daily(spark, d):
     """Daily rows with clean labels and signed scores."""
     signed = rollup.signed_daily(rollup.daily_info(views.posts(spark, d)))
-    return shown(signed.withColumn("score_label", scores.score_label("signed_score")))
+    return shown(signed.withColumn("score_label", scores.score_label("signed_score")), 10)
 
 
 @query
 def daily_sentiment(spark, d):
     """Weighted sentiment, volume and counts by sign per day."""
-    return shown(_analysis(spark, d).daily)
+    return shown(_analysis(spark, d).daily, 10)
 
 
 @query
 def daily_sentiment_all_days(spark, d):
     """The same without dropping days that lack a sign."""
     info = stage(rollup.daily_info(views.posts(spark, d)), "daily_info")
-    return shown(rollup.daily_sentiment(info, require_both=False))
+    return shown(rollup.daily_sentiment(info, require_both=False), 10)
 
 
 @query
 def daily_sentiment_by_medium(spark, d):
     """Daily frames of four media in one keyed run."""
-    return shown(_analysis(spark, d, ["medium"]).daily)
+    return shown(_analysis(spark, d, ["medium"]).daily, 10)
 
 
 @query
 def daily_without_outliers(spark, d):
     """Daily frame below a volume limit; the scaled volume still knows the outliers."""
-    return shown(_analysis(spark, d, limit=OUTLIER_LIMIT).daily)
+    return shown(_analysis(spark, d, limit=OUTLIER_LIMIT).daily, 10)
 
 
 @query
 def daily_without_period(spark, d):
     """Daily rows of posts outside a dirty month."""
     kept = rollup.without_period(views.posts(spark, d), "1998-11-01", "1998-11-30")
-    return shown(rollup.daily_info(kept.withColumn("label", text.strip_quotes("label"))))
+    return shown(rollup.daily_info(kept.withColumn("label", text.strip_quotes("label"))), 10)
 
 
 @query
@@ -735,7 +735,7 @@ def csv_export_and_read(spark, d):
     """Daily rows exported from a view as CSV with a header, and read back."""
     path = staged_path(spark, "daily_csv")
     writers.export_view(rollup.daily_info(views.posts(spark, d)), "daily_info_view", path)
-    return shown(readers.read_csv(spark, path, schemas.DAILY_INFO))
+    return shown(readers.read_csv(spark, path, schemas.DAILY_INFO), 10)
 
 
 def _damaged_csv(spark, d):

@@ -21,18 +21,18 @@ def read_table(
 ) -> DataFrame:
     """A Parquet table, or only some of its columns.
 
-    ``spread_by`` names a key for tables whose rows are costly to work on: a table
-    too small to give every core a file block is hashed over the cores first. The
-    size is checked, so a table of many blocks is never shuffled for this.
+    ``spread_by`` names a key for tables whose rows are costly to work on: a table of
+    fewer files than cores, and small, is hashed over the cores first. The size is
+    checked, so a table that fills its cores with file blocks is never shuffled for this.
     """
     df = spark.read.parquet(path)
     df = df if columns is None else df.select(*columns)
-    if spread_by is None:
-        return df
     cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(size) < cores * SPREAD_BYTES_PER_CORE
-    return df.repartition(cores, spread_by) if small else df
+    if spread_by is None or len(df.inputFiles()) >= cores:
+        return df
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    size = files.agg(F.sum("length").alias("bytes")).first()["bytes"]
+    return df.repartition(cores, spread_by) if size < cores * SPREAD_BYTES_PER_CORE else df
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> DataFrame:
