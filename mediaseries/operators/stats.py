@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import stage
 from .common import attach
 
 ACCURACY = 10_000
@@ -16,17 +17,25 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count("*").alias("rows"))
 
 
+def _beside(df: DataFrame, summary: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
+    """``attach`` for frames of any size: a keyed summary is written first.
+
+    Spark then knows how small it is and need not shuffle ``df`` by its keys, hot ones included.
+    """
+    return attach(df, stage(summary, name) if keys else summary, keys, columns)
+
+
 def quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = ACCURACY
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key and probability.
 
-    A quantile sketch brackets each answer, equal values are counted together,
-    and everything below a bracket is reduced to one count where it lies. Only
-    the distinct values inside a bracket (about 4/accuracy of a large key's rows)
-    are ordered, so no task ever holds a key. The sketch steers the work, not the
-    result: its rank error is at most 1/accuracy, and the bracket spans two of
-    those each way. Keys of up to ``10 * accuracy`` rows are ordered whole.
+    A quantile sketch brackets each answer. Rows below a bracket are counted where
+    they lie, rows above are dropped, and only the distinct values inside (about
+    4/accuracy of a large key's rows) are shuffled and ordered: no task ever holds
+    a key. The sketch steers the work, not the result: its rank error is at most
+    1/accuracy, and a bracket spans two of those each way. Keys of up to
+    ``10 * accuracy`` rows are ordered whole.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -35,7 +44,6 @@ def quantiles(
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", near, accuracy).alias("_near"), F.count("*").alias("_total")
     )
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     large = F.col("_total") > 10 * accuracy
     brackets = F.array(
         *[
@@ -47,10 +55,12 @@ def quantiles(
             for k, q in enumerate(probs)
         ]
     )
-    placed = attach(counted, sketch, keys, ["_near", "_total"]).withColumn("_b", F.explode(brackets))
+    placed = _beside(rows, sketch, keys, ["_near", "_total"], "sketch").withColumn("_b", F.explode(brackets))
     inside = placed.filter(F.col("_b.hi").isNull() | (F.col("_v") <= F.col("_b.hi")))
     shown = F.when(F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo")), F.col("_v"))
-    steps = inside.groupBy(*keys, F.col("_b.prob").alias("prob"), "_total", shown.alias("_v")).agg(F.sum("_n").alias("_n"))
+    steps = inside.groupBy(*keys, F.col("_b.prob").alias("prob"), "_total", shown.alias("_v")).agg(
+        F.count("*").alias("_n")
+    )
     order = W.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
     upto = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     steps = steps.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
@@ -81,7 +91,7 @@ _FENCE_COLUMNS = ["q1", "median", "q3", "_low", "_high"]
 def box_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Box plot as numbers. Whiskers end at the outermost values within 1.5 interquartile ranges."""
     v = F.col(value).cast("double")
-    placed = attach(df, _fences(df, value, keys), keys, _FENCE_COLUMNS)
+    placed = _beside(df, _fences(df, value, keys), keys, _FENCE_COLUMNS, "fences")
     regular = v.between(F.col("_low"), F.col("_high"))
     return (
         placed.filter(v.isNotNull())
@@ -99,7 +109,7 @@ def box_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFram
 
 def outliers(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """The rows beyond the whiskers."""
-    placed = attach(df, _fences(df, value, keys), keys, _FENCE_COLUMNS)
+    placed = _beside(df, _fences(df, value, keys), keys, _FENCE_COLUMNS, "fences")
     v = F.col(value).cast("double")
     return placed.filter(~v.between(F.col("_low"), F.col("_high"))).select(*df.columns)
 

@@ -18,14 +18,14 @@ def _per_user(partial: DataFrame, **metrics: Column) -> DataFrame:
 
 
 def _distinct_texts(posts: DataFrame) -> DataFrame:
-    """(username, number of distinct texts). Texts travel as 32-byte digests and are spread by digest."""
-    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
-    return (
-        posts.select("username", digest)
-        .distinct()
-        .groupBy("username")
-        .agg(F.count("digest").alias("tweets"))
-    )
+    """(username, number of distinct texts), spread by user and text.
+
+    A text of more than 64 bytes travels as its SHA-256 digest behind a byte no text can start with.
+    """
+    text = F.col("text").cast("binary")
+    digest = F.concat(F.unhex(F.lit("FF")), F.unhex(F.sha2(text, 256)))
+    key = F.when(F.octet_length("text") > 64, digest).otherwise(text).alias("key")
+    return posts.select("username", key).distinct().groupBy("username").agg(F.count("key").alias("tweets"))
 
 
 def _names(posts: DataFrame) -> DataFrame:
