@@ -36,29 +36,35 @@ class Analysis:
         return stage(series_vs_price(self.daily, self.prices, value, self.keys), "series")
 
 
-def _frames(info: DataFrame, market: DataFrame, keys: Sequence[str]):
+def _frames(info: DataFrame, market: DataFrame, keys: Sequence[str], pairs: Sequence[str] = ()):
     info, market = info.dropna("any"), market.dropna("any")
     bounds = stage(common_range(info, market, keys=keys), "bounds")
     dates = in_range(distinct_dates(market, info), bounds)
     daily = daily_sentiment(in_range(info, bounds), keys)
-    prices = price_frame(in_range(market, bounds))  # the dates hold every market date of the range
+    prices = price_frame(in_range(market, bounds), keys=pairs)  # the dates hold every market date of the range
     return daily, prices, bounds, dates
 
 
 def analyse(
-    posts: DataFrame, quotes: DataFrame, keys: Sequence[str] = (), outlier_limit: float | None = None
+    posts: DataFrame,
+    quotes: DataFrame,
+    keys: Sequence[str] = (),
+    outlier_limit: float | None = None,
+    pairs: Sequence[str] = (),
 ) -> Analysis:
     """Posts and quotes to the daily frames all later measures read.
 
+    ``keys`` are columns that tell series of posts apart (the medium), ``pairs`` columns
+    that tell prices apart; every series of posts then meets every price.
     Each big table is scanned once: its roll-up is written as a small table
     before ranges, scaling and joins read it several times.
     """
     info = stage(daily_info(posts, keys), "daily_info")
-    market = stage(market_daily(quotes), "market_daily")
-    daily, prices, bounds, dates = _frames(info, market, keys)
+    market = stage(market_daily(quotes, pairs), "market_daily")
+    daily, prices, bounds, dates = _frames(info, market, keys, pairs)
     if outlier_limit is not None:
         daily = drop_outlier_days(daily, outlier_limit)
-    return Analysis(daily, prices, bounds, dates, tuple(keys))
+    return Analysis(daily, prices, bounds, dates, (*keys, *pairs))
 
 
 @dataclass(frozen=True)

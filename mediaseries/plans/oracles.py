@@ -80,6 +80,12 @@ prices AS (
         WHERE date BETWEEN (SELECT lo FROM bounds) AND (SELECT hi FROM bounds)))"""
 
 
+PAIR_PRICES = """
+pair_prices AS (
+  SELECT o_orderpriority AS pair, CAST(o_orderdate AS DATE) AS date, (max(o_totalprice) + min(o_totalprice)) / 2 AS mid_price
+  FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN (SELECT lo FROM bounds) AND (SELECT hi FROM bounds) GROUP BY 1, 2)"""
+
+
 def _series(column: str, keys: tuple[str, ...] = (), source: str = "daily", prices: str = "prices") -> str:
     k = _keys(keys)
     over = f"PARTITION BY {', '.join(keys)} " if keys else ""
@@ -444,6 +450,9 @@ SELECT {_day('date')} AS date, i, CAST(x AS BIGINT) AS "count", {_r('y')} AS mid
     "tlcc_volume": _tlcc(_BASE, _VOL, TLCC_OFFSETS, _BOTH),
     "tlcc_volume_kendall": _kendall(_BASE, _VOL),
     "tlcc_by_medium": _tlcc(_BASE_M, _series("norm_sent", ("medium",)), TLCC_OFFSETS, _BOTH, ("medium",)),
+    "tlcc_by_pair": _tlcc(
+        f"{DAILY}, {PAIR_PRICES}", _series("norm_sent", ("pair",), prices="pair_prices"), TLCC_OFFSETS, _BOTH, ("pair",)
+    ),
     "tlcc_extremes": _extremes(_BASE, _SENT),
     "tlcc_volume_extremes": _extremes(_BASE, _VOL),
     "wtlcc_sentiment": _tlcc(_BASE, _SENT, WINDOW_OFFSETS, ["spearman"], sizes=[QUARTER]),

@@ -332,6 +332,13 @@ def tlcc_by_medium(spark, d):
     return shown(_tlcc(frame, "norm_sent", ["pearson", "spearman"], keys=["medium"]))
 
 
+@query
+def tlcc_by_pair(spark, d):
+    """Pearson and Spearman correlation of sentiment with the price of every pair at 301 offsets."""
+    frame = analyse(views.posts(spark, d), views.quotes(spark, d), pairs=["pair"]).series("norm_sent")
+    return shown(_tlcc(frame, "norm_sent", ["pearson", "spearman"], keys=["pair"]))
+
+
 @query
 def tlcc_extremes(spark, d):
     """Largest and smallest sentiment correlation and where they lie, for each method."""

@@ -60,6 +60,13 @@ def test_user_metrics(posts):
     assert rows(users.user_words(posts)) == {k: (v[0], v[3]) for k, v in want.items()}
 
 
+def test_long_and_short_texts_are_told_apart(spark):
+    long = "é" * 64
+    rows = [("a", None, t, 1, 1) for t in (long, long, long + "x", "s", "s", "", None)]
+    df = spark.createDataFrame(rows, "username string, full_name string, text string, retweets long, words long")
+    assert users.user_tweets(df).first().tweets == 4
+
+
 def test_join_matches_missing_names(posts):
     m = users.user_metrics(posts)
     joined = users.join_user_metrics(*[m.select("username", "full_name", c) for c in ("tweets", "retweets", "words_avg")])
