@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from .text import strip_quotes
+from .text import BLANKS, strip_quotes
 
 # The two layouts tried after epoch seconds, each behind the shape a text must have.
 PATTERNS = (
@@ -29,14 +29,14 @@ FREE_PATTERNS = (
     (r"^[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", ("d MMM yyyy[ H:m[:s]][ Z]", "d MMMM yyyy[ H:m[:s]]")),
 )
 
-_WEEKDAY = r"(?i)^\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
-_NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+_WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _MIN_EPOCH, _MAX_EPOCH = -62135596800.0, 253402300799.0
 
 
 def epoch_timestamp(text: Column) -> Column:
     """Seconds since 1970 in any decimal notation, NULL outside years 1 to 9999."""
-    number = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
     in_range = number.between(F.lit(_MIN_EPOCH), F.lit(_MAX_EPOCH))
     return F.timestamp_micros(F.when(in_range, F.bround(number * 1e6).cast("long")))
 
@@ -75,7 +75,7 @@ def parse_datetime(
     ``dateutil=True`` adds a vectorised last resort outside the JVM. It is sent
     NULL for every text the built-in layouts have read.
     """
-    text = strip_quotes(raw)
+    text = F.btrim(strip_quotes(raw), F.lit(BLANKS))
     bare = F.regexp_replace(text, _WEEKDAY, "")
     known = F.coalesce(epoch_timestamp(text), *_read(text, PATTERNS), *_read(bare, free))
     if not dateutil:

@@ -511,8 +511,7 @@ def user_plot_area(spark, d):
 @query
 def user_metric_boxes(spark, d):
     """Box-plot numbers of the three user metrics."""
-    rows = stage(users.metric_rows(*_user_tables(spark, d)), "metric_rows")
-    return shown(stats.box_summary(rows, "value", ["metric"]))
+    return shown(stats.box_summary(users.metric_rows(*_user_tables(spark, d)), "value", ["metric"]))
 
 
 @query

@@ -64,7 +64,7 @@ def malformed_csv(spark: SparkSession, path: str, schema: T.StructType, header:
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """The headerless file of crawled articles; a text may run over several lines."""
+    """The headerless files of crawled articles. A text may run over several lines, so a file is one task."""
     return spark.read.schema(ARTICLE).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
 
 

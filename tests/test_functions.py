@@ -88,6 +88,8 @@ def utc(*parts):
         ("3:05 pm - 07 jan 2018", utc(2018, 1, 7, 15, 5)),
         ("2018-01-07", utc(2018, 1, 7)),
         ("2018-1-7", utc(2018, 1, 7)),
+        (' "1.5e9" ', utc(2017, 7, 14, 2, 40)),
+        (" 2018-01-07\t", utc(2018, 1, 7)),
         ("2018-01-07 10:11:12", utc(2018, 1, 7, 10, 11, 12)),
         ("2018-01-07T10:11:12+02:00", utc(2018, 1, 7, 8, 11, 12)),
         ("2018-01-07T10:11:12Z", utc(2018, 1, 7, 10, 11, 12)),
