@@ -38,7 +38,9 @@ class Analysis:
 
 def _frames(info: DataFrame, market: DataFrame, keys: Sequence[str], pairs: Sequence[str] = ()):
     info, market = info.dropna("any"), market.dropna("any")
-    bounds = stage(common_range(info, market, keys=keys), "bounds")
+    # two dates are all that is fetched; as literals they reach the scans of the staged tables
+    lo, hi = common_range(info, market, keys=keys).first()
+    bounds = info.sparkSession.sql("SELECT CAST(:lo AS DATE) AS lo, CAST(:hi AS DATE) AS hi", args={"lo": lo, "hi": hi})
     dates = in_range(distinct_dates(market, info), bounds)
     daily = daily_sentiment(in_range(info, bounds), keys)
     prices = price_frame(in_range(market, bounds), keys=pairs)  # the dates hold every market date of the range
