@@ -14,6 +14,9 @@ from .queries import (
 )
 
 MEDIA = ("news", "reddit", "twitter", "telegram")
+LINEITEM_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
 
 
 def _r(expr: str, digits: int = 8) -> str:
@@ -555,10 +558,11 @@ SELECT 1, count(*) FILTER (opener = 1), CAST(sum(b) AS BIGINT) - count(*) FILTER
     "align_columns": f"""WITH {MESSAGES}
 SELECT event_id AS id, user_id, CAST(NULL AS VARCHAR) AS username, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, props AS text,
        CAST(NULL AS BIGINT) AS retweets, CAST(NULL AS DOUBLE) AS conf FROM messages""",
-    "schema_columns": """SELECT CAST(row_number() OVER (ORDER BY column_index) - 1 AS INTEGER) AS position, column_name AS name,
-  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-       WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type
-FROM duckdb_columns() WHERE table_name = 'lineitem'""",
+    "schema_columns": "\nUNION ALL ".join(
+        f"""SELECT {place} AS position, '{c}' AS name, CASE typeof(any_value({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, count({c}) AS filled FROM lineitem"""
+        for place, c in enumerate(LINEITEM_COLUMNS)
+    ),
     "sentences": f"WITH {_sentences('documents', 'doc_id')} SELECT * FROM sent",
     "sentence_scores": f"""WITH {_sentences('documents', 'doc_id')}, {_SCORED}
 SELECT doc_id, pos, label, {_r('conf')} AS conf FROM scored""",

@@ -650,8 +650,10 @@ def align_columns(spark, d):
 
 @query
 def schema_columns(spark, d):
-    """Names and types of a table's columns."""
-    return common.describe_columns(views.table(spark, d, "lineitem"))
+    """Names and types of a table's columns, and how many rows have a value in each."""
+    items = views.table(spark, d, "lineitem")
+    filled = items.agg(*[F.count(c).alias(c) for c in items.columns]).unpivot([], items.columns, "name", "filled")
+    return common.describe_columns(items).join(filled, "name")
 
 
 # Classification

@@ -95,6 +95,28 @@ def test_analysis_end_to_end(spark):
     assert everything.series("norm_sent").count() == 4
 
 
+def test_every_series_meets_every_price(spark):
+    posts = spark.createDataFrame(
+        [(day(d), l, 0.5, m) for d in range(4) for l in ("POSITIVE", "NEGATIVE") for m in ("news", "reddit")],
+        "date date, label string, conf double, medium string",
+    )
+    quotes = spark.createDataFrame(
+        [(p, day(d), h + d, h) for p, h in (("a", 10.0), ("b", 20.0)) for d in range(4)], "pair string, date date, high double, low double"
+    )
+    line = analyse(posts, quotes, ["medium"], pairs=["pair"]).series("count")
+    got = line.groupBy("medium", "pair").agg(F.max("i").alias("last"), F.min("mid_price").alias("low")).collect()
+    assert sorted(tuple(r) for r in got) == [(m, p, 3, h) for m in ("news", "reddit") for p, h in (("a", 10.0), ("b", 20.0))]
+
+
+def test_no_common_days(spark):
+    posts = spark.createDataFrame([(day(0), "POSITIVE", 0.5), (day(0), "NEGATIVE", 0.5)], "date date, label string, conf double")
+    quotes = spark.createDataFrame([(day(5), 1.0, 1.0)], "date date, high double, low double")
+    found = analyse(posts, quotes)
+    assert found.series("count").count() == 0
+    empty = analyse(posts.limit(0), quotes)
+    assert empty.daily.count() == 0 and empty.dates.count() == 0
+
+
 def test_keep_first(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "z"), (2, 5, "c")], "k int, o int, v string")
     assert sorted(tuple(r) for r in common.keep_first(df, ["k"], ["o"]).collect()) == [(1, 1, "z"), (2, 5, "c")]
