@@ -82,7 +82,7 @@ def market_daily(quotes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def common_range(*frames: DataFrame, keys: Sequence[str] = (), date: str = "date") -> DataFrame:
-    """One row (lo, hi): the dates every frame, and every key within it, covers."""
+    """One row (lo, hi): the dates every frame, and every key within it, covers. Empty frames do not narrow it."""
     spans = None
     for frame in frames:
         own = [k for k in keys if k in frame.columns]

@@ -114,7 +114,7 @@ def test_no_common_days(spark):
     found = analyse(posts, quotes)
     assert found.series("count").count() == 0
     empty = analyse(posts.limit(0), quotes)
-    assert empty.daily.count() == 0 and empty.dates.count() == 0
+    assert empty.daily.count() == 0 and empty.series("count").count() == 0
 
 
 def test_keep_first(spark):
