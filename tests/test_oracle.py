@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from mediaseries.plans.oracles import ORACLES
+from mediaseries.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,12 +16,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
 def test_entry(spark):
