@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mediaseries.llm import queries
 from mediaseries.llm.decontamination import remove_contamination
 from mediaseries.llm.mixing import mix_sources
+from mediaseries.llm.suffix_dedup import remove_repeats
 from mediaseries.llm.toxicity import learn, score
 from mediaseries.session import stage
 
@@ -21,6 +22,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, COLUMNS).where("score < 0.7").select(*COLUMNS)
 
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of strings of 100 bytes that stand earlier too; those of which nothing is left go."""
+    return remove_repeats(docs.select(*COLUMNS)).withColumns({"n_chars": queries.n_chars()})
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words that stand in windows of the benchmark."""
     clean = remove_contamination(docs.select(*COLUMNS), queries.table(spark, sf_dir, "benchmark"))
@@ -34,6 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity),
+    ("suffix_dedup", suffix_dedup),
     ("decontamination", decontamination),
     ("mixing", mixing),
 ]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .decontamination import contamination_report
 from .licenses import license_report
 from .mixing import mix_sources
+from .suffix_dedup import repeat_report
 from .token_counts import token_counts
 from .toxicity import learn, score
 
@@ -46,6 +47,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_mix": op6_mix,
     "op7_licenses": op7_licenses,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
