@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediaseries.llm import queries
+from mediaseries.llm.bagminhash import near_duplicates, node_ids
 from mediaseries.llm.decontamination import remove_contamination
 from mediaseries.llm.mixing import mix_sources
 from mediaseries.llm.suffix_dedup import remove_repeats
@@ -22,6 +23,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, COLUMNS).where("score < 0.7").select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id."""
+    found = near_duplicates(docs)
+    dropped = found.where("id <> class_id").select("id")
+    return docs.withColumn("__id", node_ids("doc_id")).join(dropped, F.col("__id") == F.col("id"), "left_anti").select(*COLUMNS)
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of strings of 100 bytes that stand earlier too; those of which nothing is left go."""
     return remove_repeats(docs.select(*COLUMNS)).withColumns({"n_chars": queries.n_chars()})
@@ -40,6 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
     ("suffix_dedup", suffix_dedup),
     ("decontamination", decontamination),
     ("mixing", mixing),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bagminhash import near_duplicates
 from .decontamination import contamination_report
 from .licenses import license_report
 from .mixing import mix_sources
@@ -26,6 +27,11 @@ def n_chars() -> F.Column:
     return F.length("text").cast("long")
 
 
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_words", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bagminhash": op2_bagminhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_mix": op6_mix,
