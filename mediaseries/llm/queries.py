@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bagminhash import near_duplicates
 from .decontamination import contamination_report
+from .embedding_dedup import link_vectors
 from .licenses import license_report
 from .mixing import mix_sources
 from .suffix_dedup import repeat_report
@@ -27,6 +28,10 @@ def n_chars() -> F.Column:
     return F.length("text").cast("long")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_words", (F.col("id") == F.col("class_id")).alias("kept"))
@@ -64,6 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bagminhash": op2_bagminhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
