@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .suffix_dedup import repeat_report
 from .token_counts import token_counts
 from .toxicity import learn, score
+from .warc import derive, responses_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_words", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = derive(responses_of(table(spark, sf_dir, "pages")), keep=("page_id",))
+    return records.withColumn("source_headers", F.array_join("source_headers", "\n"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bagminhash": op2_bagminhash,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_mix": op6_mix,
