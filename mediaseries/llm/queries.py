@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bagminhash import near_duplicates
+from .chaining import shared_passages
 from .decontamination import contamination_report
 from .embedding_dedup import link_vectors
 from .licenses import license_report
@@ -68,6 +69,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op9_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix": op6_mix,
     "op7_licenses": op7_licenses,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_chaining": op9_chaining,
     "op10_token_counts": op10_token_counts,
 }

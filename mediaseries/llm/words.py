@@ -59,6 +59,23 @@ def chunks(data: np.ndarray, at: np.ndarray, limit: int = CHUNK_BYTES) -> Iterat
         low = high
 
 
+def pack(records: np.ndarray) -> bytes:
+    """Records field by field, compressed."""
+    data = b"".join(np.ascontiguousarray(records[name]).tobytes() for name in records.dtype.names)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, kind: np.dtype) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    data, at = pa.decompress(packed[8:], size, codec="zstd", asbytes=True), 0
+    out = np.empty(size // kind.itemsize, kind)
+    for name in kind.names:
+        width = kind[name].itemsize * len(out)
+        out[name] = np.frombuffer(data[at : at + width], kind[name])
+        at += width
+    return out
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of the texts, and where each text's words begin and the last end."""
     folded = FOLD_ARRAY[data]
