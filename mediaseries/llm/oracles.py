@@ -1,3 +1,194 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+None for the learned toxicity score, the tokenizer's counts, the aligned passages and the pipeline; their tests hold them
+against plain versions.
+"""
+
+from __future__ import annotations
+
+from . import licenses, warc
+from .words import WORD_PATTERN
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD_PATTERN}')"
+
+
+OP1 = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), unit AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) n FROM sound),
+links AS (
+  SELECT a.vec_id a, b.vec_id b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) low FROM reach GROUP BY a), counts AS (SELECT a, count(*) n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT n_links, least(vec_id, coalesce(low, vec_id))::BIGINT component_id,
+  vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN counts ON vec_id = counts.a
+"""
+
+OP2 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words("text")} w FROM documents),
+spread AS (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 4, 1) + 1 END)) i FROM w),
+runs AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') r, count(*) n FROM spread GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(n) n FROM runs GROUP BY doc_id),
+common AS (SELECT a.doc_id a, b.doc_id b, sum(least(a.n, b.n)) c FROM runs a JOIN runs b ON a.r = b.r AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) low FROM reach GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id))::BIGINT class_id, len(w)::BIGINT n_words, doc_id <= coalesce(low, doc_id) AS kept
+FROM w LEFT JOIN low ON doc_id = a
+"""
+
+
+def _uuid(text: str) -> str:
+    h = f"sha256({text})"
+    return (
+        f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-8' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-'"
+        f" || substr({h}, 21, 12) || '>'"
+    )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _decoded(text: str) -> str:
+    for name, letter in warc.NAMED:
+        text = f"replace({text}, {_quoted(name)}, {_quoted(letter)})"
+    return text
+
+
+_CRLF = "chr(13) || chr(10)"
+_PLAIN = f"regexp_replace(html, {_quoted(warc.HIDDEN)}, '', 'g')"
+_PLAIN = f"regexp_replace({_PLAIN}, {_quoted(warc.BLOCKS)}, chr(10), 'g')"
+_PLAIN = _decoded(f"regexp_replace({_PLAIN}, '{warc.TAGS}', '', 'g')")
+_PLAIN = rf"regexp_replace({_PLAIN}, '[ \t\f\r]{{2,}}|[\t\f\r]', ' ', 'g')"
+_PLAIN = rf"trim(regexp_replace({_PLAIN}, '[ \n]*\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+_TITLE = rf"trim(regexp_replace({_decoded(f'regexp_extract(html, {_quoted(warc.TITLE)}, 1)')}, '[ \t\n\f\r]+', ' ', 'g'))"
+_LINKS = (
+    f"list_transform(regexp_extract_all(html, {_quoted(warc.LINKS)}, 1), lambda x: 'outlink: ' || "
+    + _decoded(r"regexp_replace(x, '[ \t\n\f\r]+', '%20', 'g')")
+    + " || ' L a/@href')"
+)
+OP3 = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') html FROM pages),
+source AS (
+  SELECT page_id, url, html, {_uuid("'response|' || coalesce(page_id::VARCHAR, 'NULL') || '|' || coalesce(url, 'NULL')")} refers_to,
+    ['HTTP/1.1 200 OK', 'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(html)] heads, 'sha256:' || sha256(html) digest
+  FROM p
+), texts AS (SELECT *, {_PLAIN} plain, {_TITLE} title, {_LINKS} links FROM source),
+records AS (
+  SELECT page_id, 'conversion' AS type, 'text/plain; charset=utf-8' content_type, plain AS content, url, refers_to, heads, digest FROM texts
+  UNION ALL
+  SELECT page_id, 'metadata', 'application/warc-fields',
+    array_to_string(list_concat(list_concat(['software: {warc.SOFTWARE}', 'source-payload-digest: ' || digest],
+      list_transform(heads, lambda x: 'source-header: ' || x)), list_concat(CASE WHEN title <> '' THEN ['title: ' || title] ELSE [] END, links)),
+      {_CRLF}) || {_CRLF}, url, refers_to, heads, digest
+  FROM texts
+)
+SELECT page_id, type, {_uuid("type || '|' || refers_to")} record_id, refers_to, url target_uri, '{warc.DATE}' AS date, content_type,
+  array_to_string(heads, chr(10)) source_headers, digest source_digest, 'sha256:' || sha256(content) block_digest,
+  strlen(content)::BIGINT content_length, content
+FROM records
+"""
+
+OP4 = f"""
+WITH i AS (SELECT item_id, {words("text")} w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 9, 1) + 1 END)) s FROM i),
+windows AS (SELECT DISTINCT item_id, w[s:s + 9] p FROM starts),
+sizes AS (SELECT DISTINCT len(p) n FROM windows),
+d AS (SELECT doc_id, {words("text")} w FROM documents),
+places AS (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) s FROM d, sizes),
+found AS (SELECT doc_id, s, n, item_id FROM places JOIN windows ON w[s:s + n - 1] = p),
+hit AS (SELECT doc_id, count(DISTINCT k) n FROM (SELECT doc_id, unnest(range(s, s + n)) k FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) l FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n, 0)::BIGINT n_hit, coalesce(len(l), 0)::BIGINT n_items,
+  sha256(coalesce(array_to_string(l, ','), '')) items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_HASH = "('0x' || substr(md5({}), 1, 13))::BIGINT"
+OP6 = f"""
+WITH RECURSIVE sizes AS (SELECT source, count(*) n FROM documents GROUP BY source),
+rates AS (
+  SELECT source, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM sizes) * (SELECT sum(n)::BIGINT FROM sizes) / n rate FROM sizes
+), draws AS (SELECT source, greatest(ceil(rate / 8.0), 1)::INTEGER draws, rate / greatest(ceil(rate / 8.0), 1)::INTEGER mean FROM rates),
+cdf AS (
+  SELECT source, mean, 0 k, exp(-mean) term, exp(-mean) c FROM draws
+  UNION ALL SELECT source, mean, k + 1, term * mean / (k + 1), c + term * mean / (k + 1) FROM cdf WHERE k < 63
+), lists AS (SELECT source, list(c ORDER BY k) cs FROM cdf GROUP BY source),
+thrown AS (
+  SELECT d.*, l.cs, unnest(range(1, w.draws + 1)) draw FROM documents d
+  JOIN draws w ON d.source IS NOT DISTINCT FROM w.source JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
+), landed AS (
+  SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cs, lambda c: c <= {_HASH.format("'mix|' || doc_id || '|' || draw")} / {float(1 << 52)!r}::DOUBLE))) n
+  FROM thrown GROUP BY ALL
+), copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n::BIGINT + 1))::INTEGER copy FROM landed)
+SELECT *, {_HASH.format("'mix-order|' || doc_id || '|' || copy")} shuffle_key FROM copies
+"""
+
+_RULES = ",\n  ".join(f"({_quoted(r['keyword'])}, {r['tier']}, {_quoted(r['label'])}, {r['weight']!r}::DOUBLE, {_quoted(r['pattern'])})" for r in licenses.rules())
+_BASE = " UNION ALL ".join(
+    f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()!r})) low, '{label}' AS label FROM d"
+    for p, label in licenses.BASE.items()
+)
+OP7 = f"""
+WITH rules(keyword, tier, label, weight, pattern) AS (VALUES
+  {_RULES}),
+d AS (SELECT doc_id, {words("text")} w FROM documents),
+base AS ({_BASE}),
+spaced AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' t FROM d),
+asked AS (
+  SELECT doc_id, tier, label, weight, regexp_split_to_array(t, pattern) parts, regexp_extract_all(t, pattern) found
+  FROM spaced JOIN rules ON contains(t, keyword) WHERE len(regexp_extract_all(t, pattern)) > 0
+), each AS (SELECT *, unnest(range(1, len(found) + 1)) k FROM asked),
+spans AS (
+  SELECT doc_id, tier, label, weight, list_sum(list_transform(parts[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: len(x))), 0) low, len(found[k]) n
+  FROM each
+), placed AS (SELECT *, low + n high, row_number() OVER (PARTITION BY doc_id ORDER BY low, n DESC, tier, label, weight) r FROM spans),
+kept AS (
+  SELECT * FROM placed a WHERE NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = a.doc_id AND b.r < a.r AND b.tier <= a.tier AND b.high >= a.high)
+),
+b AS (SELECT doc_id, count(*) n, min(low) first, max(low) last, list_sort(list(DISTINCT label)) l FROM base GROUP BY doc_id),
+f AS (SELECT doc_id, list(DISTINCT label) l, max(weight) w FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(b.n, 0)::BIGINT n_base, first::BIGINT first_word, last::BIGINT last_word,
+  coalesce(array_to_string(b.l, ','), '') base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.l, []), coalesce(f.l, [])))), ','), '') labels,
+  greatest(CASE WHEN b.n > 0 THEN 0.6 ELSE 0.0 END, coalesce(f.w, 0.0))::DOUBLE score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id
+"""
+
+OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) p FROM d),
+strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) s FROM places),
+again AS (SELECT doc_id, p FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+marked AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END fresh FROM again),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) g FROM marked),
+runs AS (SELECT doc_id, g, min(p) low, max(p) + 100 high FROM grouped GROUP BY doc_id, g),
+cut AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) before FROM runs),
+kept AS (
+  SELECT doc_id, sum(high - low) n, count(*) spans, max(high) last, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) k
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT n_bytes, coalesce(n, 0)::BIGINT n_removed, coalesce(spans, 0)::BIGINT n_spans,
+  sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": OP1,
+    "op2_bagminhash": OP2,
+    "op3_warc_derivatives": OP3,
+    "op4_decontaminate": OP4,
+    "op6_mix": OP6,
+    "op7_licenses": OP7,
+    "op8_suffix_dedup": OP8,
+}
