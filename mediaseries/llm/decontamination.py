@@ -94,7 +94,8 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, sampled: int = SAMPLED):
         order = suffix_array(symbols)
         self.tree = WaveletTree(symbols[order - 1].astype(np.int64))
-        counts = np.bincount(symbols, minlength=int(symbols.max(initial=0)) + 2)
+        self.largest = int(symbols.max(initial=0))
+        counts = np.bincount(symbols, minlength=self.largest + 1)
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.size = len(symbols)
         # Behind a separator a walk must stop: separators differ, but the transform writes all of them as 0.
@@ -106,7 +107,7 @@ class FMIndex:
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size, np.int64)
         for symbol in phrases.T[::-1]:
             live = np.flatnonzero((symbol > 0) & (low < high))
-            known = symbol[live] < len(self.first) - 1
+            known = symbol[live] <= self.largest
             high[live[~known]] = low[live[~known]]
             live = live[known]
             s = symbol[live]
