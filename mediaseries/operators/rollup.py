@@ -82,21 +82,51 @@ def market_daily(quotes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def common_range(*frames: DataFrame, keys: Sequence[str] = (), date: str = "date") -> DataFrame:
-    """One row (lo, hi): the dates every frame, and every key within it, covers. Empty frames do not narrow it."""
-    spans = None
-    for frame in frames:
-        own = [k for k in keys if k in frame.columns]
-        span = frame.groupBy(*own).agg(F.min(date).alias("lo"), F.max(date).alias("hi")).select("lo", "hi")
-        spans = span if spans is None else spans.unionByName(span)
-    return spans.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    """The dates that all frames cover: one row (lo, hi), or one per key (keys, lo, hi).
 
+    Every key has a range of its own, so a key that ends early shortens no other. Frames without
+    the keys bound all of them. Empty frames do not narrow a range. Keys hold no NULL.
+    """
+    own = [f for f in frames if all(k in f.columns for k in keys)]
+    shared = [f for f in frames if f not in own]
+
+    def spans(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+        found = None
+        for part in parts:
+            span = part.groupBy(*by).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+            found = span if found is None else found.unionByName(span)
+        return found.groupBy(*by).agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+
+    ranges = spans(own, keys)
+    if not shared:
+        return ranges
+    outer = spans(shared, []).select(F.struct("lo", "hi").alias("span")).scalar()
+    return ranges.select(*keys, F.greatest("lo", outer["lo"]).alias("lo"), F.least("hi", outer["hi"]).alias("hi"))
+
+
+def shared_range(ranges: DataFrame) -> DataFrame:
+    """One row (lo, hi): the dates that the ranges of all keys have in common."""
+    return ranges.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
 
-def in_range(df: DataFrame, bounds: DataFrame, date: str = "date") -> DataFrame:
-    """Rows whose date lies in the inclusive range that ``bounds`` holds."""
+
+def in_range(df: DataFrame, bounds: DataFrame, date: str = "date", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows whose date lies in the inclusive range that ``bounds`` holds, with ``keys`` in that of their key."""
+    if keys:
+        cut = df.join(bounds.select(*keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), list(keys))
+        return cut.filter(F.col(date).between(F.col("_lo"), F.col("_hi"))).select(*df.columns)
     span = bounds.select(F.struct("lo", "hi").alias("span")).scalar()
     return df.filter(F.col(date).between(span["lo"], span["hi"]))
 
 
+def for_each_range(df: DataFrame, bounds: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+    """The rows of a keyless daily frame once for every key whose range holds their date.
+
+    Ranges are spelled out as dates, so this is an equi-join whose size is keys times days.
+    """
+    days = bounds.filter("lo <= hi").select(*keys, F.explode(F.sequence("lo", "hi")).alias(date))
+    return days.join(df, date)
+
+
 def distinct_dates(*frames: DataFrame, date: str = "date") -> DataFrame:
     """Every date of any frame once."""
     dates = frames[0].select(date)

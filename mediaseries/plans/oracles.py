@@ -50,20 +50,28 @@ market AS (
   SELECT CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS high, min(o_totalprice) AS low FROM orders GROUP BY 1)"""
 
 
-def _daily(keys: tuple[str, ...] = (), limit: int | None = None, all_days: bool = False, ranged: bool = True) -> str:
+def _daily(
+    keys: tuple[str, ...] = (), limit: int | None = None, all_days: bool = False, ranged: bool = True, shared: bool = False, posts: str = POSTS
+) -> str:
+    """Daily frames. Each key has a range of its own, unless ``shared``."""
     k = _keys(keys)
     over = f"PARTITION BY {', '.join(keys)}" if keys else ""
-    spans = "SELECT min(date) AS lo, max(date) AS hi FROM info" + (f" GROUP BY {', '.join(keys)}" if keys else "")
-    kept = "WHERE date BETWEEN (SELECT lo FROM bounds) AND (SELECT hi FROM bounds)" if ranged else ""
+    one = not keys or shared
+    by = f" GROUP BY {', '.join(keys)}" if keys else ""
+    spans = f"SELECT min(date) AS lo, max(date) AS hi FROM info{by}"
+    market = "SELECT min(date) AS lo, max(date) AS hi FROM market"
+    bounds = f"SELECT max(lo) AS lo, min(hi) AS hi FROM ({spans} UNION ALL {market})"
+    if not one:
+        bounds = f"SELECT {k} greatest(s.lo, m.lo) AS lo, least(s.hi, m.hi) AS hi FROM (SELECT {k} min(date) AS lo, max(date) AS hi FROM info{by}) s, ({market}) m"
+    same = "WHERE " + " AND ".join(f"b.{c} = info.{c}" for c in keys) if not one else ""
+    kept = f"WHERE date BETWEEN (SELECT lo FROM bounds b {same}) AND (SELECT hi FROM bounds b {same})" if ranged else ""
     conditions = [] if all_days else ["negatives IS NOT NULL", "positives IS NOT NULL"]
     if limit is not None:
         conditions.append(f"n < {limit}")
     where = f"WHERE {' AND '.join(conditions)}" if conditions else ""
-    return f"""{POSTS}, {MARKET},
+    return f"""{posts}, {MARKET},
 info AS (SELECT {k} date, label, count(*) AS n, avg(conf) AS conf FROM posts GROUP BY ALL),
-bounds AS (
-  SELECT max(lo) AS lo, min(hi) AS hi
-  FROM ({spans} UNION ALL SELECT min(date), max(date) FROM market)),
+bounds AS ({bounds}),
 perday AS (
   SELECT {k} date,
          round(sum(n * CASE WHEN replace(label, '"', '') = 'POSITIVE' THEN conf ELSE -conf END) / sum(n), 12) + 0e0 AS sentiment,
@@ -83,6 +91,11 @@ prices AS (
         WHERE date BETWEEN (SELECT lo FROM bounds) AND (SELECT hi FROM bounds)))"""
 
 
+# A keyed series meets the prices of its own range by their dates alone.
+ALL_PRICES = """
+prices AS (SELECT date, (high + low) / 2 AS mid_price FROM market)"""
+
+
 PAIR_PRICES = """
 pair_prices AS (
   SELECT o_orderpriority AS pair, CAST(o_orderdate AS DATE) AS date, (max(o_totalprice) + min(o_totalprice)) / 2 AS mid_price
@@ -166,6 +179,9 @@ FROM tlcc JOIN top USING (method) GROUP BY method"""
 
 DAILY = _daily()
 BY_MEDIUM = _daily(("medium",))
+ALL_MEDIA = _daily(("medium",), shared=True)
+# One medium ends early: its later posts carry another name.
+UNEVEN = _daily(("medium",), posts=POSTS.replace("WHEN 0 THEN 'news'", "WHEN 0 THEN CASE WHEN l_shipdate >= DATE '1995-01-01' THEN 'press' ELSE 'news' END"))
 
 _DAILY_COLUMNS = f"""{_day('date')} AS date, {_r('sentiment', 10)} AS sentiment, {_r('norm_sent', 10)} AS norm_sent,
   CASE WHEN sentiment = 0 THEN 'NEUTRAL' WHEN sentiment > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label,
@@ -235,7 +251,7 @@ _picks = ", ".join(
     f"max(n) FILTER (medium = '{m}') AS {m}_count"
     for m in MEDIA
 )
-SUMMARY = f"""{BY_MEDIUM}, {PRICES},
+SUMMARY = f"""{ALL_MEDIA}, {PRICES},
 wide AS (SELECT date, {_picks} FROM daily GROUP BY date HAVING count(DISTINCT medium) = 4),
 summary AS (
   SELECT *, (sentiment + 1) / 2 AS norm_sent
@@ -369,7 +385,7 @@ FROM daily GROUP BY ALL"""
 _SENT = _series("norm_sent")
 _VOL = _series("n")
 _BASE = f"{DAILY}, {PRICES}"
-_BASE_M = f"{BY_MEDIUM}, {PRICES}"
+_BASE_M = f"{BY_MEDIUM}, {ALL_PRICES}"
 _MEDIA_SENT = _series("norm_sent", source="summary", prices="media_prices")
 _MEDIA_VOL = _series("n", source="summary", prices="media_prices")
 _BOTH = ("pearson", "spearman")
@@ -386,6 +402,12 @@ SELECT {_day('date')} AS date, label, n AS "count", {_r('conf', 10)} AS conf, {_
        CASE WHEN s = 0 THEN 'NEUTRAL' WHEN s > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS score_label FROM signed""",
     "daily_sentiment": f"WITH {DAILY} SELECT {_DAILY_COLUMNS} FROM daily",
     "daily_sentiment_all_days": f"WITH {_daily(all_days=True, ranged=False)} SELECT {_DAILY_COLUMNS} FROM daily",
+    "daily_sentiment_uneven_media": f"WITH {UNEVEN} SELECT medium, {_DAILY_COLUMNS} FROM daily",
+    "uneven_media_prices": f"""WITH {UNEVEN},
+cut AS (SELECT medium, m.date, high, low, (high + low) / 2 AS mid FROM market m JOIN bounds ON m.date BETWEEN lo AND hi)
+SELECT medium, {_day('date')} AS date, {_r('high')} AS high, {_r('low')} AS low, {_r('mid')} AS mid_price,
+  {_r('(mid - min(mid) OVER w) / nullif(max(mid) OVER w - min(mid) OVER w, 0)')} AS norm_mid_price
+FROM cut WINDOW w AS (PARTITION BY medium)""",
     "daily_sentiment_by_medium": f"WITH {BY_MEDIUM} SELECT medium, {_DAILY_COLUMNS} FROM daily",
     "daily_without_outliers": f"WITH {_daily(limit=OUTLIER_LIMIT)} SELECT {_DAILY_COLUMNS} FROM daily",
     "daily_without_period": f"""WITH {POSTS}
@@ -473,7 +495,7 @@ SELECT {_day('date')} AS date, {', '.join(
     "media_prices": f"""WITH {SUMMARY}
 SELECT {_day('date')} AS date, {_r('high')} AS high, {_r('low')} AS low, {_r('mid_price')} AS mid_price,
        {_r('norm_mid_price')} AS norm_mid_price FROM media_prices""",
-    "media_monthly_volume": f"""WITH {BY_MEDIUM},
+    "media_monthly_volume": f"""WITH {ALL_MEDIA},
 months AS (SELECT strftime(date, '%Y-%m') AS month, medium, avg(n) AS v FROM daily GROUP BY 1, 2)
 SELECT month, medium, {_r('v')} AS "count" FROM months
 WHERE month IN (SELECT month FROM months GROUP BY 1 HAVING count(*) = 4)""",

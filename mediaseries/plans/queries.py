@@ -91,6 +91,24 @@ def daily_sentiment_by_medium(spark, d):
     return shown(_analysis(spark, d, ["medium"]).daily, 10)
 
 
+def _uneven_posts(spark, d):
+    """Posts of media that cover different spans: the later news count as another medium."""
+    late = (F.col("medium") == "news") & (F.col("date") >= F.lit("1995-01-01").cast("date"))
+    return views.posts(spark, d).withColumn("medium", F.when(late, "press").otherwise(F.col("medium")))
+
+
+@query
+def daily_sentiment_uneven_media(spark, d):
+    """Daily frames of media with different spans: each keeps all days it shares with the prices."""
+    return shown(analyse(_uneven_posts(spark, d), views.quotes(spark, d), ["medium"]).daily, 10)
+
+
+@query
+def uneven_media_prices(spark, d):
+    """Prices in the range of each medium, scaled inside it."""
+    return shown(analyse(_uneven_posts(spark, d), views.quotes(spark, d), ["medium"]).prices)
+
+
 @query
 def daily_without_outliers(spark, d):
     """Daily frame below a volume limit; the scaled volume still knows the outliers."""
@@ -121,8 +139,7 @@ def market_daily_by_pair(spark, d):
 @query
 def market_prices(spark, d):
     """Mid price, plain and scaled, on the dates in the common range."""
-    market = stage(rollup.market_daily(views.quotes(spark, d)), "market_daily")
-    return shown(rollup.price_frame(market, _analysis(spark, d).dates))
+    return shown(_analysis(spark, d).prices)
 
 
 @query

@@ -87,7 +87,7 @@ def test_analysis_end_to_end(spark):
     )
     quotes = spark.createDataFrame([(day(d), 10.0 + d, 9.0 + d) for d in range(2, 9)], "date date, high double, low double")
     found = analyse(posts, quotes, ["medium"])
-    assert tuple(found.bounds.first()) == (day(2), day(5))
+    assert {tuple(r) for r in found.bounds.collect()} == {(m, day(2), day(5)) for m in media.MEDIA}
     line = found.series("count").filter("medium = 'news'").orderBy("i").collect()
     assert [(r.i, r.date) for r in line] == [(k, day(2 + k)) for k in range(4)]
     everything = analyse_media(posts, quotes)
@@ -95,7 +95,22 @@ def test_analysis_end_to_end(spark):
     assert everything.series("norm_sent").count() == 4
 
 
-def test_every_series_meets_every_price(spark):
+def test_a_short_series_shortens_no_other(spark):
+    rows = [(day(d), l, 0.5, "long") for d in range(20) for l in ("POSITIVE", "NEGATIVE")]
+    rows += [(day(d), l, 0.25, "short") for d in range(3) for l in ("POSITIVE", "NEGATIVE")]
+    posts = spark.createDataFrame(rows, "date date, label string, conf double, medium string")
+    quotes = spark.createDataFrame([(day(d), 10.0 + d, 9.0 + d) for d in range(1, 15)], "date date, high double, low double")
+    found = analyse(posts, quotes, ["medium"])
+    for medium in ("long", "short"):
+        alone = analyse(posts.filter(F.col("medium") == medium), quotes)
+        mine = found.daily.filter(F.col("medium") == medium)
+        assert sorted(map(tuple, mine.drop("medium").collect())) == sorted(map(tuple, alone.daily.collect()))
+        prices = found.prices.filter(F.col("medium") == medium).drop("medium")
+        assert sorted(map(tuple, prices.collect())) == sorted(map(tuple, alone.prices.collect()))
+        assert found.series("count").filter(F.col("medium") == medium).count() == alone.series("count").count()
+
+
+def test_series_meet_the_prices_they_are_matched_with(spark):
     posts = spark.createDataFrame(
         [(day(d), l, 0.5, m) for d in range(4) for l in ("POSITIVE", "NEGATIVE") for m in ("news", "reddit")],
         "date date, label string, conf double, medium string",
@@ -103,9 +118,13 @@ def test_every_series_meets_every_price(spark):
     quotes = spark.createDataFrame(
         [(p, day(d), h + d, h) for p, h in (("a", 10.0), ("b", 20.0)) for d in range(4)], "pair string, date date, high double, low double"
     )
-    line = analyse(posts, quotes, ["medium"], pairs=["pair"]).series("count")
+    wanted = [("news", "a"), ("news", "b"), ("reddit", "b")]
+    matching = spark.createDataFrame(wanted, "medium string, pair string")
+    line = analyse(posts, quotes, ["medium"], pairs=["pair"], matching=matching).series("count")
     got = line.groupBy("medium", "pair").agg(F.max("i").alias("last"), F.min("mid_price").alias("low")).collect()
-    assert sorted(tuple(r) for r in got) == [(m, p, 3, h) for m in ("news", "reddit") for p, h in (("a", 10.0), ("b", 20.0))]
+    assert sorted(tuple(r) for r in got) == [(m, p, 3, {"a": 10.0, "b": 20.0}[p]) for m, p in wanted]
+    with pytest.raises(ValueError):
+        analyse(posts, quotes, ["medium"], pairs=["pair"])
 
 
 def test_no_common_days(spark):
