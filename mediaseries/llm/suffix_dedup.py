@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import mix, text_buffer
+from .words import mix, pack, text_buffer, unpack
 
 #: Bytes of a string that must not occur again, and of the grams that choose anchors.
 LENGTH = 100
@@ -33,6 +33,7 @@ SAMPLE_TEXTS = 2000
 SAMPLE_ANCHORS = 32
 SMALL = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_WANTED = np.dtype([("place", "<u4"), ("back", "u1"), ("span", "u1")])
 _SPAN = np.dtype([("id", "<i8"), ("hash", "<i8"), ("first", "<i8"), ("last", "<i8")])
 
 
@@ -229,7 +230,7 @@ def _send_anchors(buckets: int, length: int, gram: int):
                     here = some[order[edges[b] : edges[b + 1]]]
                     texts, local = np.unique(here["text"], return_inverse=True)
                     here["text"] = local
-                    yield b, kind, ids[texts].tobytes(), hashes[texts].tobytes(), here.tobytes()
+                    yield b, kind, ids[texts].tobytes(), hashes[texts].tobytes(), pack(here)
 
     def send(batches):
         ids, hashes, marks, held, base = [], [], [], 0, 0
@@ -265,7 +266,7 @@ def _find_candidates(table: pa.Table) -> pa.Table:
     """Anchors of one bucket whose hash occurs twice, one row per text."""
     ids, hashes, marks, kinds, base = [], [], [], [], 0
     for row in table.select(["kind", "ids", "hashes", "marks"]).to_pylist():
-        mark = np.frombuffer(row["marks"], _MARK).copy()
+        mark = unpack(row["marks"], _MARK)
         ids.append(np.frombuffer(row["ids"], np.int64))
         hashes.append(np.frombuffer(row["hashes"], np.int64))
         mark["text"] += base
@@ -278,13 +279,16 @@ def _find_candidates(table: pa.Table) -> pa.Table:
     known[sent] = (count[inverse] > 1) & (marks["span"][sent] != 255)
     marks = marks[known]
     marks = marks[np.argsort(marks["text"], kind="stable")]
+    wanted = np.empty(len(marks), _WANTED)
+    for name in _WANTED.names:
+        wanted[name] = marks[name]
     edges = np.searchsorted(marks["text"], np.arange(base + 1))
     full = np.flatnonzero(edges[1:] > edges[:-1])
     return pa.table(
         {
             "__id": pa.array(ids[full], pa.int64()),
             "__hash": pa.array(hashes[full], pa.int64()),
-            "marks": pa.array([marks[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()),
+            "marks": pa.array([wanted[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()),
         }
     )
 
@@ -307,7 +311,7 @@ def _send_suffixes(splitters: list[bytes], length: int, gram: int):
         order = np.argsort(bucket, kind="stable")
         for k in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             s = some[k]
-            yield int(bucket[k[0]]), np.stack([ids[s], hashes[s], places[s], low[k], high[k]]).tobytes(), around[s].tobytes(), None
+            yield int(bucket[k[0]]), np.stack([ids[s], hashes[s], places[s], low[k], high[k]]).tobytes(), pa.compress(around[s].tobytes(), codec="zstd", asbytes=True), None
         for k, part in enumerate(np.array_split(spans, max(1, len(spans) // 20_000))):
             if len(part):
                 yield int((abs(int(part["hash"][0])) + k) % (len(splitters) + 1)), None, None, part.tobytes()
@@ -325,12 +329,12 @@ def _send_suffixes(splitters: list[bytes], length: int, gram: int):
 
         size = 0
         for batch in batches:
-            data, at = text_buffer(_column(batch, "text"))
+            data, at = text_buffer(_field(batch, "text"))
             data = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
             ids, hashes = _numbers(_column(batch, "__id")), _numbers(_column(batch, "__hash"))
-            marks = [np.concatenate([np.frombuffer(m, _MARK) for m in x]) for x in _column(batch, "marks").to_pylist()]
+            marks = [np.frombuffer(b"".join(x), _WANTED) for x in _column(batch, "marks").to_pylist()]
             text = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
-            mark = np.concatenate(marks) if marks else np.zeros(0, _MARK)
+            mark = np.concatenate(marks) if marks else np.zeros(0, _WANTED)
             for low in range(0, len(mark), HELD_SUFFIXES):
                 t, m = text[low : low + HELD_SUFFIXES], mark[low : low + HELD_SUFFIXES]
                 place, back = m["place"].astype(np.int64), m["back"].astype(np.int64)
@@ -356,7 +360,9 @@ def _compare_bucket(length: int, gram: int):
         if sent:
             columns = [np.frombuffer(r["places"], np.int64).reshape(5, -1) for r in sent]
             ids, hashes, places, nearest, furthest = (np.concatenate([c[i] for c in columns]) for i in range(5))
-            around = np.concatenate([np.frombuffer(r["around"], np.uint8).reshape(-1, reach + length) for r in sent])
+            sizes = [c.shape[1] * (reach + length) for c in columns]
+            bytes_of = [pa.decompress(r["around"], n, codec="zstd", asbytes=True) for r, n in zip(sent, sizes)]
+            around = np.frombuffer(b"".join(bytes_of), np.uint8).reshape(-1, reach + length)
             spans.append(spans_of(ids, hashes, places, repeated(ids, hashes, places, nearest, furthest, around, length)))
         found = np.concatenate(spans) if spans else np.zeros(0, _SPAN)
         names = {"__id": "id", "__hash": "hash", "first": "first", "last": "last"}
@@ -379,10 +385,23 @@ def _sample_leads(length: int, gram: int):
     return sample
 
 
-def identified(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with __id (``key`` as long, NULL behind all others) and __hash, which tell documents apart."""
-    there = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.withColumns({"__id": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1)), "__hash": F.xxhash64(there)})
+def identified(docs: DataFrame, key: str) -> DataFrame:
+    """Each row of ``docs`` as a struct, with __id (``key`` as long, NULL behind all others) and __hash, which tell documents apart.
+
+    Both joins with documents take this frame whole, so the texts move through one exchange that Spark uses twice.
+    """
+    there = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1)).alias("__id"),
+        F.xxhash64(there).alias("__hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+
+
+def _field(batch, name):
+    """A column of the documents that a batch carries as structs."""
+    rows = _column(batch, "row")
+    return rows.field(rows.type.get_field_index(name))
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -393,18 +412,18 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gra
     keys and different texts are ordered by a hash of the text. Empty tables and short texts give no rows.
     """
     spark = docs.sparkSession
-    texts = identified(docs.select(key, "text"), key).select("__id", "__hash", "text")
+    texts = identified(docs, key)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.count()
     sample = docs.select("text").sample(min(1.0, SAMPLE_TEXTS / max(1, rows)), seed=7).limit(2 * SAMPLE_TEXTS)
     leads = sorted(r[0] for r in sample.mapInArrow(_sample_leads(length, gram), "lead binary").collect())
     splitters = sorted({bytes(leads[k * len(leads) // parts]) for k in range(1, parts)}) if leads else []
-    sent = texts.mapInArrow(_send_anchors(parts, length, gram), "bucket int, kind int, ids binary, hashes binary, marks binary")
+    sent = texts.select("__id", "__hash", "row.text").mapInArrow(_send_anchors(parts, length, gram), "bucket int, kind int, ids binary, hashes binary, marks binary")
     candidates = sent.groupBy("bucket").applyInArrow(_find_candidates, "__id long, __hash long, marks binary")
     wanted = candidates.groupBy("__id", "__hash").agg(F.collect_list("marks").alias("marks"))
     suffixes = (
         texts.join(wanted, ["__id", "__hash"])
-        .select("__id", "__hash", "text", "marks")
+        .select("__id", "__hash", "row", "marks")
         .mapInArrow(_send_suffixes(splitters, length, gram), "bucket int, places binary, around binary, spans binary")
     )
     return suffixes.groupBy("bucket").applyInArrow(_compare_bucket(length, gram), "__id long, __hash long, first long, last long")
@@ -441,14 +460,14 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gr
     def report(batches):
         for batch in batches:
             rows = []
-            for text, runs in zip(_column(batch, "text").to_pylist(), _column(batch, "__runs").to_pylist()):
+            for text, runs in zip(_field(batch, "text").to_pylist(), _column(batch, "__runs").to_pylist()):
                 data = (text or "").encode()
                 cut = covered([(r["first"], r["last"]) for r in runs or []], length)
                 rows.append((len(data), sum(h - low for low, h in cut), len(cut), hashlib.sha256(keep(data, cut)).hexdigest()))
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.record_batch([_column(batch, key), *columns], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([_field(batch, key), *columns], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = _with_runs(docs.select(key, "text"), key, length, gram).select(key, "text", "__runs")
+    found = _with_runs(docs.select(key, "text"), key, length, gram).select("row", "__runs")
     kind = docs.schema[key].dataType.simpleString()
     return found.mapInArrow(report, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -463,13 +482,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     def cut(batches):
         for batch in batches:
             texts = []
-            for text, runs in zip(_column(batch, "text").to_pylist(), _column(batch, "__runs").to_pylist()):
+            for text, runs in zip(_field(batch, "text").to_pylist(), _column(batch, "__runs").to_pylist()):
                 if runs:
                     text = keep(text.encode(), covered([(r["first"], r["last"]) for r in runs], length)).decode(errors="ignore")
                 texts.append(text)
-            kept = [pa.array(texts, pa.string()) if c == "text" else _column(batch, c) for c in columns]
+            kept = [pa.array(texts, pa.string()) if c == "text" else _field(batch, c) for c in columns]
             some = pa.array([t is None or bool(t.strip()) or not r for t, r in zip(texts, _column(batch, "__runs").to_pylist())], pa.bool_())
             yield pa.record_batch(kept, columns).filter(some)
 
-    found = _with_runs(docs, key, length, gram).select(*[F.col(f"`{c}`") for c in columns], "__runs")
+    found = _with_runs(docs, key, length, gram).select("row", "__runs")
     return found.mapInArrow(cut, docs.schema)
