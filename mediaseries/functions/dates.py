@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .text import BLANKS, strip_quotes
@@ -41,23 +40,6 @@ def epoch_timestamp(text: Column) -> Column:
     return F.timestamp_micros(F.when(in_range, F.bround(number * 1e6).cast("long")))
 
 
-def _dateutil(text: pd.Series) -> pd.Series:
-    from dateutil.parser import parse
-
-    base = pd.Timestamp(1970, 1, 1).to_pydatetime()
-
-    def one(value):
-        if value is None:
-            return pd.NaT
-        try:
-            got = pd.Timestamp(parse(value, default=base))
-        except (ValueError, OverflowError):
-            return pd.NaT
-        return got.tz_convert(None) if got.tzinfo else got
-
-    return pd.Series([one(v) for v in text], dtype="datetime64[us]")
-
-
 def _read(text: Column, layouts) -> list[Column]:
     """One attempt per layout, made only for texts of its shape: a failed attempt is dear."""
     return [
@@ -67,21 +49,17 @@ def _read(text: Column, layouts) -> list[Column]:
     ]
 
 
-def parse_datetime(
-    raw: Column | str, free: Sequence[tuple[str, Sequence[str]]] = FREE_PATTERNS, dateutil: bool = False
-) -> Column:
-    """Timestamp from epoch seconds, then the fixed layouts, then free-form layouts, else NULL.
-
-    ``dateutil=True`` adds a vectorised last resort outside the JVM. It is sent
-    NULL for every text the built-in layouts have read.
-    """
+def parse_datetime(raw: Column | str, free: Sequence[tuple[str, Sequence[str]]] = FREE_PATTERNS) -> Column:
+    """Timestamp from epoch seconds, then the fixed layouts, then free-form layouts, else NULL."""
     text = F.btrim(strip_quotes(raw), F.lit(BLANKS))
     bare = F.regexp_replace(text, _WEEKDAY, "")
-    known = F.coalesce(epoch_timestamp(text), *_read(text, PATTERNS), *_read(bare, free))
-    if not dateutil:
-        return known
-    guess = F.pandas_udf(_dateutil, "timestamp")
-    return F.coalesce(known, guess(F.when(known.isNull(), text)))
+    return F.coalesce(epoch_timestamp(text), *_read(text, PATTERNS), *_read(bare, free))
+
+
+def standard_datetime(text: Column | str) -> Column:
+    """Timestamp from a text in the standard format, NULL from any other."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(has_standard_format(c), c.try_cast("timestamp"))
 
 
 def has_standard_format(c: Column | str) -> Column:

@@ -7,6 +7,9 @@ text is never gathered anywhere. Scorers over tables are offered beside it.
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -16,7 +19,6 @@ from ..functions.scores import NEGATIVE, NEUTRAL, POSITIVE
 from ..functions.text import clean_html, letters_only_words, split_sentences
 
 SCORES = "array<struct<label:string,conf:double>>"
-LITERAL_LEXICON_LIMIT = 10_000
 
 Scorer = Callable[[Column], Column]
 Model = Callable[[list[str]], Sequence[tuple[str, float] | None]]
@@ -26,11 +28,9 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str]) -> Scorer:
     """Scores sentences by counting words of two lists, in the JVM.
 
     Label by the majority, confidence |p - n| / (p + n); a sentence with a draw or
-    without any listed word gets no label. The lists travel as a hash set in the
-    plan, so their size is checked; a longer lexicon goes through ``score_with_lexicon_table``.
+    without any listed word gets no label. The lists travel in the plan as a hash set;
+    lexicons kept in tables go through ``score_with_lexicon_table``.
     """
-    if len(positive) + len(negative) > LITERAL_LEXICON_LIMIT:
-        raise ValueError("lexicon too long for the plan; use score_with_lexicon_table")
 
     def score(sentences: Column) -> Column:
         def hits(words: Column, listed: Sequence[str]) -> Column:
@@ -51,13 +51,18 @@ def lexicon_scorer(positive: Sequence[str], negative: Sequence[str]) -> Scorer:
 
 
 def model_scorer(load: Callable[[], Model], mini_batch: int = 500) -> Scorer:
-    """Scores sentences with any model. ``load`` runs once per Python worker, not per batch.
+    """Scores sentences with any model. ``load`` runs once per Python worker process, however many tasks it works on.
 
     The model maps a list of sentences to (label, confidence) pairs, None for no label.
     """
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        # This function is unpickled for every task; a module of the process's own table of modules outlives it.
+        kept = sys.modules.setdefault("mediaseries_loaded_models", types.ModuleType("mediaseries_loaded_models")).__dict__
+        if token not in kept:
+            kept[token] = load()
+        model = kept[token]
         for rows in batches:
             flat = [s for row in rows if row is not None for s in row]
             scored = []
@@ -132,15 +137,16 @@ def score_sentence_rows(sentences: DataFrame, scorer: Scorer) -> DataFrame:
 def score_with_lexicon_table(sentences: DataFrame, lexicon: DataFrame, id_column: str) -> DataFrame:
     """Scores sentence rows against a table (word, weight) of any length, weights being 1 or -1.
 
-    Words are exploded, joined and summed up again; the sum is combined map-side, and
-    how the lexicon is moved is Spark's choice by its size.
+    A sentence's words are counted before they are joined, so a word travels once per sentence; how the
+    lexicon is moved is Spark's choice by its size, and AQE splits the words that are hot in a shuffle.
     """
     words = sentences.select(id_column, "pos", F.explode(letters_only_words("sentence")).alias("word"))
-    weight = F.col("weight")
+    counted = words.groupBy(id_column, "pos", "word").agg(F.count("*").alias("times"))
+    weight, times = F.col("weight"), F.col("times")
     return (
-        words.join(lexicon, "word")
+        counted.join(lexicon, "word")
         .groupBy(id_column, "pos")
-        .agg(F.count_if(weight > 0).alias("p"), F.count_if(weight < 0).alias("n"))
+        .agg(F.sum(F.when(weight > 0, times).otherwise(0)).alias("p"), F.sum(F.when(weight < 0, times).otherwise(0)).alias("n"))
         .filter(F.col("p") != F.col("n"))
         .select(
             id_column,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.dates import parse_datetime
+from ..functions.dates import parse_datetime, standard_datetime
 from ..functions.text import word_count
 from .common import fill_pending
 
@@ -12,9 +12,12 @@ from .common import fill_pending
 def format_datetimes(df: DataFrame, column: str = "datetime", formatted: str = "formatted", **options) -> DataFrame:
     """Raw datetime text to a timestamp and its date; ``formatted`` tells where that worked.
 
-    Rows that are already formatted are read back as they are.
+    Rows whose ``formatted`` says they are done hold the standard format and are not parsed again: a text
+    of digits in them is no epoch.
     """
     parsed = parse_datetime(F.col(column), **options)
+    if formatted in df.columns:
+        parsed = F.when(F.col(formatted), standard_datetime(column)).otherwise(parsed)
     return (
         df.withColumn(column, parsed)
         .withColumn("date", F.to_date(column))

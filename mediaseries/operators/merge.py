@@ -9,43 +9,50 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import none_to_null, parse_text, strip_quotes
 from .common import align
 
-_RANK, _ORDER, _LONE, _COPIES = "_rank", "_order", "_lone", "_copies"
+_RANK, _ORDER = "_rank", "_order"
 
 
-def clean_strings(df: DataFrame, trim: bool = False) -> DataFrame:
-    """Every string column without double quotes (and, if asked, outer blanks); the text ``None`` becomes NULL."""
+def clean_strings(df: DataFrame, trim: bool = False, none_is_missing: Sequence[str] = ()) -> DataFrame:
+    """Every string column without double quotes (and, if asked, outer blanks).
+
+    In the columns ``none_is_missing`` names, the text ``None`` becomes NULL, as older tables mean it.
+    """
     clean = parse_text if trim else strip_quotes
     strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    return df.select(*[none_to_null(clean(c)).alias(c) if c in strings else F.col(c) for c in df.columns])
+
+    def one(c: str) -> Column:
+        if c not in strings:
+            return F.col(c)
+        return (none_to_null(clean(c)) if c in none_is_missing else clean(c)).alias(c)
+
+    return df.select(*[one(c) for c in df.columns])
 
 
 def stack_sources(
-    sources: Sequence[DataFrame], schema: T.StructType, order: Sequence[str], trim: bool = False
+    sources: Sequence[DataFrame],
+    key: str,
+    schema: T.StructType,
+    order: Sequence[str],
+    trim: bool = False,
+    none_is_missing: bool | Sequence[bool] = True,
 ) -> DataFrame:
     """All sources under one schema, each row with its source's rank (the master is 0) and its place there.
 
-    ``order`` names columns of every source that put its rows in first-seen order.
+    ``order`` names columns of every source that put its rows in first-seen order. ``none_is_missing`` says of all
+    sources, or of each, whether the text ``None`` is a missing value; it never is one in the key.
     """
     place = T.StructField(_ORDER, T.StructType([T.StructField(c, sources[0].schema[c].dataType) for c in order]))
     wanted = T.StructType([*schema.fields, place])
+    rules = [none_is_missing] * len(sources) if isinstance(none_is_missing, bool) else none_is_missing
     stacked = None
-    for rank, source in enumerate(sources):
-        placed = clean_strings(source.withColumn(_ORDER, F.struct(*order)), trim)
+    for rank, (source, rule) in enumerate(zip(sources, rules, strict=True)):
+        placed = source.withColumn(_ORDER, F.struct(*order))
+        placed = clean_strings(placed, trim, [c for c in source.columns if c != key] if rule else [])
         part = align(placed, wanted).withColumn(_RANK, F.lit(rank))
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 
 
-def _grouped(stacked: DataFrame, key: str, columns: Sequence[str]):
-    """Grouping by key: a hash in front makes comparing long texts cheap, equality stays exact.
-
-    Rows without a key match nothing. They are grouped by all they hold, so they
-    spread, and ``_COPIES`` of equal ones are told apart again afterwards.
-    """
-    lone = F.when(F.col(key).isNull(), F.struct(_RANK, _ORDER, *columns))
-    return stacked.withColumn(_LONE, lone).groupBy(F.xxhash64(key, _LONE).alias("_hash"), F.col(key), F.col(_LONE))
-
-
 def merge_upsert(
     sources: Sequence[DataFrame],
     key: str,
@@ -53,42 +60,45 @@ def merge_upsert(
     order: Sequence[str],
     blank_is_missing: bool = False,
     trim: bool = False,
+    none_is_missing: bool | Sequence[bool] = True,
 ) -> DataFrame:
     """One row per key; each column holds its first value in (source, row) order that is not missing.
 
     All sources are folded in one pass: a single shuffle on the key, behind
     map-side combining, so copies of one text, however many, are reduced where
-    they are read. With ``blank_is_missing`` an empty string yields to any later value.
+    they are read. A hash in front of the key makes comparing long texts cheap; equality stays exact. With
+    ``blank_is_missing`` an empty string yields to any later value. Rows without a key
+    match nothing: they go round the aggregate and stay as they are.
     """
-    stacked = stack_sources(sources, schema, order, trim)
+    stacked = stack_sources(sources, key, schema, order, trim, none_is_missing)
     strings = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
 
     def first(c: str) -> Column:
         late = [(F.col(c) == "").alias("blank")] if blank_is_missing and c in strings else []
         return F.min(F.when(F.col(c).isNotNull(), F.struct(*late, _RANK, _ORDER, F.col(c).alias("value"))))["value"].alias(c)
 
-    rest = [f.name for f in schema.fields if f.name != key]
-    merged = _grouped(stacked, key, rest).agg(*[first(c) for c in rest], F.count("*").alias(_COPIES))
-    copies = F.when(F.col(key).isNull(), F.col(_COPIES).cast("int")).otherwise(1)
-    return merged.withColumn(_COPIES, F.explode(F.array_repeat(F.lit(0), copies))).select(*schema.names)
+    keyed = stacked.filter(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("_hash"), F.col(key))
+    merged = keyed.agg(*[first(f.name) for f in schema.fields if f.name != key]).select(*schema.names)
+    return merged.unionByName(stacked.filter(F.col(key).isNull()).select(*schema.names))
 
 
 def merge_report(
     sources: Sequence[DataFrame], key: str, schema: T.StructType, order: Sequence[str], trim: bool = False
 ) -> DataFrame:
-    """Rows of each source that opened a new key, and rows that met a known one."""
-    stacked = stack_sources(sources, T.StructType([schema[key]]), order, trim)
+    """Rows of each source that opened a new key, and rows that met a known one. A row without a key opens one."""
+    stacked = stack_sources(sources, key, T.StructType([schema[key]]), order, trim)
     ranks = range(len(sources))
-    per_key = _grouped(stacked, key, []).agg(
-        F.min(_RANK).alias("opener"), *[F.count_if(F.col(_RANK) == r).alias(f"rows{r}") for r in ranks]
-    )
 
-    def opened(r: int) -> Column:
-        return F.when(F.col("opener") == r, F.when(F.col(key).isNull(), F.col(f"rows{r}")).otherwise(1)).otherwise(0)
+    def rows_of(r: int) -> Column:
+        return F.count_if(F.col(_RANK) == r).alias(f"rows{r}")
 
-    sums = per_key.agg(
-        *[F.sum(f"rows{r}").alias(f"rows{r}") for r in ranks], *[F.sum(opened(r)).alias(f"new{r}") for r in ranks]
-    )
+    keyed = stacked.filter(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("_hash"), F.col(key))
+    per_key = keyed.agg(F.min(_RANK).alias("opener"), *[rows_of(r) for r in ranks])
+    opened = [F.count_if(F.col("opener") == r).alias(f"new{r}") for r in ranks]
+    known = per_key.agg(*[F.sum(f"rows{r}").alias(f"rows{r}") for r in ranks], *opened)
+    lone = stacked.filter(F.col(key).isNull()).agg(*[rows_of(r) for r in ranks])
+    both = known.unionByName(lone.select("*", *[F.col(f"rows{r}").alias(f"new{r}") for r in ranks]))
+    sums = both.agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in both.columns])
     lines = F.array(
         *[
             F.struct(

@@ -30,49 +30,54 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key and probability.
 
-    A quantile sketch brackets each answer. Rows below a bracket are counted where
-    they lie, rows above are dropped, and only the distinct values inside (about
-    4/accuracy of a large key's rows) are shuffled and ordered: no task ever holds
-    a key. The sketch steers the work, not the result: its rank error is at most
-    1/accuracy, and a bracket spans two of those each way. Keys of up to
-    ``10 * accuracy`` rows are ordered whole.
+    A quantile sketch brackets each answer: its rank error is at most 1/accuracy, and a bracket spans two of those
+    each way. Rows below a bracket become one with their count and maximum, rows above it one with their
+    minimum, where they lie; only the distinct values inside (about 4/accuracy of a key's rows) are shuffled. They are
+    sorted by range, each task counts its share, and the counts of the tasks before it are added up, so
+    no task holds a key or a bracket. The sketch steers the work, not the result: an answer outside its
+    bracket is an error.
     """
-    keys = list(keys)
+    keys, spark = list(keys), df.sparkSession
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 2.0 / accuracy
     near = [p for q in probs for p in (max(q - slack, 0.0), min(q + slack, 1.0))]
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", near, accuracy).alias("_near"), F.count("*").alias("_total")
     )
-    large = F.col("_total") > 10 * accuracy
     brackets = F.array(
         *[
-            F.struct(
-                F.lit(float(q)).alias("prob"),
-                F.when(large, F.col("_near")[2 * k]).alias("lo"),
-                F.when(large, F.col("_near")[2 * k + 1]).alias("hi"),
-            )
+            F.struct(F.lit(float(q)).alias("prob"), F.col("_near")[2 * k].alias("lo"), F.col("_near")[2 * k + 1].alias("hi"))
             for k, q in enumerate(probs)
         ]
     )
     placed = _beside(rows, sketch, keys, ["_near", "_total"], "sketch").withColumn("_b", F.explode(brackets))
-    inside = placed.filter(F.col("_b.hi").isNull() | (F.col("_v") <= F.col("_b.hi")))
-    shown = F.when(F.col("_b.lo").isNull() | (F.col("_v") >= F.col("_b.lo")), F.col("_v"))
-    steps = inside.groupBy(*keys, F.col("_b.prob").alias("prob"), "_total", shown.alias("_v")).agg(
-        F.count("*").alias("_n")
+    zone = F.when(F.col("_v") < F.col("_b.lo"), 0).when(F.col("_v") <= F.col("_b.hi"), 1).otherwise(2).alias("_zone")
+    inside = F.when(F.col("_v").between(F.col("_b.lo"), F.col("_b.hi")), F.col("_v")).alias("_inside")
+    steps = placed.groupBy(*keys, F.col("_b.prob").alias("prob"), "_total", zone, inside).agg(
+        F.count("*").alias("_n"), F.max("_v").alias("_most"), F.min("_v").alias("_least")
     )
-    order = W.partitionBy(*keys, "prob").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    steps = steps.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    # Below the bracket only the greatest value can be asked for, above it only the smallest.
+    steps = steps.withColumn("_v", F.when(F.col("_zone") == 0, F.col("_most")).otherwise(F.col("_least")))
+    by = [*keys, "prob"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_steps = steps.repartitionByRange(tasks, *by, "_v").withColumn("_task", F.spark_partition_id())
+    sorted_steps = stage(sorted_steps.select(*by, "_total", "_v", "_n", "_task"), "steps")
+    shares = sorted_steps.groupBy(*by, "_task").agg(F.sum("_n").alias("_share"))
+    earlier = W.partitionBy(*by).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    offsets = shares.select(*by, "_task", F.coalesce(F.sum("_share").over(earlier), F.lit(0)).alias("_offset"))
+    within = W.partitionBy(*by, "_task").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = sorted_steps.join(offsets, [*by, "_task"]).withColumn("_upto", F.col("_offset") + F.sum("_n").over(within))
+    counted = counted.withColumn("_before", F.col("_upto") - F.col("_n"))
     place = (F.col("_total") - 1) * F.col("prob")
 
     def at(rank):
         return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_upto")), F.col("_v")))
 
-    found = steps.groupBy(*keys, "prob").agg(
+    found = counted.groupBy(*by).agg(
         at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_z"), F.max(place - F.floor(place)).alias("_f")
     )
-    return found.select(*keys, "prob", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"))
+    exact = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
+    return found.select(*by, F.coalesce(exact, F.raise_error(F.lit("a quantile lies outside its bracket"))).alias("quantile"))
 
 
 def _fences(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Metrics per user.
 
 Posts are reduced by hash aggregation on their own executors first; the one
-aggregate that has to sort (the smallest full name) only sees users, not posts.
+aggregate that has to sort (the smallest full name) sees a user's distinct texts, not posts.
 """
 
 from __future__ import annotations
@@ -17,19 +17,10 @@ def _per_user(partial: DataFrame, **metrics: Column) -> DataFrame:
     )
 
 
-def _distinct_texts(posts: DataFrame) -> DataFrame:
-    """(username, number of distinct texts), spread by user and text.
-
-    A text of more than 64 bytes travels as its SHA-256 digest behind a byte no text can start with.
-    """
-    text = F.col("text").cast("binary")
-    digest = F.concat(F.unhex(F.lit("FF")), F.unhex(F.sha2(text, 256)))
-    key = F.when(F.octet_length("text") > 64, digest).otherwise(text).alias("key")
-    return posts.select("username", key).distinct().groupBy("username").agg(F.count("key").alias("tweets"))
-
-
-def _names(posts: DataFrame) -> DataFrame:
-    return posts.select("username", "full_name").distinct()
+def _by_text(posts: DataFrame, **sums: Column) -> DataFrame:
+    """Posts reduced to (username, full_name, text), spread by all three; a text travels as its SHA-256 digest."""
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key")
+    return posts.groupBy("username", "full_name", digest).agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in sums.items()])
 
 
 def user_retweets(posts: DataFrame) -> DataFrame:
@@ -40,9 +31,7 @@ def user_retweets(posts: DataFrame) -> DataFrame:
 
 def user_tweets(posts: DataFrame) -> DataFrame:
     """Number of distinct texts per user."""
-    texts = _distinct_texts(posts).select("username", F.lit(None).cast("string").alias("full_name"), "tweets")
-    names = _names(posts).withColumn("tweets", F.lit(0).cast("long"))
-    return _per_user(texts.unionByName(names), tweets=F.sum("tweets"))
+    return _per_user(_by_text(posts), tweets=F.count_distinct("key"))
 
 
 def user_words(posts: DataFrame) -> DataFrame:
@@ -54,25 +43,12 @@ def user_words(posts: DataFrame) -> DataFrame:
 
 
 def user_metrics(posts: DataFrame) -> DataFrame:
-    """All three metrics per user without a join: two narrow scans and one union."""
-    texts = _distinct_texts(posts).select(
-        "username",
-        F.lit(None).cast("string").alias("full_name"),
-        "tweets",
-        F.lit(None).cast("long").alias("retweets"),
-        F.lit(None).cast("long").alias("_words"),
-        F.lit(None).cast("long").alias("_counted"),
-    )
-    sums = posts.groupBy("username", "full_name").agg(
-        F.lit(0).cast("long").alias("tweets"),
-        F.sum("retweets").cast("long").alias("retweets"),
-        F.sum("words").cast("long").alias("_words"),
-        F.count("words").alias("_counted"),
-    )
+    """All three metrics per user from one scan: distinct texts need one shuffle, and the sums travel with them."""
+    partial = _by_text(posts, retweets=F.sum("retweets"), _words=F.sum("words"), _counted=F.count("words"))
     return _per_user(
-        texts.unionByName(sums),
-        tweets=F.sum("tweets"),
-        retweets=F.sum("retweets"),
+        partial,
+        tweets=F.count_distinct("key"),
+        retweets=F.sum("retweets").cast("long"),
         words_avg=F.try_divide(F.sum("_words").cast("double"), F.sum("_counted")),
     )
 

@@ -510,8 +510,23 @@ SELECT substr(date, 1, 7) || '-01' AS month, medium, {_r('avg(sentiment)')} AS s
     "media_tlcc_volume": _tlcc(SUMMARY, _MEDIA_VOL, TLCC_OFFSETS, _BOTH),
     "media_wtlcc": _tlcc(SUMMARY, _MEDIA_SENT, WINDOW_OFFSETS, ["spearman"], sizes=[QUARTER]),
     "media_kendall": _kendall(SUMMARY, _MEDIA_SENT),
+    "media_wtlcc_volume": _tlcc(SUMMARY, _MEDIA_VOL, WINDOW_OFFSETS, ["spearman"], sizes=[QUARTER]),
+    "media_kendall_volume": _kendall(SUMMARY, _MEDIA_VOL),
+    "media_extremes": _extremes(SUMMARY, _MEDIA_SENT),
+    "media_volume_extremes": _extremes(SUMMARY, _MEDIA_VOL),
+    "media_sentiment_box": f"""WITH {SUMMARY}, long AS (SELECT medium, sentiment FROM ({_media_long('sentiment', '{m}_sentiment', 'sentiment')})),
+{_box('long', 'sentiment', 'medium')}""",
+    "media_sentiment_histogram": f"""WITH {SUMMARY}, long AS ({_media_long('sentiment', '{m}_sentiment', 'v')}),
+nanos AS (SELECT medium, CAST(round(v * 1e9) AS BIGINT) AS signed, abs(CAST(round(v * 1e9) AS BIGINT)) AS nano FROM long),
+cut AS (SELECT medium, sign(signed) * {_TWO_DIGITS} + 0e0 AS sentiment FROM nanos)
+SELECT medium, sentiment, count(*) AS rows FROM cut GROUP BY 1, 2""",
+    "media_sentiment_bins": f"""WITH {SUMMARY}, long AS (
+  SELECT CAST(date AS DATE) AS date, medium, v FROM ({_media_long('sentiment', '{m}_sentiment', 'v')})),
+{_bins('long', 'v', 'medium')}""".replace("TOTAL", _BIN_DOUBLE),
     "user_retweets": f"WITH {USER_POSTS} SELECT username, full_name, retweets FROM users",
     "user_tweets": f"WITH {USER_POSTS} SELECT username, full_name, tweets FROM users",
+    "top_users": f"""WITH {USER_POSTS} SELECT username, full_name, retweets FROM users
+ORDER BY retweets DESC NULLS LAST, username NULLS FIRST LIMIT 20""",
     "user_words": f"WITH {USER_POSTS} SELECT username, full_name, {_r('words_avg')} AS words_avg FROM users",
     "user_metrics": f"""WITH {USER_POSTS}
 SELECT username, full_name, tweets, retweets, {_r('words_avg')} AS words_avg FROM users""",
@@ -536,8 +551,15 @@ SELECT viz, CAST(trunc(words_avg) AS INTEGER) AS words_avg FROM users CROSS JOIN
   SELECT event_id, CASE kind WHEN 0 THEN ts WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) END AS t FROM raw)
 SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('t')} AS date, t IS NOT NULL AS formatted FROM read""",
     "datetime_rejects": f"""WITH {RAW_TIMES} SELECT event_id, 'n/a ' || event_id AS datetime FROM raw WHERE kind = 3""",
-    "datetime_format_check": f"""WITH {RAW_TIMES}
-SELECT CASE WHEN kind < 3 THEN true END AS after, kind < 3 AS formatted, count(*) AS rows FROM raw GROUP BY 1, 2""",
+    "format_pending_datetimes": f"""WITH {RAW_TIMES}, read AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) END
+    WHEN kind = 0 THEN ts WHEN kind = 1 THEN date_trunc('minute', ts) WHEN kind = 2 THEN date_trunc('day', ts) END AS t FROM raw)
+SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('t')} AS date, t IS NOT NULL AS formatted FROM read""",
+    "format_free_datetimes": f"""WITH read AS (
+  SELECT event_id, date_trunc(CASE WHEN event_id % 8 IN (0, 3, 4, 6) THEN 'second' WHEN event_id % 8 IN (1, 2) THEN 'minute' ELSE 'day' END, ts) AS t
+  FROM events)
+SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('t')} AS date, true AS formatted FROM read""",
+    "datetime_format_check": f"""WITH {RAW_TIMES} SELECT event_id % 5 = 0 AS standard, count(*) AS rows FROM raw GROUP BY 1""",
     "word_counts": """SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN -1
   ELSE len(regexp_extract_all(text, '[^ \\t\\n\\f\\r\\v]+')) END AS INTEGER) AS words FROM documents""",
     "clean_html": f"SELECT page_id, {_cleaned('html')} AS text FROM pages",
@@ -572,6 +594,12 @@ FROM rest LEFT JOIN gaps USING (doc_id) LEFT JOIN fill USING (doc_id)""",
     "merge_messages": f"""WITH d AS (SELECT {_TRIMMED} AS text, conv_id, turn, role FROM conversations)
 SELECT text, arg_min(conv_id, (conv_id, turn)) AS conv_id, arg_min(turn, (conv_id, turn)) AS turn,
        arg_min(role, (conv_id, turn)) AS role FROM d GROUP BY text""",
+    "merge_none_text": f"""WITH d AS (
+  SELECT CASE doc_id % 10 WHEN 0 THEN 'None' WHEN 1 THEN NULL ELSE {_TRIMMED} END AS text, doc_id, replace(lang, '"', '') AS lang,
+         CASE WHEN doc_id % 4 <> 0 THEN source END AS source FROM documents)
+SELECT text, arg_min(lang, doc_id) FILTER (lang IS NOT NULL) AS lang, arg_min(source, doc_id) FILTER (source IS NOT NULL) AS source
+FROM d WHERE text IS NOT NULL GROUP BY text
+UNION ALL SELECT text, lang, source FROM d WHERE text IS NULL""",
     "merge_report": f"""WITH d AS (SELECT {_TRIMMED} AS text, doc_id, doc_id % 2 AS rank FROM documents),
 k AS (SELECT text, min(rank) AS opener, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b FROM d GROUP BY 1)
 SELECT 0 AS source, count(*) FILTER (opener = 0) AS inserted, CAST(sum(a) AS BIGINT) - count(*) FILTER (opener = 0) AS updated FROM k
@@ -602,15 +630,28 @@ done AS (SELECT role, coalesce(label, 'NEUTRAL') AS label, coalesce(conf, 0e0) A
 SELECT role, label, count(*) AS "count", {_r('avg(conf)')} AS conf FROM done GROUP BY 1, 2""",
     "csv_export_and_read": f"""WITH {POSTS}
 SELECT {_day('date')} AS date, label, count(*) AS "count", {_r('avg(conf)', 10)} AS conf FROM posts GROUP BY date, label""",
-    "csv_malformed_lines": """SELECT 'x' || o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0""",
+    "csv_malformed_lines": """SELECT 'x' || o_orderkey || ',' || o_orderpriority || ',' || o_totalprice AS line FROM orders WHERE o_orderkey % 5 = 0""",
+    "csv_texts_with_line_breaks": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "csv_columns_by_header": """SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment,
+  CASE WHEN c_custkey % 2 = 1 THEN c_nationkey END AS c_nationkey FROM customer""",
     "csv_drops_malformed": f"SELECT o_orderpriority AS priority, {_r('o_totalprice')} AS price FROM orders WHERE o_orderkey % 5 <> 0",
-    "headerless_articles": f"""SELECT nullif({_TITLE_SQL}, '') AS title, media, url AS link, sha256({_TEXT_SQL}) AS text
+    "headerless_articles": f"""SELECT nullif({_TITLE_SQL}, '') AS title, media, url AS link, {_TEXT_SQL} AS text
 FROM pages CROSS JOIN (SELECT unnest([NULL, 'second run']) AS media)""",
     "found_files": """SELECT o_orderkey AS orderkey, o_orderpriority AS priority FROM orders
 WHERE year(o_orderdate) IN (1996, 1997)""",
     "json_messages": f"""WITH {MESSAGES}
 SELECT event_id AS message_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('ts')} AS date,
        props AS text, user_id, views, forwards FROM messages""",
+    "json_message_arrays": f"""WITH {MESSAGES}
+SELECT event_id AS message_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('ts')} AS date,
+       props AS text, user_id, views, forwards FROM messages""",
+    "json_rejects": "SELECT '{broken ' || event_id AS line FROM events WHERE event_id % 50 = 0",
+    "json_messages_beside_rejects": f"""WITH {MESSAGES}
+SELECT event_id AS message_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS datetime, {_day('ts')} AS date,
+       props AS text, user_id, views, forwards FROM messages WHERE event_id % 50 <> 0""",
+    "messages_incomplete": """SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS date FROM events
+WHERE event_type <> 'error' AND (event_id % 9 = 0 OR event_id % 13 = 0 OR props IS NULL OR (event_id % 5 <> 0 AND user_id IS NULL))""",
+    "table_version": """SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\f\\r\\v]+')) AS INTEGER) AS words FROM documents""",
     "json_chart_data": f"WITH {DAILY} {_monthly(())}",
     "appended_rows": f"WITH {MESSAGES} SELECT event_id AS message_id, user_id, views FROM messages",
 }

@@ -472,6 +472,51 @@ def media_kendall(spark, d):
     return shown(_tlcc(_media(spark, d).series("norm_sent"), "norm_sent", ["kendall"]))
 
 
+@query
+def media_wtlcc_volume(spark, d):
+    """Windowed Spearman correlation of total media volume."""
+    return shown(_tlcc(_media(spark, d).series("count"), "count", ["spearman"], WINDOW_OFFSETS, sizes=[QUARTER]))
+
+
+@query
+def media_kendall_volume(spark, d):
+    """Kendall's tau-b of total media volume with price."""
+    return shown(_tlcc(_media(spark, d).series("count"), "count", ["kendall"]))
+
+
+@query
+def media_extremes(spark, d):
+    """Largest and smallest correlation of mean media sentiment, for each method."""
+    return shown(correlate.correlation_extremes(_tlcc(_media(spark, d).series("norm_sent"), "norm_sent", ["pearson", "spearman"])))
+
+
+@query
+def media_volume_extremes(spark, d):
+    """Largest and smallest correlation of total media volume, for each method."""
+    return shown(correlate.correlation_extremes(_tlcc(_media(spark, d).series("count"), "count", ["pearson", "spearman"])))
+
+
+@query
+def media_sentiment_box(spark, d):
+    """Box-plot numbers of each medium's sentiment."""
+    long = stage(media.melt_media(_media(spark, d).summary, "sentiment"), "media_sentiment")
+    return shown(stats.box_summary(long, "sentiment", ["medium"]))
+
+
+@query
+def media_sentiment_histogram(spark, d):
+    """Days per medium and sentiment at two digits."""
+    long = media.melt_media(_media(spark, d).summary, "sentiment")
+    return stats.histogram(long.withColumn("sentiment", scores.round_even("sentiment", 2)), "sentiment", ["medium"])
+
+
+@query
+def media_sentiment_bins(spark, d):
+    """Sentiment of each medium in date bins."""
+    long = stage(media.melt_media(_media(spark, d).summary, "sentiment"), "media_sentiment")
+    return shown(series.time_bins(long, "sentiment", ["medium"]), 6)
+
+
 # Users
 
 
@@ -487,6 +532,12 @@ def user_tweets(spark, d):
     return users.ranked(users.user_tweets(views.user_posts(spark, d)), "tweets")
 
 
+@query
+def top_users(spark, d):
+    """The twenty users with the most retweets."""
+    return users.ranked(users.user_retweets(views.user_posts(spark, d)), "retweets", 20)
+
+
 @query
 def user_words(spark, d):
     """Mean words per user, highest first."""
@@ -553,15 +604,37 @@ def datetime_rejects(spark, d):
     return enrich.datetime_rejects(views.raw_datetimes(spark, d))
 
 
+@query
+def format_pending_datetimes(spark, d):
+    """Raw datetimes of which some are done: those keep what they hold, digits included."""
+    raw = views.raw_datetimes(spark, d).join(views.table(spark, d, "events").select("event_id", "ts"), "event_id")
+    done = F.col("event_id") % 3 == 0
+    held = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("20200102"))
+    mixed = raw.select("event_id", F.when(done, held).otherwise(F.col("datetime")).alias("datetime"), done.alias("formatted"))
+    return shown(enrich.format_datetimes(mixed))
+
+
+@query
+def format_free_datetimes(spark, d):
+    """Datetime texts in the free layouts, one after the other."""
+    at = F.col("ts").cast("timestamp")
+    layouts = [
+        "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "MM/dd/yyyy HH:mm:ss", "EEE MMM dd HH:mm:ss Z yyyy",
+        "MMM d, yyyy", "EEE, d MMM yyyy HH:mm:ss", "d MMMM yyyy",
+    ]
+    text_ = F.lit(None).cast("string")
+    for k, layout in enumerate(layouts):
+        text_ = F.when(F.col("event_id") % len(layouts) == k, F.date_format(at, layout)).otherwise(text_)
+    return shown(enrich.format_datetimes(views.table(spark, d, "events").select("event_id", text_.alias("datetime"))))
+
+
 @query
 def datetime_format_check(spark, d):
     """Raw datetimes that already have the standard format, per answer."""
-    raw = views.raw_datetimes(spark, d)
-    fixed = enrich.format_datetimes(raw).withColumn("text", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
-    return fixed.groupBy(
-        dates.has_standard_format("text").alias("after"),
-        F.col("formatted"),
-    ).agg(F.count("*").alias("rows"))
+    at = F.col("ts").cast("timestamp")
+    raw = views.raw_datetimes(spark, d).join(views.table(spark, d, "events").select("event_id", "ts"), "event_id")
+    mixed = raw.withColumn("datetime", F.when(F.col("event_id") % 5 == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise(F.col("datetime")))
+    return mixed.groupBy(dates.has_standard_format("datetime").alias("standard")).agg(F.count("*").alias("rows"))
 
 
 @query
@@ -651,6 +724,16 @@ def merge_messages(spark, d):
     return merge.merge_upsert([turns], "text", wanted, ["conv_id", "turn"], trim=True)
 
 
+@query
+def merge_none_text(spark, d):
+    """Documents by text, where some texts are the word None, and many rows without a text are alike."""
+    docs = views.texts(spark, d).select("doc_id", "lang", "source", "text")
+    odd = F.when(F.col("doc_id") % 10 == 0, "None").when(F.col("doc_id") % 10 == 1, None).otherwise(F.col("text"))
+    rows = docs.withColumn("text", odd).withColumn("source", F.when(F.col("doc_id") % 4 == 0, "None").otherwise(F.col("source")))
+    wanted = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "lang", "source")])
+    return merge.merge_upsert([rows], "text", wanted, ["doc_id"], trim=True)
+
+
 @query
 def merge_report(spark, d):
     """Rows inserted and rows merged per source."""
@@ -705,7 +788,7 @@ def sentence_scores(spark, d):
 
 @query
 def classify_lexicon(spark, d):
-    """Verdict of every document by word lists, without a shuffle."""
+    """Verdict of every document by word lists, in one narrow pass."""
     return shown(classify.classify(views.texts(spark, d).select("doc_id", "text"), _scorer()).drop("text"))
 
 
@@ -787,10 +870,28 @@ def csv_drops_malformed(spark, d):
 
 @query
 def csv_malformed_lines(spark, d):
-    """The lines that do not fit."""
+    """The lines that do not fit, whole."""
     path, schema = _damaged_csv(spark, d)
-    bad = readers.malformed_csv(spark, path, schema, header=False)
-    return bad.select(F.split("line", ",")[0].alias("id"))
+    return readers.malformed_csv(spark, path, schema, header=False).select("line")
+
+
+@query
+def csv_texts_with_line_breaks(spark, d):
+    """Whole documents written as CSV with a header and read back."""
+    path = staged_path(spark, "texts_csv")
+    writers.export_view(views.texts(spark, d), "documents_view", path)
+    return readers.read_csv(spark, path, views.texts(spark, d).schema, multiline=True)
+
+
+@query
+def csv_columns_by_header(spark, d):
+    """Two CSV tables whose columns stand in another order, lack one, and hold one more, under one schema."""
+    customers = views.table(spark, d, "customer")
+    one, two = staged_path(spark, "shuffled_csv"), staged_path(spark, "partial_csv")
+    customers.filter("c_custkey % 2 = 0").select("c_mktsegment", "c_custkey", "c_name", "c_acctbal").write.option("header", True).csv(one)
+    customers.filter("c_custkey % 2 = 1").select("c_nationkey", "c_name", "c_custkey").write.option("header", True).csv(two)
+    schema = T.StructType([customers.schema[c] for c in ("c_custkey", "c_name", "c_mktsegment", "c_nationkey")])
+    return readers.read_csv(spark, one, schema).unionByName(readers.read_csv(spark, two, schema))
 
 
 @query
@@ -798,7 +899,7 @@ def headerless_articles(spark, d):
     """Articles appended twice to a headerless CSV, and read back."""
     path = staged_path(spark, "articles_csv")
     pages = articles.extract_articles(views.table(spark, d, "pages"))
-    rows = common.align(pages.withColumnRenamed("url", "link").withColumn("text", F.sha2("text", 256)), schemas.ARTICLE)
+    rows = common.align(pages.withColumnRenamed("url", "link"), schemas.ARTICLE)
     writers.append_csv(rows, path)
     writers.append_csv(rows.withColumn("media", F.lit("second run")), path)
     return readers.read_articles(spark, path).select("title", "media", "link", "text")
@@ -806,15 +907,15 @@ def headerless_articles(spark, d):
 
 @query
 def found_files(spark, d):
-    """Rows of the wanted files among several in nested folders."""
+    """Rows of the wanted files among several in nested folders, a year in each."""
     root = staged_path(spark, "files")
-    orders = views.table(spark, d, "orders")
-    for year in (1996, 1997, 1998):
-        rows = orders.filter(F.year("o_orderdate") == year).select("o_orderkey", "o_orderpriority")
-        rows.write.option("header", True).csv(f"{root}/deep/{year}")
+    orders = views.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("orderkey"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year")
+    )
+    orders.repartitionByRange(32, "year").write.partitionBy("year").option("header", True).csv(root)
+    files = spark.read.option("header", True).csv(root).filter("year IN (1996, 1997)")
+    names = [r.name for r in files.select(F.col("_metadata.file_name").alias("name")).distinct().collect()]
     schema = T.StructType([T.StructField("orderkey", T.LongType()), T.StructField("priority", T.StringType())])
-    wanted = spark.read.schema(schema).csv([f"{root}/deep/1996", f"{root}/deep/1997"]).inputFiles()
-    names = [path.rsplit("/", 1)[-1] for path in wanted]
     return readers.find_files(spark, root, names, schema).select("orderkey", "priority")
 
 
@@ -826,6 +927,54 @@ def json_messages(spark, d):
     return shown(readers.message_rows(readers.read_messages(spark, path)))
 
 
+@query
+def json_message_arrays(spark, d):
+    """Chat messages in files that hold one JSON array each, read back and flattened."""
+    path = staged_path(spark, "message_arrays")
+    batch = F.floor(F.col("id") / 500)
+    arrays = views.messages(spark, d).groupBy(batch.alias("batch")).agg(F.to_json(F.collect_list(F.struct("_", "id", "date", "message", "from_id", "views", "forwards"))).alias("value"))
+    arrays.write.partitionBy("batch").text(path)
+    return shown(readers.message_rows(readers.read_messages(spark, f"{path}/*", lines=False)))
+
+
+def _damaged_messages(spark, d):
+    path = staged_path(spark, "damaged_messages")
+    whole = F.to_json(F.struct("_", "id", "date", "message", "from_id", "views", "forwards"))
+    line = F.when(F.col("id") % 50 == 0, F.concat(F.lit("{broken "), F.col("id"))).otherwise(whole)
+    views.messages(spark, d).select(line.alias("value")).write.text(path)
+    return path
+
+
+@query
+def json_rejects(spark, d):
+    """Lines that are no message."""
+    return readers.malformed_messages(spark, _damaged_messages(spark, d))
+
+
+@query
+def json_messages_beside_rejects(spark, d):
+    """The messages beside them."""
+    return shown(readers.message_rows(readers.read_messages(spark, _damaged_messages(spark, d))))
+
+
+@query
+def messages_incomplete(spark, d):
+    """Messages that lack a field of their kind."""
+    whole = views.messages(spark, d)
+    cut = whole.withColumn("date", F.when(F.col("id") % 9 != 0, F.col("date"))).withColumn(
+        "from_id", F.when(F.col("id") % 13 != 0, F.col("from_id"))
+    )
+    return readers.incomplete_messages(cut).select("id", "date")
+
+
+@query
+def table_version(spark, d):
+    """Counted texts written as a new version of their table, and read back."""
+    path = staged_path(spark, "version")
+    writers.write_version(enrich.count_words(views.texts(spark, d)).select("doc_id", "words"), path)
+    return readers.read_table(spark, path)
+
+
 @query
 def json_chart_data(spark, d):
     """Monthly volumes written as chart data and read back."""

@@ -7,13 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.readers import read_table
 
 
-# Tables of texts, whose rows take long to work on, and the key to spread small ones by.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by=TEXT_TABLES.get(name))
+    """A test table. Times are read in UTC, as the session has it."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

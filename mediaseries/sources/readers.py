@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from ..functions.dates import parse_datetime
 from ..functions.text import nonzero_long
@@ -13,83 +14,100 @@ from ..schemas import ARTICLE, MESSAGE
 BAD = "_corrupt"
 
 
-SPREAD_BYTES_PER_CORE = 32 << 20
-
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A Parquet table, or only some of its columns."""
+    df = spark.read.parquet(path)
+    return df if columns is None else df.select(*columns)
 
-def read_table(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, spread_by: str | None = None
-) -> DataFrame:
-    """A Parquet table, or only some of its columns.
 
-    ``spread_by`` names a key for tables whose rows are costly to work on: a table of
-    fewer files than cores, and small, is hashed over the cores first. The size is
-    checked, so a table that fills its cores with file blocks is never shuffled for this.
-    """
-    df = spark.read.parquet(path)
-    df = df if columns is None else df.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is None or len(df.inputFiles()) >= cores:
-        return df
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    size = files.agg(F.sum("length").alias("bytes")).first()["bytes"]
-    return df.repartition(cores, spread_by) if size < cores * SPREAD_BYTES_PER_CORE else df
+def _options(reader: DataFrameReader, header: bool, multiline: bool) -> DataFrameReader:
+    return reader.option("header", header).option("multiLine", multiline).option("escape", '"')
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> DataFrame:
+def _csv(reader: DataFrameReader, path, schema: T.StructType, header: bool, multiline: bool) -> DataFrame:
     """Rows with a column that holds the raw line where a row does not fit the schema.
 
-    The CSV parser skips columns nobody asks for and then misses faults in them. The
-    filter, true for every row, asks for all of them.
+    The header says what the columns are: they may come in any order, further ones are read over and missing ones are
+    NULL. All files of one call have one header; a file with another is an error, not a mix-up. The CSV parser
+    skips columns nobody asks for and then misses faults in them. The filter, true for every row, asks for all.
     """
-    audited = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    held = schema
+    if header:
+        types = {f.name: f.dataType for f in schema.fields}
+        names = _options(reader, True, multiline).csv(path).columns  # reads one line
+        held = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+    audited = T.StructType([*held.fields, T.StructField(BAD, T.StringType())])
     rows = (
-        spark.read.schema(audited)
-        .option("header", header)
+        _options(reader, header, multiline)
+        .schema(audited)
+        .option("enforceSchema", not header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD)
-        .option("escape", '"')
         .csv(path)
     )
-    return rows.filter(F.size(F.array(*[F.col(f"`{n}`").cast("string") for n in schema.names])) == len(schema))
+    asked = rows.filter(F.size(F.array(*[F.col(f"`{n}`").cast("string") for n in held.names])) == len(held))
+    out = [F.col(f"`{f.name}`") if f.name in held.names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return asked.select(*out, BAD, F.col("_metadata.file_name").alias("_file"))
+
 
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, header: bool = True, multiline: bool = False
+) -> DataFrame:
+    """CSV rows that fit the schema; malformed ones are dropped, whatever columns a query keeps.
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    """CSV rows that fit the schema; malformed ones are dropped, whatever columns a query keeps."""
-    return _csv(spark, path, schema, header).filter(F.col(BAD).isNull()).drop(BAD)
+    With ``multiline`` texts may run over several lines, and a file is one task. Files with different headers are
+    read by a call each and united by name.
+    """
+    return _csv(spark.read, path, schema, header, multiline).filter(F.col(BAD).isNull()).drop(BAD, "_file")
 
 
-def malformed_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+def malformed_csv(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, header: bool = True, multiline: bool = False
+) -> DataFrame:
     """The rows ``read_csv`` drops: what could be read of them, and the raw ``line``."""
-    return _csv(spark, path, schema, header).filter(F.col(BAD).isNotNull()).withColumnRenamed(BAD, "line")
+    found = _csv(spark.read, path, schema, header, multiline).filter(F.col(BAD).isNotNull())
+    return found.withColumnRenamed(BAD, "line").drop("_file")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """The headerless files of crawled articles. A text may run over several lines, so a file is one task."""
-    return spark.read.schema(ARTICLE).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+    return read_csv(spark, path, ARTICLE, header=False, multiline=True)
 
 
-def find_files(spark: SparkSession, root: str, names: Sequence[str], schema: T.StructType, header: bool = True) -> DataFrame:
+def find_files(
+    spark: SparkSession, root: str, names: Sequence[str], schema: T.StructType, header: bool = True, multiline: bool = False
+) -> DataFrame:
     """CSV rows of the named files, wherever they lie under ``root``, with the file each came from.
 
-    The names prune files before any is opened.
+    The names prune files while they are listed; rows that do not fit the schema are dropped.
     """
-    found = (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("recursiveFileLookup", True)
-        .option("escape", '"')
-        .csv(root)
-    )
-    return found.select("*", F.col("_metadata.file_name").alias("file")).filter(F.col("file").isin(list(names)))
+    plain = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", n) for n in names]
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(plain) + "}")
+    found = _csv(reader, root, schema, header, multiline)
+    return found.filter(F.col(BAD).isNull()).drop(BAD).withColumnRenamed("_file", "file")
+
+
+def _messages(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    audited = T.StructType([*MESSAGE.fields, T.StructField(BAD, T.StringType())])
+    return spark.read.schema(audited).option("multiLine", not lines).option("columnNameOfCorruptRecord", BAD).json(path)
 
 
 def read_messages(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Exported chat messages as nested rows.
+    """Exported chat messages as nested rows; what is no message goes to ``malformed_messages``.
 
     ``lines=True`` reads one message per line, which Spark splits at any size.
     ``lines=False`` reads files that each hold one JSON array; such a file is one task.
     """
-    return spark.read.schema(MESSAGE).option("multiLine", not lines).json(path)
+    found = _messages(spark, path, lines)
+    asked = found.filter(F.size(F.array(*[F.col(f"`{n}`").cast("string") for n in MESSAGE.names])) == len(MESSAGE))
+    return asked.filter(F.col(BAD).isNull()).drop(BAD)
+
+
+def malformed_messages(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """The raw ``line`` (or file) of what ``read_messages`` leaves out."""
+    found = _messages(spark, path, lines)
+    asked = found.filter(F.size(F.array(*[F.col(f"`{n}`").cast("string") for n in MESSAGE.names])) == len(MESSAGE))
+    return asked.filter(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line"))
 
 
 def message_rows(messages: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: Texts keep the blanks at their ends.
+_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -16,13 +20,13 @@ def write_version(df: DataFrame, path: str) -> None:
 
 def append_csv(df: DataFrame, path: str) -> None:
     """Rows without a header line."""
-    df.write.mode("append").option("header", False).option("escape", '"').csv(path)
+    df.write.mode("append").option("header", False).options(**_BLANKS).csv(path)
 
 
 def export_view(df: DataFrame, name: str, path: str) -> None:
-    """Register a named view and write what it holds as CSV with a header."""
+    """Register a named view and write what it holds as CSV with a header. CSV reads empty texts back as NULL."""
     df.createOrReplaceTempView(name)
-    df.sparkSession.table(name).write.option("header", True).option("escape", '"').csv(path)
+    df.sparkSession.table(name).write.option("header", True).options(**_BLANKS).csv(path)
 
 
 def write_chart_data(df: DataFrame, path: str) -> None:

@@ -79,11 +79,6 @@ def test_three_labels_in_a_table(spark):
     assert labels(classify.text_verdicts(df, "id")) == {1: ("NEUTRAL", 0.6), 2: ("A", 0.3)}
 
 
-def test_long_lexicon_is_refused():
-    with pytest.raises(ValueError):
-        classify.lexicon_scorer([f"w{k}" for k in range(10_001)], [])
-
-
 def test_no_shuffle(texts):
     plan = classify.classify(texts, SCORER)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
@@ -121,3 +116,27 @@ def test_datetimes_and_rejects(spark):
     assert got == {1: ("1970-01-01", True), 2: ("None", False), 3: ("None", False)}
     assert [tuple(r) for r in enrich.datetime_rejects(df).collect()] == [(2, "junk")]
     assert [r.words for r in enrich.count_words(df, "datetime").orderBy("id").collect()] == [1, 1, None]
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda batch: [("POSITIVE", 0.5) for _ in batch]
+
+    df = spark.createDataFrame([(k, "One. Two.") for k in range(64)], "id int, text string").repartition(32)
+    scorer = classify.model_scorer(load)
+    for _ in range(2):
+        assert classify.classify(df, scorer).filter("label = 'POSITIVE'").count() == 64
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) < 64
+
+
+def test_formatted_rows_are_not_parsed_again(spark):
+    df = spark.createDataFrame([(1, "20200102", True), (2, "20200102", False), (3, "2020-01-02 03:04:05", True), (4, "0", None)], "id int, datetime string, formatted boolean")
+    got = {r.id: str(r.datetime) for r in enrich.format_datetimes(df).collect()}
+    assert got == {1: "None", 2: "1970-08-22 19:08:22", 3: "2020-01-02 03:04:05", 4: "1970-01-01 00:00:00"}

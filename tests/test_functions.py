@@ -114,12 +114,6 @@ def test_parse_datetime(spark, raw, want):
     assert got == (None if want is None else round(want.timestamp() * 1e6))
 
 
-def test_dateutil_is_a_last_resort(spark):
-    values = ["2018-01-07", "7th of January 2018 at 12:00", "nonsense", None]
-    got = column(spark, values, lambda c: F.date_format(dates.parse_datetime(c, dateutil=True), "yyyy-MM-dd HH:mm"))
-    assert got == ["2018-01-07 00:00", "2018-01-07 12:00", None, None]
-
-
 def test_standard_format(spark):
     assert column(spark, ["2018-01-07 10:11:12.5", "2018-01-07", None], dates.has_standard_format) == [True, False, None]
 

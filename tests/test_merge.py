@@ -105,3 +105,12 @@ def test_hot_text_is_reduced_where_it_lies(spark):
     got = merge.merge_upsert([df], "text", SCHEMA, ["n"])
     assert got.count() == 20001
     assert tuple(got.filter("text = 'spam'").first()) == (0, "spam", "en", 0)
+
+
+def test_the_text_none_keeps_its_key(spark):
+    rows = spark.createDataFrame([("None", "None", 0), ("None", "x", 1), (None, "None", 2), (None, "None", 3)], "text string, lang string, n int")
+    wanted = T.StructType([T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
+    got = sorted((tuple(r) for r in merge.merge_upsert([rows], "text", wanted, ["n"]).collect()), key=str)
+    assert got == [("None", "x"), (None, None), (None, None)]
+    kept = sorted((tuple(r) for r in merge.merge_upsert([rows], "text", wanted, ["n"], none_is_missing=[False]).collect()), key=str)
+    assert kept == [("None", "None"), (None, "None"), (None, "None")]

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from mediaseries.operators import users
 
 SF = "/root/testdata/sf0.001"
 PLANNED = [
@@ -45,3 +46,11 @@ def test_user_sums_never_sort_posts(spark):
     physical = users.user_metrics(posts)._jdf.queryExecution().executedPlan().toString()
     for scan in physical.split("Scan ExistingRDD")[:-1]:
         assert "HashAggregate" in scan.rsplit("Exchange", 1)[-1]
+
+
+def test_user_metrics_scan_posts_once(spark):
+    posts = spark.read.parquet(f"{SF}/documents.parquet").selectExpr(
+        "source AS username", "lang AS full_name", "text", "n_chars AS retweets", "n_chars AS words"
+    )
+    plan = users.user_metrics(posts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("FileScan") == 1

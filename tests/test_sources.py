@@ -87,18 +87,39 @@ def test_tables(spark, tmp_path):
         writers.write_version(df, path)
     writers.append_rows(df, path)
     assert readers.read_table(spark, path, ["v"]).count() == 20
-    spread = readers.read_table(spark, path, spread_by="k")
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     got = [tuple(r) for r in common.describe_columns(df).orderBy("position").collect()]
     assert got == [(0, "k", "bigint"), (1, "v", "bigint")]
 
 
-def test_large_tables_are_not_spread(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "t")
-    spark.range(1000).write.parquet(path)
-    monkeypatch.setattr(readers, "SPREAD_BYTES_PER_CORE", 1)
-    plan = readers.read_table(spark, path, spread_by="id")._jdf.queryExecution().toString()
-    assert "Repartition" not in plan
+def test_csv_columns_go_by_their_names(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "v,extra,id\n1.5,x,1\nbad,y,2\n2.5,z,3\n")
+    assert sorted(tuple(r) for r in readers.read_csv(spark, path, SCHEMA).collect()) == [(1, None, 1.5), (3, None, 2.5)]
+    assert [r.line for r in readers.malformed_csv(spark, path, SCHEMA).collect()] == ["bad,y,2"]
+    other = write(tmp_path / "b.csv", "name,id\nn,7\n")
+    both = readers.read_csv(spark, path, SCHEMA).unionByName(readers.read_csv(spark, other, SCHEMA))
+    assert sorted((tuple(r) for r in both.collect()), key=str) == [(1, None, 1.5), (3, None, 2.5), (7, "n", None)]
+    write(tmp_path / "same" / "1.csv", "id,name,v\n1,a,1\n")
+    write(tmp_path / "same" / "2.csv", "name,id,v\nb,2,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path / "same"), SCHEMA).collect()
+
+
+def test_csv_texts_over_several_lines(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'line one\nline "two"\r\nthree, ', 0.5), (2, None, None)], SCHEMA)
+    writers.export_view(df, "lines", str(tmp_path / "t"))
+    got = readers.read_csv(spark, str(tmp_path / "t"), SCHEMA, multiline=True).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in df.collect())
+
+
+def test_found_files_drop_malformed(spark, tmp_path):
+    write(tmp_path / "x" / "one.csv", "v,id,name\n2,1,a\nzz,2,b\n")
+    assert [tuple(r)[:3] for r in readers.find_files(spark, str(tmp_path), ["one.csv"], SCHEMA).collect()] == [(1, "a", 2.0)]
+
+
+def test_malformed_messages(spark, tmp_path):
+    path = write(tmp_path / "m.json", json.dumps(message()) + "\n{nonsense\n")
+    assert [r.line for r in readers.malformed_messages(spark, path).collect()] == ["{nonsense"]
+    assert readers.read_messages(spark, path).count() == 1
 
 
 def test_stage_uses_the_named_folder(spark, tmp_path):
