@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from mediaseries.plans.queries import QUERIES  # noqa: E402
-from mediaseries.session import build_session  # noqa: E402
+from mediaseries.session import build_session, staging  # noqa: E402
 
 HEADLINE = (
     "daily_info",
@@ -46,7 +46,8 @@ def main() -> None:
     seconds = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with staging(spark):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     line = {

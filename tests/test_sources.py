@@ -131,3 +131,11 @@ def test_stage_uses_the_named_folder(spark, tmp_path):
     if old:
         assert folder == old.rstrip("/")
     assert all(folder.split(":")[-1] in f for f in staged.inputFiles())
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with session.staging(spark):
+        path = session.stage(spark.range(5), "numbers").inputFiles()[0]
+        assert spark.read.parquet(path).count() >= 0
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path).count()
