@@ -30,7 +30,7 @@ _NOT_BLANK = r"(?U)[^\s\x1c-\x1f]+"
 
 # A sentence ends at . ! or ?, perhaps inside a closing quote or bracket, before a blank.
 _SENTENCE_END = r"""([.!?]["')\]]?)[ \t\r\n\f]+"""
-_MARK = "\uffff"  # a noncharacter, which no text holds
+_MARK = "\uffff"  # a noncharacter; where a text holds it all the same, it is dropped first
 
 
 def _col(c: Column | str) -> Column:
@@ -67,7 +67,7 @@ def clean_html(c: Column | str) -> Column:
 
 def split_sentences(c: Column | str) -> Column:
     """Array of non-empty sentences in text order."""
-    marked = F.regexp_replace(_col(c), _SENTENCE_END, f"$1{_MARK}")
+    marked = F.regexp_replace(F.replace(_col(c), F.lit(_MARK), F.lit("")), _SENTENCE_END, f"$1{_MARK}")
     parts = F.transform(F.split(marked, _MARK), lambda s: F.btrim(s, F.lit(BLANKS)))
     return F.filter(parts, lambda s: s != "")
 

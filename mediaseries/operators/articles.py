@@ -36,6 +36,7 @@ def page_text(html: Column | str) -> Column:
     """Paragraphs of the body, a blank line between them."""
     html = F.col(html) if isinstance(html, str) else html
     bare = F.regexp_replace(F.regexp_replace(html, _TITLE, ""), _DROPPED, "")
+    bare = F.replace(bare, F.lit("\x1e"), F.lit(""))  # the mark that paragraphs are split at
     parts = F.split(F.regexp_replace(bare, _PARAGRAPH_BREAK, "\x1e"), "\x1e")
     tidy = F.transform(parts, lambda p: _tidy(F.regexp_replace(p, _TAG, "")))
     return F.array_join(F.filter(tidy, lambda p: p != ""), "\n\n")

@@ -39,9 +39,11 @@ def describe_columns(df: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each group under a total order.
 
-    An aggregate with map-side combine, so a group of any size is reduced where it lies.
+    Equal rows are dropped by hash first, then an aggregate with map-side combine reduces a group of any size
+    where it lies; its sort (texts have no hash aggregate) sees distinct rows only.
     """
     rest = [c for c in df.columns if c not in by]
+    df = df.distinct()
     first = F.min(F.struct(*order, F.struct(*rest).alias("row"))).alias("first")
     return df.groupBy(*by).agg(first).select(*[F.col(c) if c in by else F.col(f"first.row.{c}") for c in df.columns])
 

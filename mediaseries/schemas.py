@@ -31,10 +31,4 @@ MESSAGE = T.StructType([
     T.StructField("views", _L), T.StructField("forwards", _L),
 ])
 
-CITY = _schema(country_code=_S, country_name=_S, country_id=_S)
-COUNTRY = _schema(alpha_2=_S, name=_S, numeric=_S)
 DAILY_INFO = _schema(date=T.DateType(), label=_S, count=_L, conf=_D)
-MARKET_DAILY = _schema(date=T.DateType(), high=_D, low=_D)
-TOP_TWEETERS = _schema(username=_S, full_name=_S, tweets=_L)
-TOP_RETWEETED = _schema(username=_S, full_name=_S, retweets=_L)
-WORDS_AVG = _schema(username=_S, full_name=_S, words_avg=_D)

@@ -135,3 +135,7 @@ def test_rounding_and_scaling(spark):
     assert got == [0.12, 0.38, 2.5, 0.3, -0.12]
     flat = column(spark, [1.0], lambda c: scores.normalized(c, F.lit(2.0), F.lit(2.0)), "double")
     assert flat == [None]
+
+
+def test_sentences_of_a_text_that_holds_the_mark(spark):
+    assert column(spark, ["One￿ two. Three", None], text.split_sentences, "string") == [["One two.", "Three"], None]
