@@ -20,7 +20,10 @@ BASE = {
     "mit license": "mit",
 }
 #: Without one of these no rule and no base phrase matches (the words ``cc by`` apart).
-GATES = ("licen", "copyright", "copyleft", "spdx", "gpl", "commons", "domain", "reserved", "permission", "redistribution", "warrant", "cc0")
+GATES = (
+    "licen", "copyright", "copyleft", "spdx", "gpl", "commons", "domain", "reserved", "permission", "redistribution", "warrant", "cc0",
+    "bsd", "wtfpl", "mulan", "attribution", "variant", "proprietary",
+)
 
 _OR_LATER = "(?: or (?:any |at your option any )?(?:later|newer)(?: version)?)?"
 # Each license: label, keyword, how its title is written (words, lower case), its identifier as words.
