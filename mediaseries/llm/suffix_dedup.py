@@ -33,7 +33,8 @@ SAMPLE_TEXTS = 2000
 SAMPLE_ANCHORS = 32
 SMALL = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_WANTED = np.dtype([("place", "<u4"), ("back", "u1"), ("span", "u1")])
+_WANTED = np.dtype([("id", "<i8"), ("hash", "<i8"), ("place", "<u4"), ("back", "u1"), ("span", "u1")])
+_PLACE = np.dtype([("place", "<u4"), ("back", "u1"), ("span", "u1")])
 _SPAN = np.dtype([("id", "<i8"), ("hash", "<i8"), ("first", "<i8"), ("last", "<i8")])
 
 
@@ -262,33 +263,57 @@ def _send_anchors(buckets: int, length: int, gram: int):
     return send
 
 
-def _find_candidates(table: pa.Table) -> pa.Table:
-    """Anchors of one bucket whose hash occurs twice, one row per text."""
-    ids, hashes, marks, kinds, base = [], [], [], [], 0
-    for row in table.select(["kind", "ids", "hashes", "marks"]).to_pylist():
-        mark = unpack(row["marks"], _MARK)
-        ids.append(np.frombuffer(row["ids"], np.int64))
-        hashes.append(np.frombuffer(row["hashes"], np.int64))
-        mark["text"] += base
-        base += len(ids[-1])
-        marks.append(mark)
-        kinds.append(np.full(len(mark), row["kind"]))
-    ids, hashes, marks, known = np.concatenate(ids), np.concatenate(hashes), np.concatenate(marks), np.concatenate(kinds) == 1
-    sent = np.flatnonzero(~known)
-    _, inverse, count = np.unique(marks["key"][sent], return_inverse=True, return_counts=True)
-    known[sent] = (count[inverse] > 1) & (marks["span"][sent] != 255)
-    marks = marks[known]
-    marks = marks[np.argsort(marks["text"], kind="stable")]
-    wanted = np.empty(len(marks), _WANTED)
-    for name in _WANTED.names:
-        wanted[name] = marks[name]
-    edges = np.searchsorted(marks["text"], np.arange(base + 1))
-    full = np.flatnonzero(edges[1:] > edges[:-1])
+def _find_candidates(buckets: int):
+    """Anchors of one bucket whose hash occurs twice, packed by the bucket of their text."""
+
+    def find(table: pa.Table) -> pa.Table:
+        ids, hashes, marks, kinds, base = [], [], [], [], 0
+        for row in table.select(["kind", "ids", "hashes", "marks"]).to_pylist():
+            mark = unpack(row["marks"], _MARK)
+            ids.append(np.frombuffer(row["ids"], np.int64))
+            hashes.append(np.frombuffer(row["hashes"], np.int64))
+            mark["text"] += base
+            base += len(ids[-1])
+            marks.append(mark)
+            kinds.append(np.full(len(mark), row["kind"]))
+        ids, hashes, marks, known = np.concatenate(ids), np.concatenate(hashes), np.concatenate(marks), np.concatenate(kinds) == 1
+        sent = np.flatnonzero(~known)
+        _, inverse, count = np.unique(marks["key"][sent], return_inverse=True, return_counts=True)
+        known[sent] = (count[inverse] > 1) & (marks["span"][sent] != 255)
+        marks = marks[known]
+        wanted = np.empty(len(marks), _WANTED)
+        wanted["id"], wanted["hash"] = ids[marks["text"]], hashes[marks["text"]]
+        for name in _PLACE.names:
+            wanted[name] = marks[name]
+        wanted = wanted[np.lexsort((wanted["place"], wanted["hash"], wanted["id"]))]
+        bucket = (mix(wanted["hash"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        return pa.table(
+            {
+                "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
+                "wanted": pa.array([pack(wanted[p]) for p in parts], pa.binary()),
+            }
+        )
+
+    return find
+
+
+def _gather_candidates(table: pa.Table) -> pa.Table:
+    """The candidates of one bucket of texts, one row per text."""
+    wanted = np.concatenate([unpack(w, _WANTED) for w in table.column("wanted").to_pylist()])
+    wanted = wanted[np.lexsort((wanted["place"], wanted["hash"], wanted["id"]))]
+    fresh = (wanted["id"][1:] != wanted["id"][:-1]) | (wanted["hash"][1:] != wanted["hash"][:-1])
+    begins = np.concatenate([[0], np.flatnonzero(fresh) + 1])
+    ends = np.append(begins[1:], len(wanted))
+    places = np.empty(len(wanted), _PLACE)
+    for name in _PLACE.names:
+        places[name] = wanted[name]
     return pa.table(
         {
-            "__id": pa.array(ids[full], pa.int64()),
-            "__hash": pa.array(hashes[full], pa.int64()),
-            "marks": pa.array([wanted[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()),
+            "__id": pa.array(np.ascontiguousarray(wanted["id"][begins])),
+            "__hash": pa.array(np.ascontiguousarray(wanted["hash"][begins])),
+            "marks": pa.array([places[low:high].tobytes() for low, high in zip(begins, ends)], pa.binary()),
         }
     )
 
@@ -332,9 +357,9 @@ def _send_suffixes(splitters: list[bytes], length: int, gram: int):
             data, at = text_buffer(_field(batch, "text"))
             data = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
             ids, hashes = _numbers(_column(batch, "__id")), _numbers(_column(batch, "__hash"))
-            marks = [np.frombuffer(b"".join(x), _WANTED) for x in _column(batch, "marks").to_pylist()]
+            marks = [np.frombuffer(x, _PLACE) for x in _column(batch, "marks").to_pylist()]
             text = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
-            mark = np.concatenate(marks) if marks else np.zeros(0, _WANTED)
+            mark = np.concatenate(marks) if marks else np.zeros(0, _PLACE)
             for low in range(0, len(mark), HELD_SUFFIXES):
                 t, m = text[low : low + HELD_SUFFIXES], mark[low : low + HELD_SUFFIXES]
                 place, back = m["place"].astype(np.int64), m["back"].astype(np.int64)
@@ -419,8 +444,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gra
     leads = sorted(r[0] for r in sample.mapInArrow(_sample_leads(length, gram), "lead binary").collect())
     splitters = sorted({bytes(leads[k * len(leads) // parts]) for k in range(1, parts)}) if leads else []
     sent = texts.select("__id", "__hash", "row.text").mapInArrow(_send_anchors(parts, length, gram), "bucket int, kind int, ids binary, hashes binary, marks binary")
-    candidates = sent.groupBy("bucket").applyInArrow(_find_candidates, "__id long, __hash long, marks binary")
-    wanted = candidates.groupBy("__id", "__hash").agg(F.collect_list("marks").alias("marks"))
+    candidates = sent.groupBy("bucket").applyInArrow(_find_candidates(parts), "bucket int, wanted binary")
+    wanted = candidates.groupBy("bucket").applyInArrow(_gather_candidates, "__id long, __hash long, marks binary")
     suffixes = (
         texts.join(wanted, ["__id", "__hash"])
         .select("__id", "__hash", "row", "marks")
