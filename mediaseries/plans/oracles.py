@@ -174,7 +174,7 @@ top AS (SELECT method, max(correlation) AS hi, min(correlation) AS lo FROM tlcc
 SELECT method, {_r('any_value(hi)')} AS max_corr,
        CAST(min(k) FILTER (correlation = hi) AS INTEGER) AS max_offset,
        {_r('any_value(lo)')} AS min_corr, CAST(min(k) FILTER (correlation = lo) AS INTEGER) AS min_offset
-FROM tlcc JOIN top USING (method) GROUP BY method"""
+FROM tlcc JOIN top USING (method) WHERE hi IS NOT NULL GROUP BY method"""
 
 
 DAILY = _daily()
