@@ -7,7 +7,7 @@ point, so two signatures agree in a component with the probability of the weight
 only up to the time at which all components have one.
 
 Copies of the same words are one node. Nodes that share a band meet its smallest node and are compared exactly, run
-by run. Only buckets that still hold several components are looked into further, in blocks of bounded size.
+by run. Only buckets that still hold several components are looked into further, in pairs of blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..session import stage
 from .components import components
@@ -25,7 +26,7 @@ SIMILAR = 0.8
 BANDS = 32
 ROWS = 4
 #: Nodes of a bucket that are compared in one block.
-BLOCK = 1024
+BLOCK = 512
 #: Agreement of signatures (of 128 components) below which a similarity of 0.8 is out of the question: five deviations.
 HOPELESS = 0.62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,11 +122,11 @@ def _sign(bands: int, rows: int, shingle: int):
                     total = np.zeros(n, np.uint64)
                     np.add.at(total, owner, value)
                     twins.append(total.view(np.int64))
-                buckets = band_buckets(signatures, bands, rows).view(np.int64)
+                buckets = band_buckets(signatures, bands, rows).astype(">u8")
                 yield pa.record_batch(
                     [ids.slice(low, n), pa.array(np.diff(word_at)), *[pa.array(t) for t in twins], pa.array(np.diff(run_at)),
                      pa.Array.from_buffers(pa.binary(bands * rows), n, [None, pa.py_buffer((signatures & np.uint64(0xFF)).astype(np.uint8).tobytes())]).cast(pa.binary()),
-                     pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), bands).cast(pa.list_(pa.int64()))],
+                     pa.Array.from_buffers(pa.binary(bands * 8), n, [None, pa.py_buffer(buckets.tobytes())]).cast(pa.binary())],
                     ["id", "words", "twin1", "twin2", "runs", "signature", "buckets"],
                 )
 
@@ -172,27 +173,76 @@ def _similar_pairs(similar: float):
     return pairs
 
 
-def _block_pairs(similar: float, hopeless: float):
-    """Pairs of two blocks of a bucket that lie in different components and may be similar."""
-
-    def pairs(table: pa.Table) -> pa.Table:
-        node, own, runs = (table.column(c).to_numpy() for c in ("node", "component", "runs"))
-        left = table.column("left").to_numpy(zero_copy_only=False)
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-        same_block = table.column("same")[0].as_py()
-        rows = np.arange(len(node)) if same_block else np.flatnonzero(left)
-        columns = rows if same_block else np.flatnonzero(~left)
-        a, b = [], []
-        for r in rows:
-            some = columns[(own[columns] != own[r]) & (np.minimum(runs[columns], runs[r]) >= similar * np.maximum(runs[columns], runs[r]))]
-            if same_block:
-                some = some[node[some] > node[r]]
-            some = some[(signature[some] == signature[r]).mean(1) >= hopeless]
-            a += [node[r]] * len(some)
-            b += node[some].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The two sides of a block pair, which are one and the same inside a block."""
+    if table.column("same")[0].as_py():
+        every = np.arange(table.num_rows)
+        return every, every, True
+    left = table.column("left").to_numpy(zero_copy_only=False)
+    return np.flatnonzero(left), np.flatnonzero(~left), False
 
-    return pairs
+
+def _fixed(table: pa.Table, name: str, kind) -> np.ndarray:
+    """A column of equally long binaries as a matrix."""
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(table.num_rows, -1)
+
+
+def _partners(table: pa.Table, similar: float, hopeless: float):
+    """For each row of a block pair, the rows of other components that may be similar to it.
+
+    Sizes and signatures must allow it, and this must be the first bucket that both have in common, so that a pair turns
+    up once only.
+    """
+    rows, columns, same = _sides(table)
+    own, runs, node = (table.column(c).to_numpy() for c in ("component", "runs", "node"))
+    signature, buckets = _fixed(table, "signature", np.uint8), _fixed(table, "buckets", ">i8")
+    band = int(np.flatnonzero(buckets[0] == table.column("bucket")[0].as_py())[0])
+    for r in rows:
+        some = columns[(own[columns] != own[r]) & (np.minimum(runs[columns], runs[r]) >= similar * np.maximum(runs[columns], runs[r]))]
+        if same:
+            some = some[node[some] > node[r]]
+        some = some[(signature[some] == signature[r]).mean(1) >= hopeless]
+        if len(some):
+            some = some[~(buckets[some, :band] == buckets[r, :band]).any(1)]
+        if len(some):
+            yield r, some
+
+
+def _open_rows(similar: float, hopeless: float):
+    """The rows of a block pair that have a partner in it."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        wanted = np.zeros(table.num_rows, bool)
+        for r, some in _partners(table, similar, hopeless):
+            wanted[r] = True
+            wanted[some] = True
+        return table.filter(pa.array(wanted))
+
+    return rows
+
+
+def _compare_blocks(similar: float, hopeless: float):
+    """Links between the components of a block pair, by exact comparison; none between what is already connected."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets, own = table.column("sets").to_pylist(), table.column("component").to_numpy()
+        top = {c: c for c in own.tolist()}
+        links = []
+
+        def find(c):
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        for r, some in _partners(table, similar, hopeless):
+            for k in some.tolist():
+                one, other = find(int(own[r])), find(int(own[k]))
+                if one != other and overlap(sets[r], sets[k]) >= similar:
+                    top[max(one, other)] = min(one, other)
+                    links.append((int(own[r]), int(own[k])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compare
 
 
 def node_ids(key: str) -> F.Column:
@@ -213,7 +263,7 @@ def near_duplicates(
     made from the text. An empty table gives no rows.
     """
     texts = docs.select(node_ids(key).alias("id"), "text")
-    kind = "id long, words long, twin1 long, twin2 long, runs long, signature binary, buckets array<long>"
+    kind = "id long, words long, twin1 long, twin2 long, runs long, signature binary, buckets binary"
     signed = stage(texts.mapInArrow(_sign(bands, rows, shingle), kind), "signatures")
     full = signed.where("words > 0")
     nodes = stage(
@@ -222,34 +272,24 @@ def near_duplicates(
         ),
         "nodes",
     )
-    banded = nodes.select("node", F.explode("buckets").alias("bucket"))
+    at = F.sequence(F.lit(1), F.lit(16 * bands - 15), F.lit(16))
+    places = F.transform(at, lambda k: F.conv(F.substring(F.hex("buckets"), k, F.lit(16)), 16, -10).cast("long"))
+    banded = nodes.select("node", F.explode(places).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = stage(banded.join(shared, "bucket"), "members")
-    pairs = stage(members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     sizes = nodes.select("node", "runs")
-
-    def linked(candidates: DataFrame) -> DataFrame:
-        """The candidates that are similar by an exact comparison."""
-        wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        sets = texts.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, runs binary")
-        held = stage(sets.groupBy("id").agg(F.min("runs").alias("runs")), "runs")
-        both = candidates.join(held.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a").join(
-            held.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b"
-        )
-        return stage(both.mapInArrow(_similar_pairs(similar), "a long, b long"), "similar")
-
-    def in_reach(candidates: DataFrame) -> DataFrame:
-        """Without pairs whose sizes alone rule the similarity out."""
-        sized = candidates.join(sizes.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(
-            sizes.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b"
-        )
-        return sized.where(F.least("x", "y") >= F.lit(similar) * F.greatest("x", "y")).select("a", "b")
-
-    links = linked(stage(in_reach(pairs), "candidates"))
+    reach = pairs.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b").where(F.least("x", "y") >= F.lit(similar) * F.greatest("x", "y"))
+
+    # The texts meet their ids by a shuffle at any size, as they do when the ids are many.
+    wanted = members.select(F.col("node").alias("id")).distinct()
+    sets = texts.hint("merge").join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, runs binary")
+    held = stage(sets.groupBy("id").agg(F.min("runs").alias("sets")), "sets")
+    both = reach.select("a", "b").join(held.toDF("a", "runs_a").hint("merge"), "a").join(held.toDF("b", "runs_b").hint("merge"), "b")
+    similar_pairs = both.mapInArrow(_similar_pairs(similar), "a long, b long")
     # Copies lead to their node, and rows of one id that differ in their words meet in that id.
-    several = full.join(nodes.select("twin1", "twin2", "node"), ["twin1", "twin2"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    links = stage(links.union(several.where("a <> b").distinct()), "links-first")
-    found = components(links)
+    copies = full.join(nodes.select("twin1", "twin2", "node"), ["twin1", "twin2"]).where("id <> node").select("id", "node")
+    found = stage(components(similar_pairs.union(copies)), "components")
 
     # Buckets of three or more nodes that are not yet all connected: the pairs that did not meet by way of the pivot.
     placed = members.where("n > 2").join(found.withColumnRenamed("component", "c"), "node", "left").select(
@@ -260,31 +300,36 @@ def near_duplicates(
         "low < high"
     )
     blocks = F.ceil(F.col("size") / BLOCK)
-    open_nodes = (
+    shape = StructType(
+        [StructField(c, IntegerType()) for c in ("first", "second")]
+        + [StructField(c, BooleanType()) for c in ("left", "same")]
+        + [StructField(c, LongType()) for c in ("bucket", "node", "component", "runs")]
+        + [StructField(c, BinaryType()) for c in ("signature", "buckets")]
+    )
+    dealt = (
         placed.join(split, "bucket")
         .where("node <> pivot")
         .withColumns({"blocks": blocks.cast("int"), "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-        .join(nodes.select("node", "runs", "signature"), "node")
+        .join(nodes.select("node", "runs", "signature", "buckets"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "bucket",
-            F.least("block", "other").alias("first"),
-            F.greatest("block", "other").alias("second"),
-            (F.col("block") <= F.col("other")).alias("left"),
-            (F.col("block") == F.col("other")).alias("same"),
-            "node", "component", "runs", "signature",
+        .withColumns(
+            {
+                "first": F.least("block", "other"),
+                "second": F.greatest("block", "other"),
+                "left": F.col("block") < F.col("other"),
+                "same": F.col("block") == F.col("other"),
+            }
         )
-    )
-    more = (
-        open_nodes.groupBy("bucket", "first", "second")
-        .applyInArrow(_block_pairs(similar, HOPELESS), "a long, b long")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .select(*shape.names)
+    )
+    keys = ["bucket", "first", "second"]
+    undecided = dealt.groupBy(*keys).applyInArrow(_open_rows(similar, HOPELESS), shape)
+    rest = (
+        undecided.join(held.withColumnRenamed("id", "node").hint("merge"), "node")
+        .groupBy(*keys)
+        .applyInArrow(_compare_blocks(similar, HOPELESS), "a long, b long")
+    )
+    final = components(found.toDF("a", "b").union(rest))
+    return signed.join(final.toDF("id", "component"), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("class_id"), F.col("words").alias("n_words"), F.col("runs").alias("n_runs")
     )
-    rest = linked(stage(more.join(pairs, ["a", "b"], "left_anti"), "candidates"))
-    found = components(links.union(rest))
-    classes = found.select(F.col("node").alias("id"), "component")
-    return (
-        signed.join(classes, "id", "left")
-        .select("id", F.coalesce("component", "id").alias("class_id"), F.col("words").alias("n_words"), F.col("runs").alias("n_runs"))
-    )
