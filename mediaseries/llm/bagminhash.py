@@ -19,7 +19,7 @@ from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, St
 
 from ..session import stage
 from .components import components
-from .words import CHUNK_BYTES, chunks, mix, shingle_hashes, text_buffer, word_hashes
+from .words import CHUNK_BYTES, chunks, mix, shingle_hashes, slices, text_buffer, word_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -106,7 +106,7 @@ def band_buckets(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(bands: int, rows: int, shingle: int):
     def sign(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
             ids = batch.column(batch.schema.get_field_index("id"))
             for low, high, part, edges in chunks(data, at, 2 * CHUNK_BYTES):
@@ -137,7 +137,7 @@ def _shingle_sets(shingle: int):
     """Each text's runs as a sorted set: the k-th occurrence of a run is an element of its own."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
             ids = batch.column(batch.schema.get_field_index("id"))
             for low, high, part, edges in chunks(data, at):

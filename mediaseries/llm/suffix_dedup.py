@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import mix, pack, text_buffer, unpack
+from .words import mix, pack, slices, text_buffer, unpack
 
 #: Bytes of a string that must not occur again, and of the grams that choose anchors.
 LENGTH = 100
@@ -244,7 +244,7 @@ def _send_anchors(buckets: int, length: int, gram: int):
                     ["bucket", "kind", "ids", "hashes", "marks"],
                 )
 
-        for batch in batches:
+        for batch in slices(batches):
             data, at = text_buffer(_column(batch, "text"))
             text, place, key, first, last = anchors(data, at, length, gram)
             mark = np.empty(len(text), _MARK)
@@ -353,7 +353,7 @@ def _send_suffixes(splitters: list[bytes], length: int, gram: int):
                 )
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             data, at = text_buffer(_field(batch, "text"))
             data = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
             ids, hashes = _numbers(_column(batch, "__id")), _numbers(_column(batch, "__hash"))
@@ -483,7 +483,7 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gr
     """For every row of ``docs``: ``key``, n_bytes, n_removed, n_spans and kept_sha256, as bytes covered by repeats go."""
 
     def report(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, runs in zip(_field(batch, "text").to_pylist(), _column(batch, "__runs").to_pylist()):
                 data = (text or "").encode()
@@ -505,7 +505,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     columns = docs.columns
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, runs in zip(_field(batch, "text").to_pylist(), _column(batch, "__runs").to_pylist()):
                 if runs:

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
+from .words import slices
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOK_ALIKES = {
@@ -139,7 +140,7 @@ def _count_entries(only: frozenset[str] | None):
 def _weights_of(model: Model, columns: Sequence[str]):
     def apply(batches):
         built = automaton(model.weights, model.exceptions)
-        for batch in batches:
+        for batch in slices(batches):
             found = [weigh(built, t.as_py() or "") for t in batch.column("text")]
             kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.record_batch(
