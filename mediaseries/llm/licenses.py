@@ -73,7 +73,7 @@ TITLES = [
     ("artistic-1.0", "artistic", r"artistic licen[cs]e (?:version |v )?1 0", r"artistic 1 0"),
     ("artistic-2.0", "artistic", r"artistic licen[cs]e (?:version |v )?2 0", r"artistic 2 0"),
     ("artistic", "artistic", r"artistic licen[cs]e", r"artistic"),
-    ("psf-2.0", "python", r"python software foundation licen[cs]e(?: (?:version |v )?2)?|psf licen[cs]e", r"psf 2 0"),
+    ("psf-2.0", "licen", r"python software foundation licen[cs]e(?: (?:version |v )?2)?|psf licen[cs]e", r"psf 2 0"),
     ("php-3.01", "php", r"php licen[cs]e(?: (?:version |v )?3 0?1)?", r"php 3 01"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby"),
     ("openssl", "openssl", r"openssl licen[cs]e", r"openssl"),
@@ -94,7 +94,7 @@ TITLES = [
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e", r"ncsa"),
     ("mulan-2.0", "mulan", r"mulan (?:psl|permissive software licen[cs]e)(?: (?:version |v )?2)?", r"mulanpsl 2 0"),
     ("llama", "llama", r"llama (?:2 |3 |3 1 )?community licen[cs]e", r"llama"),
-    ("openrail", "rail", r"(?:creativeml )?open ?rail(?: m)? licen[cs]e|responsible ai licen[cs]e", r"openrail"),
+    ("openrail", "licen", r"(?:creativeml )?open ?rail(?: m)? licen[cs]e|responsible ai licen[cs]e", r"openrail"),
 ]
 # The parts of a Creative Commons license: label, short words, long words.
 COMMONS = [
@@ -115,8 +115,8 @@ NOTICES = [
     ("mit", "opensource", 1, 0.9, r"(?:https? )?opensource org licenses mit"),
     ("gpl-3.0", "gnu", 1, 0.9, r"(?:https? )?www gnu org licenses gpl 3 0"),
     ("gpl", "gnu", 2, 0.9, r"(?:https? )?www gnu org licenses(?: gpl)?"),
-    ("gpl", "free software", 1, 0.9, r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("gpl", "general public", 3, 0.85, r"gnu (?:general public licen[cs]e|gpl)"),
+    ("gpl", "general public", 1, 0.9, r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl", "gnu", 3, 0.85, r"gnu (?:general public licen[cs]e|gpl)"),
     ("apache", "apache", 3, 0.8, r"apache (?:software )?licen[cs]e"),
     ("cc0-1.0", "cc0", 2, 0.9, r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
     ("cc", "commons", 4, 0.6, r"creative commons(?: licen[cs]e)?"),

@@ -148,6 +148,20 @@ def test_rules_are_gated():
         ), rule
 
 
+def test_every_spelling_holds_its_keyword(spark):
+    texts = [
+        ("released under the GNU GPL v3", "gpl", 0.85),
+        ("PSF license", "psf-2.0", 0.85),
+        ("openrail license", "openrail", 0.85),
+        ("CreativeML OpenRAIL-M License", "openrail", 0.85),
+        ("responsible ai license", "openrail", 0.85),
+        ("open rail license", "openrail", 0.85),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl", 0.9),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_report(frame(spark, [(k, t) for k, (t, _, _) in enumerate(texts)])).collect()}
+    assert [got[k] for k in range(len(texts))] == [(label, weight) for _, label, weight in texts]
+
+
 def test_license_report(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0."),
