@@ -12,6 +12,8 @@ by run. Only buckets that still hold several components are looked into further,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,11 +29,14 @@ BANDS = 32
 ROWS = 4
 #: Nodes of a bucket that are compared in one block.
 BLOCK = 512
-#: Agreement of signatures (of 128 components) below which a similarity of 0.8 is out of the question: five deviations.
-HOPELESS = 0.62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def hopeless(similar: float, components: int) -> float:
+    """Agreement of signatures below which a similarity of ``similar`` is out of the question: five deviations."""
+    return similar - 5 * math.sqrt(similar * (1 - similar) / components)
+
+
 def weigh(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of each text: text, hash, how often."""
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -323,11 +328,11 @@ def near_duplicates(
         .select(*shape.names)
     )
     keys = ["bucket", "first", "second"]
-    undecided = dealt.groupBy(*keys).applyInArrow(_open_rows(similar, HOPELESS), shape)
+    undecided = dealt.groupBy(*keys).applyInArrow(_open_rows(similar, hopeless(similar, bands * rows)), shape)
     rest = (
         undecided.join(held.withColumnRenamed("id", "node").hint("merge"), "node")
         .groupBy(*keys)
-        .applyInArrow(_compare_blocks(similar, HOPELESS), "a long, b long")
+        .applyInArrow(_compare_blocks(similar, hopeless(similar, bands * rows)), "a long, b long")
     )
     final = components(found.toDF("a", "b").union(rest))
     return signed.join(final.toDF("id", "component"), "id", "left").select(

@@ -103,3 +103,15 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 20), (None, 3), (4, 1), (100, 99)] + [(k, k + 1) for k in range(200, 240)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 99: 99, 100: 99} | {k: 200 for k in range(200, 241)}
+
+
+def test_few_components_lose_no_pair(spark):
+    """Pairs of 0.77 amid texts of 0.62, by signatures too short to rule a pair out."""
+    rng = random.Random(8)
+    words = lambda n: ["w%d" % rng.randrange(10**9) for _ in range(n)]
+    core, rows = words(150), []
+    for k in range(40):
+        shared = words(20)
+        rows += [(2 * k + side, " ".join(core + shared + words(25)), 1) for side in (0, 1)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), similar=0.7, bands=6, rows=1).collect()
+    assert {r["id"]: r["class_id"] for r in got} == {i: i - i % 2 for i, _, _ in rows}
