@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express.
 
-None for the learned toxicity score, the tokenizer's counts, the aligned passages and the pipeline; their tests hold them
+None for the learned toxicity score, what tokenizers give, the aligned passages and the pipeline; their tests hold them
 against plain versions.
 """
 
@@ -183,6 +183,85 @@ SELECT doc_id, (len(h) // 2)::BIGINT n_bytes, coalesce(n, 0)::BIGINT n_removed,
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_CRC = (
+    "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: "
+    "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+)
+
+
+def _edit(way: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+    """A way that goes on by an edit; NULL where there is none."""
+    return f"CASE WHEN {way} IS NOT NULL AND {when} THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 't': {way}.t || {line}}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_NL, _KEPT = "chr(10)", "chr(10) || r.role || ':' || r.text"
+_USER, _ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+# Inserts before a row: the four states after them, from those after the row before.
+_OPEN = {
+    "w0": "s0",
+    "w1": "s1",
+    "w2": _least("s2", *(_edit(s, "2", "I", _USER) for s in ("s0", "s1", "s3"))),
+    "w3": _least("s3", _edit("s2", "2", "I", _ASSISTANT), *(_edit(s, "4", "II", f"{_USER} || {_ASSISTANT}") for s in ("s0", "s1"))),
+}
+_OPENED = ", ".join(f"{way} AS {name}" for name, way in _OPEN.items())
+_USERS = ("o.w0", "o.w1", "o.w3")
+_STEP = {
+    "s0": _edit("o.w0", "3", "D"),
+    "s1": _least(_edit("o.w1", "3", "D"), _edit("o.w0", "r.cut", "K", _KEPT, "r.initial = 's' AND NOT r.goes")),
+    "s2": _least(
+        _edit("o.w2", "3", "D"),
+        *(_edit(w, "r.cut", "K", _KEPT, "r.initial = 'u' AND NOT r.goes") for w in _USERS),
+        *(_edit(w, "2 + r.cut", "R", f"{_USER} || r.text", "NOT r.goes") for w in _USERS),
+    ),
+    "s3": _least(
+        _edit("o.w3", "3", "D"),
+        _edit("o.w2", "r.cut", "K", _KEPT, "r.initial = 'a' AND NOT r.goes"),
+        _edit("o.w2", "2 + r.cut", "R", f"{_ASSISTANT} || r.text", "NOT r.goes"),
+    ),
+}
+_WAY = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+OP11 = f"""
+WITH RECURSIVE faults AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor({_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}, 4294967295) % 20 AS f
+  FROM conversations
+), after AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) copy
+  FROM faults WHERE f <> 0
+), ordered AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, row_number() OVER w AS k, lag(left(role, 1)) OVER w AS before,
+    NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS open
+  FROM after WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))
+), told AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again FROM ordered
+), rows AS (
+  SELECT *, blank OR again AS goes, CASE WHEN open AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM told
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(cut)::BIGINT AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS k, n, {{'c': 0::BIGINT, 'a': '', 't': ''}}::{_WAY} AS s0, NULL::{_WAY} AS s1, NULL::{_WAY} AS s2, NULL::{_WAY} AS s3 FROM facts
+  UNION ALL
+  SELECT o.conv_id, o.k + 1, o.n, {", ".join(f"({step})::{_WAY}" for step in _STEP.values())}
+  FROM (SELECT conv_id, k, n, {_OPENED} FROM ways WHERE k < n) o
+  JOIN rows r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.k = o.k + 1
+), best AS (SELECT conv_id, {_least("w0", "w3")} AS way FROM (SELECT conv_id, {_OPENED} FROM ways WHERE k = n))
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(way.c, 0)::BIGINT AS cost,
+  coalesce(way.a, '') AS audit, sha256(coalesce(substr(way.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id AND f.n IS NOT NULL
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": OP1,
     "op2_bagminhash": OP2,
@@ -191,4 +270,5 @@ ORACLES: dict[str, str] = {
     "op6_mix": OP6,
     "op7_licenses": OP7,
     "op8_suffix_dedup": OP8,
+    "op11_conversation_repair": OP11,
 }
