@@ -1,6 +1,7 @@
 """Tokens of two tokenizers over the same texts, aligned by their bytes.
 
-Each task cuts its texts into tokens with both tokenizers, as byte ranges of the same string (a blank and the text). Two
+Each task cuts its texts into tokens with both tokenizers, as byte ranges of the same string (a blank and the text). Where no
+token of either can reach over a blank behind a non-blank, texts are encoded in parts between such blanks, and parts that occur again once. Two
 as-of merges keyed by document give for each token's begin the other side's token that covers it; both directions together are
 the overlaps. Where both sides end, a group ends. A chunk of texts then keeps each id pair once and its texts' counts of them;
 pairs are counted over all chunks, and every chunk asks for the counts of its own pairs.
@@ -9,10 +10,12 @@ pairs are counted over all chunks, and every chunk asks for the counts of its ow
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,37 +24,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .token_counts import byte_letters
+from .token_counts import byte_letters, pieces as parts_of
 from .words import pack, slices, unpack
 
 #: Characters whose texts are cut and merged together.
 TOGETHER = 200_000
 #: Characters of a chunk, whose pairs are asked for together.
 CHUNK = 8_000_000
+#: Characters of the parts a task remembers; beyond that it begins anew.
+REMEMBERED = 4_000_000
 #: A text's count of a pair: the pair's place in its chunk (as distance from the one before, in the same text), and the count.
 _USES = np.dtype([("low", "u1"), ("mid", "u1"), ("high", "u2"), ("count", "<u4")])
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 class Side:
-    """A tokenizer: ids of texts, and the bytes of each id."""
+    """A tokenizer: ids of texts, and the bytes of each id.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: dict[int, bytes]):
-        self.encode, self.tokens = encode, tokens
+    ``cuts`` says that a text has the ids of its parts one after the other, where parts begin at single blanks behind
+    non-blanks and are encoded with a blank before them.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: dict[int, bytes], cuts: bool):
+        self.encode, self.tokens, self.cuts = encode, tokens, cuts
         self.lengths = np.zeros(max(tokens) + 1, np.int64)
         self.lengths[list(tokens)] = [len(t) for t in tokens.values()]
-        names = np.array([str(k) for k in range(len(self.lengths))], object)
-        self.inner, self.last = names + ",", names  # what an id is followed by inside a group
-
-    def cut(self, texts: list[str], want: list[bytes]) -> list[np.ndarray | None]:
-        """Ids of each text; None where their bytes are not ``want``."""
-        at = self.tokens.__getitem__
-        return [np.array(ids, np.int64) if ids and b"".join(map(at, ids)) == w else None for ids, w in zip(self.encode(texts), want)]
 
 
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> Side:
-    """A byte-level BPE file of the tokenizers library; it is given a blank and the text."""
+    """A byte-level BPE file of the tokenizers library; it is given a blank and the text.
+
+    Its own splitting pattern takes a blank only behind blanks or at a unit's begin, so that with it alone texts can be cut.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -61,12 +66,70 @@ def byte_level(path: str) -> Side:
     tokenizer.no_truncation()
     letters = {letter: byte for byte, letter in byte_letters().items()}
     tokens = {k: bytes(letters[c] for c in entry) if set(entry) <= letters.keys() else entry.encode() for entry, k in tokenizer.get_vocab().items()}
-    return Side(lambda texts: [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], tokens)
+    made = json.loads(tokenizer.to_str())
+    splits = made["pre_tokenizer"] or {}
+    alone = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+    cuts = bool(alone and not made["normalizer"] and all(t["special"] for t in made["added_tokens"]))
+
+    def whole(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        """Where the pattern is known, a blank and Latin letters are one unit of it, so the merges alone decide, and
+        full stops and commas behind them are another."""
+        out, rest, words, marks = [[]] * len(texts), [], {}, {}
+        for k, text in enumerate(texts):
+            word = text.rstrip(".,")
+            if not cuts or not word.isalpha() or max(word) >= "\u0250":
+                rest.append(k)
+                continue
+            ids = words.get(word)
+            if ids is None:
+                words[word] = ids = [t.id for t in merge(blank + word.encode().decode("latin-1").translate(byte_letter))]
+            if len(word) < len(text):
+                mark = text[len(word) :]
+                if mark not in marks:
+                    marks[mark] = whole([mark])[0]
+                ids = ids + marks[mark]
+            out[k] = ids
+        for k, ids in zip(rest, whole([" " + texts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    byte_letter, merge = byte_letters(), tokenizer.model.tokenize
+    blank = byte_letter[32]
+    return Side(encode, tokens, cuts)
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer."""
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return value
+
+    at = 0
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+        yield key >> 3, data[at : at + size]
+        at += size
 
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Side:
-    """A sentencepiece model; it adds the blank itself."""
+    """A sentencepiece model; it adds the blank itself.
+
+    Where it normalises nothing, and no piece holds a blank behind another character, no merge reaches over such a blank.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,7 +137,70 @@ def pieces(path: str) -> Side:
     tokens = {
         k: bytes([int(byte[1], 16)]) if (byte := _BYTE_PIECE.fullmatch(e)) else e.replace("▁", " ").encode() for k, e in enumerate(entries)
     }
-    return Side(lambda texts: model.encode(texts, out_type=int, num_threads=1), tokens)
+    kept = {1: b"", 2: b"", 3: 1, 4: 1, 5: 1}  # name, table, blank before, fewer blanks, blanks as U+2581: the last three are on unless set
+    kept |= dict(_fields(dict(_fields(model.serialized_model_proto())).get(3, b"")))
+    cuts = kept[1] == b"identity" and not kept[2] and (kept[3], kept[4], kept[5]) == (1, 0, 1) and not any("▁" in e.lstrip("▁") for e in entries)
+    return Side(lambda texts: model.encode(texts, out_type=int, num_threads=1), tokens, cuts)
+
+
+class Encoded:
+    """Ids of the parts of texts on both sides, as far as they are remembered."""
+
+    def __init__(self, *sides: Side):
+        self.sides, self.cuts = sides, all(s.cuts for s in sides)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size, self.good = 0, np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int64) for _ in self.sides]
+        self.counts = [np.zeros(0, np.int64) for _ in self.sides]
+
+    def parts(self, text: str) -> list[str]:
+        if not self.cuts:
+            return [text]
+        parts = parts_of(text)
+        if len(parts) > 1 and not parts[-1]:  # a blank at the end stays with what it follows
+            parts[-2:] = [parts[-2] + " "]
+        return parts
+
+    def places(self, parts: list[str]) -> np.ndarray:
+        fresh = list(set(parts).difference(self.known))
+        if fresh:
+            want = [b" " + p.encode() for p in fresh]
+            self.known.update(zip(fresh, range(len(self.good), len(self.good) + len(fresh))))
+            good = np.ones(len(fresh), bool)
+            for k, side in enumerate(self.sides):
+                ids, at = side.encode(fresh), side.tokens.__getitem__
+                good &= np.fromiter((b"".join(map(at, i)) == w for i, w in zip(ids, want)), bool, len(fresh))
+                self.counts[k] = np.concatenate([self.counts[k], np.fromiter(map(len, ids), np.int64, len(ids))])
+                self.ids[k] = np.concatenate([self.ids[k], np.fromiter(chain.from_iterable(ids), np.int64)])
+            self.good = np.concatenate([self.good, good])
+            self.size += sum(map(len, fresh))
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
+    def tokens(self, k: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts on a side one after the other, and the number of each."""
+        counts = self.counts[k][places]
+        behind, starts = np.cumsum(counts), np.cumsum(self.counts[k]) - self.counts[k]
+        return self.ids[k][np.arange(behind[-1]) + np.repeat(starts[places] - behind + counts, counts)], counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which texts have tokens, and for both sides the ids of those texts and the number of each."""
+        parts = [self.parts(t) for t in texts]
+        places = self.places(list(chain.from_iterable(parts)))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.cumsum(sizes) - sizes
+        good = np.logical_and.reduceat(self.good[places], at) & np.fromiter(map(bool, texts), bool, len(texts))
+        found = []
+        if good.any():
+            places, sizes = places[np.repeat(good, sizes)], sizes[good]
+            for k in range(len(self.sides)):
+                ids, counts = self.tokens(k, places)
+                found.append((ids, np.add.reduceat(counts, np.cumsum(sizes) - sizes)))
+        if self.size > REMEMBERED:
+            self.clear()
+        return np.flatnonzero(good), found
 
 
 def covering(doc: np.ndarray, start: np.ndarray, other_doc: np.ndarray, other_start: np.ndarray) -> np.ndarray:
@@ -99,28 +225,43 @@ def overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b:
     return np.concatenate([np.arange(len(start_a)), in_a[later]]), np.concatenate([in_b, np.flatnonzero(later)])
 
 
-def _ends(ids: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All ids, their texts, where they begin and end over all texts."""
-    flat = np.concatenate(ids)
-    end = np.cumsum(lengths[flat])
-    return flat, np.repeat(np.arange(len(ids)), [len(i) for i in ids]), end - lengths[flat], end
+def _ends(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of all ids, where they begin and end over all texts."""
+    end = np.cumsum(lengths[ids])
+    return np.repeat(np.arange(len(counts)), counts), end - lengths[ids], end
+
+
+class Names:
+    """Ids as they are written in groups: followed by a comma, or as the last of their side by a bar (A) or a semicolon (B)."""
+
+    def __init__(self, a: Side, b: Side):
+        self.kinds = np.cumsum([0, len(a.lengths), len(a.lengths), len(b.lengths)])
+        names = [b"%d%s" % (k, end) for side, end in ((a, b","), (a, b"|"), (b, b","), (b, b";")) for k in range(len(side.lengths))]
+        self.lengths = np.fromiter(map(len, names), np.int64, len(names))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(names), np.uint8)
+
+    def write(self, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The names one after the other, and where each ends."""
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths)
+        return self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[codes] - ends + lengths, lengths)].tobytes(), ends
 
 
-def _grouped(a: np.ndarray, end_a: np.ndarray, doc_a: np.ndarray, b: np.ndarray, end_b: np.ndarray, sides: tuple[Side, Side], texts: int):
+def _grouped(a: np.ndarray, end_a: np.ndarray, doc_a: np.ndarray, b: np.ndarray, end_b: np.ndarray, names: Names, texts: int) -> tuple[list[bytes], np.ndarray]:
     """The groups of each text, written out, and their number. Ends are counted over all texts; a text ends in a group's end."""
     last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-    before = np.concatenate([[0], np.cumsum(np.bincount(group_b))])  # tokens of B in earlier groups
-    through = np.cumsum(np.bincount(group_a))  # tokens of A up to and with a group
-    words = np.empty(len(a) + len(b), object)
-    words[np.arange(len(a)) + before[group_a]] = np.where(last_a, sides[0].last[a] + "|", sides[0].inner[a])
-    words[np.arange(len(b)) + through[group_b]] = np.where(last_b, sides[1].last[b] + ";", sides[1].inner[b])
-    ends = np.flatnonzero(last_a)
-    groups = np.bincount(doc_a[ends], minlength=texts)
-    at = np.concatenate([[0], np.cumsum(groups)])
-    tokens = np.concatenate([[0], np.cumsum(np.bincount(group_a) + np.bincount(group_b))])[at]
-    words = words.tolist()
-    return ["".join(words[low:high])[:-1] for low, high in zip(tokens[:-1], tokens[1:])], groups
+    size_a, size_b = np.bincount(group_a), np.bincount(group_b)
+    before = np.cumsum(size_b) - size_b  # tokens of B in earlier groups
+    codes = np.empty(len(a) + len(b), np.int64)
+    codes[np.arange(len(a)) + before[group_a]] = a + names.kinds[last_a.astype(int)]
+    codes[np.arange(len(b)) + np.cumsum(size_a)[group_b]] = b + names.kinds[2 + last_b.astype(int)]
+    groups = np.bincount(doc_a[last_a], minlength=texts)
+    tokens = np.cumsum(size_a + size_b)[np.cumsum(groups) - 1]
+    data, ends = names.write(codes)
+    at = [0, *ends[tokens - 1].tolist()]
+    return [data[low : high - 1] for low, high in zip(at, at[1:])], groups
 
 
 def _chunks(a_path: str, b_path: str, digest: bool, chunk: int):
@@ -128,31 +269,30 @@ def _chunks(a_path: str, b_path: str, digest: bool, chunk: int):
 
     def run(batches):
         a_side, b_side = byte_level(a_path), pieces(b_path)
+        encoded, names, ids_b = Encoded(a_side, b_side), Names(a_side, b_side), len(b_side.lengths)
         task, made = TaskContext.get().partitionId(), 0
         held, codes, counts, of, size = [], [], [], [], 0
 
         def align(rows):
             """Appends the documents of ``rows`` (their kept columns, text)."""
-            texts = [t or "" for _, t in rows]
-            want = [b" " + t.encode() for t in texts]
-            a_ids, b_ids = a_side.cut(texts, want), b_side.cut(texts, want)
-            good = [k for k, t in enumerate(texts) if t and a_ids[k] is not None and b_ids[k] is not None]
+            good, tokens = encoded.encode([t or "" for _, t in rows])
             facts = {}
-            if good:
-                a, doc_a, start_a, end_a = _ends([a_ids[k] for k in good], a_side.lengths)
-                b, doc_b, start_b, end_b = _ends([b_ids[k] for k in good], b_side.lengths)
+            if tokens:
+                (a, n_a), (b, n_b) = tokens
+                doc_a, start_a, end_a = _ends(a, n_a, a_side.lengths)
+                doc_b, start_b, end_b = _ends(b, n_b, b_side.lengths)
                 at_a, at_b = overlaps(doc_a, start_a, doc_b, start_b)
-                written, groups = _grouped(a, end_a, doc_a, b, end_b, (a_side, b_side), len(good))
+                written, groups = _grouped(a, end_a, doc_a, b, end_b, names, len(good))
                 links = np.bincount(doc_a[at_a], minlength=len(good))
-                pair = a[at_a] << 32 | b[at_b]
-                order = np.lexsort((pair, doc_a[at_a]))
-                pair, doc = pair[order], doc_a[at_a][order]
-                first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])
-                codes.append(pair[first])
-                counts.append(np.diff(np.append(first, len(pair))))
-                of.append(len(held) + np.array(good)[doc[first]])
-                for k, text, n_groups, n_links in zip(good, written, groups, links):
-                    facts[k] = (len(a_ids[k]), len(b_ids[k]), int(n_groups), int(n_links), hashlib.sha256(text.encode()).hexdigest() if digest else text)
+                uses = np.sort((doc_a[at_a] * len(a_side.lengths) + a[at_a]) * ids_b + b[at_b])
+                first = np.flatnonzero(np.r_[True, uses[1:] != uses[:-1]])
+                counts.append(np.diff(np.append(first, len(uses))))
+                left, right = np.divmod(uses[first], ids_b)
+                doc, left = np.divmod(left, len(a_side.lengths))
+                codes.append(left << 32 | right)
+                of.append(len(held) + good[doc])
+                for k, text, *numbers in zip(good.tolist(), written, n_a, n_b, groups, links):
+                    facts[k] = (*map(int, numbers), hashlib.sha256(text).hexdigest() if digest else text.decode())
             held.extend((*kept, *facts.get(k, (0, 0, 0, 0, ""))) for k, (kept, _) in enumerate(rows))
 
         def flush():
@@ -186,8 +326,8 @@ def _chunks(a_path: str, b_path: str, digest: bool, chunk: int):
 
         group, chars = [], 0
         for batch in slices(batches):
-            names = [n for n in batch.schema.names if n != "text"]
-            for row in zip(zip(*(batch.column(n).to_pylist() for n in names)), batch.column("text").to_pylist()):
+            kept = [n for n in batch.schema.names if n != "text"]
+            for row in zip(zip(*(batch.column(n).to_pylist() for n in kept)), batch.column("text").to_pylist()):
                 n = len(row[1] or "") + 16
                 if group and chars + n > TOGETHER:
                     align(group)
