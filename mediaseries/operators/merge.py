@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import none_to_null, parse_text, strip_quotes
 from .common import align
 
-_RANK, _ORDER = "_rank", "_order"
+_RANK, _ORDER, _LONE = "_rank", "_order", "_lone"
 
 
 def clean_strings(df: DataFrame, trim: bool = False, none_is_missing: Sequence[str] = ()) -> DataFrame:
@@ -64,11 +64,11 @@ def merge_upsert(
 ) -> DataFrame:
     """One row per key; each column holds its first value in (source, row) order that is not missing.
 
-    All sources are folded in one pass: a single shuffle on the key, behind
+    All sources are scanned once and folded in one pass: a single shuffle on the key, behind
     map-side combining, so copies of one text, however many, are reduced where
     they are read. A hash in front of the key makes comparing long texts cheap; equality stays exact. With
     ``blank_is_missing`` an empty string yields to any later value. Rows without a key
-    match nothing: they go round the aggregate and stay as they are.
+    match nothing and stay as they are: each is a group of its own, by a salt that no other row has.
     """
     stacked = stack_sources(sources, key, schema, order, trim, none_is_missing)
     strings = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
@@ -77,9 +77,16 @@ def merge_upsert(
         late = [(F.col(c) == "").alias("blank")] if blank_is_missing and c in strings else []
         return F.min(F.when(F.col(c).isNotNull(), F.struct(*late, _RANK, _ORDER, F.col(c).alias("value"))))["value"].alias(c)
 
-    keyed = stacked.filter(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("_hash"), F.col(key))
-    merged = keyed.agg(*[first(f.name) for f in schema.fields if f.name != key]).select(*schema.names)
-    return merged.unionByName(stacked.filter(F.col(key).isNull()).select(*schema.names))
+    lone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    salted = stacked.withColumn(_LONE, lone).groupBy(F.xxhash64(key).alias("_hash"), F.col(key), F.col(_LONE))
+    return salted.agg(*[first(f.name) for f in schema.fields if f.name != key]).select(*schema.names)
+
+
+def fill_gaps(older: Column, newer: Column, blank_is_missing: bool = False) -> Column:
+    """The older value, or the newer one where it is missing. With ``blank_is_missing`` an empty string yields to a later text."""
+    if not blank_is_missing:
+        return F.coalesce(older, newer)
+    return F.coalesce(F.nullif(older, F.lit("")), F.nullif(newer, F.lit("")), older, newer)
 
 
 def merge_report(

@@ -653,5 +653,17 @@ SELECT event_id AS message_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%
 WHERE event_type <> 'error' AND (event_id % 9 = 0 OR event_id % 13 = 0 OR props IS NULL OR (event_id % 5 <> 0 AND user_id IS NULL))""",
     "table_version": """SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\f\\r\\v]+')) AS INTEGER) AS words FROM documents""",
     "json_chart_data": f"WITH {DAILY} {_monthly(())}",
+    "written_back": """SELECT doc_id, lang, source, CAST(CASE WHEN source IN ('src1', 'src12') AND doc_id % 3 > 0
+  THEN len(regexp_extract_all(text, '[^ \\t\\n\\f\\r\\v]+')) ELSE -1 END AS INTEGER) AS words FROM documents""",
+    "repeated_batches": f"""WITH {MESSAGES}
+SELECT event_id AS message_id, user_id, views, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS batch FROM messages""",
     "appended_rows": f"WITH {MESSAGES} SELECT event_id AS message_id, user_id, views FROM messages",
 }
+ORACLES["master_merge_text"] = ORACLES["merge_upsert_text"]
+ORACLES["master_merge_id"] = ORACLES["merge_upsert_id"]
+ORACLES["master_merge_counts"] = f"""WITH d AS (SELECT {_TRIMMED} AS text, doc_id % 2 AS rank, doc_id % 7 = 0 AS lone FROM documents),
+k AS (SELECT text, min(rank) AS opener, max(rank) AS last FROM d WHERE NOT lone GROUP BY 1),
+m AS (SELECT unnest([0, 1]) AS merge)
+SELECT CAST(merge AS INTEGER) AS merge, (SELECT count(*) FROM k WHERE opener = merge) AS inserted,
+  (SELECT count(*) FROM k WHERE opener < merge AND last = merge) AS updated, (SELECT count(*) FROM d WHERE lone AND rank = merge) AS keyless
+FROM m"""

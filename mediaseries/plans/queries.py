@@ -11,6 +11,7 @@ from ..functions import dates, scores, text
 from ..operators import articles, classify, common, correlate, enrich, media, merge, rollup, series, stats, users
 from ..session import stage, staged_path
 from ..sources import readers, writers
+from ..sources.masters import StandingMaster
 from . import views
 from .analysis import analyse, analyse_media
 
@@ -716,6 +717,34 @@ def merge_upsert_id(spark, d):
     return merge.merge_upsert(views.id_sources(spark, d), "doc_id", _DOC_BY_ID, ["doc_id"])
 
 
+@query
+def master_merge_text(spark, d):
+    """The two document tables merged one after the other into a standing master, by text."""
+    master = StandingMaster(spark, staged_path(spark, "master-text"), "text", _DOC, 16, blank_is_missing=True, trim=True)
+    for source in views.two_sources(spark, d):
+        master.merge([source], ["doc_id"])
+    return master.read()
+
+
+@query
+def master_merge_id(spark, d):
+    """A standing master by id, made of the first document table; the two others come in one batch."""
+    master = StandingMaster(spark, staged_path(spark, "master-id"), "doc_id", _DOC_BY_ID, 16)
+    first, *others = views.id_sources(spark, d)
+    master.merge([first], ["doc_id"])
+    master.merge(others, ["doc_id"])
+    return master.read()
+
+
+@query
+def master_merge_counts(spark, d):
+    """Keys inserted and known keys met by each merge into a standing master, and rows without a key."""
+    master = StandingMaster(spark, staged_path(spark, "master-counts"), "text", _DOC, 16, trim=True)
+    odd = F.when(F.col("doc_id") % 7 != 0, F.col("text"))
+    counts = [(k, master.merge([s.withColumn("text", odd)], ["doc_id"])) for k, s in enumerate(views.two_sources(spark, d))]
+    return spark.createDataFrame([(k, c["inserted"], c["updated"], c["keyless"]) for k, c in counts], "merge int, inserted long, updated long, keyless long")
+
+
 @query
 def merge_messages(spark, d):
     """Conversation turns folded by text: first speaker and place of each distinct text."""
@@ -984,6 +1013,29 @@ def json_chart_data(spark, d):
     return shown(spark.read.schema(monthly.schema).json(path))
 
 
+@query
+def written_back(spark, d):
+    """A table by language and source, where some rows of two sources lack their word counts: only those partitions are written."""
+    path = staged_path(spark, "written-back")
+    waits = F.col("source").isin("src1", "src12") & (F.col("doc_id") % 3 > 0)
+    counted = F.when(~waits, -1).alias("words")
+    views.texts(spark, d).select("doc_id", "text", "lang", "source", counted).write.partitionBy("lang", "source").parquet(path)
+    writers.rewrite_pending(spark, path, ["lang", "source"], F.col("words").isNull(), enrich.count_words)
+    return readers.read_table(spark, path, ["doc_id", "lang", "source", "words"])
+
+
+@query
+def repeated_batches(spark, d):
+    """Two batches of messages, the second of which is written twice."""
+    path = staged_path(spark, "batches")
+    rows = readers.message_rows(views.messages(spark, d)).select("message_id", "user_id", "views")
+    halves = [rows.filter(F.col("message_id") % 2 == half) for half in (0, 1)]
+    writers.append_batch(halves[0], path, "first")
+    writers.append_batch(halves[1].limit(10), path, "second")
+    writers.append_batch(halves[1], path, "second")
+    return readers.read_batches(spark, path, rows.schema)
+
+
 @query
 def appended_rows(spark, d):
     """Two batches of messages appended to one table."""

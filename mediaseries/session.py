@@ -43,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whatever store it lies in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 _scopes: list[list[str]] = []
 
 
@@ -55,9 +61,9 @@ def staging(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.remove(made)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        for path in map(hadoop.Path, made):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in made:
+            store, where = hadoop_path(spark, path)
+            store.delete(where, True)
 
 
 def staged_path(spark: SparkSession, name: str) -> str:

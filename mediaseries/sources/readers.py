@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 from ..functions.dates import parse_datetime
 from ..functions.text import nonzero_long
 from ..schemas import ARTICLE, MESSAGE
+from .writers import BATCH
 
 BAD = "_corrupt"
 
@@ -20,6 +21,11 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df if columns is None else df.select(*columns)
 
 
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The batches of a table with the name of each row's, as ``append_batch`` writes them."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.StringType())])).parquet(path)
+
+
 def _options(reader: DataFrameReader, header: bool, multiline: bool) -> DataFrameReader:
     return reader.option("header", header).option("multiLine", multiline).option("escape", '"')
 
