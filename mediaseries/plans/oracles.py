@@ -653,6 +653,9 @@ SELECT event_id AS message_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%
 WHERE event_type <> 'error' AND (event_id % 9 = 0 OR event_id % 13 = 0 OR props IS NULL OR (event_id % 5 <> 0 AND user_id IS NULL))""",
     "table_version": """SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\f\\r\\v]+')) AS INTEGER) AS words FROM documents""",
     "json_chart_data": f"WITH {DAILY} {_monthly(())}",
+    "csv_mixed_headers": """SELECT CASE WHEN c_custkey % 3 < 2 THEN c_custkey END AS c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS c_name,
+  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 = 1 THEN c_nationkey END AS c_nationkey
+FROM customer""",
     "written_back": """SELECT doc_id, lang, source, CAST(CASE WHEN source IN ('src1', 'src12') AND doc_id % 3 > 0
   THEN len(regexp_extract_all(text, '[^ \\t\\n\\f\\r\\v]+')) ELSE -1 END AS INTEGER) AS words FROM documents""",
     "repeated_batches": f"""WITH {MESSAGES}

@@ -923,6 +923,17 @@ def csv_columns_by_header(spark, d):
     return readers.read_csv(spark, one, schema).unionByName(readers.read_csv(spark, two, schema))
 
 
+@query
+def csv_mixed_headers(spark, d):
+    """A folder whose files have three headers (another order, a column less and one more, none that is known), read in one call."""
+    customers, root = views.table(spark, d, "customer"), staged_path(spark, "mixed_csv")
+    headers = [("c_mktsegment", "c_custkey", "c_name", "c_acctbal"), ("c_nationkey", "c_name", "c_custkey"), ("c_acctbal",)]
+    for k, names in enumerate(headers):
+        customers.filter(F.col("c_custkey") % 3 == k).select(*names).write.mode("append").option("header", True).csv(root)
+    schema = T.StructType([customers.schema[c] for c in ("c_custkey", "c_name", "c_mktsegment", "c_nationkey")])
+    return readers.read_csv(spark, root, schema)
+
+
 @query
 def headerless_articles(spark, d):
     """Articles appended twice to a headerless CSV, and read back."""

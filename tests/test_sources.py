@@ -27,6 +27,12 @@ def test_csv_drops_malformed_whatever_is_selected(spark, tmp_path):
     assert sorted(r.line for r in bad.select("line").collect()) == ["3,c,zz", "4,d", "5,e,5,6", "x,b,2"]
 
 
+def test_rows_of_strings_can_be_counted(spark, tmp_path):
+    texts = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    path = write(tmp_path / "a.csv", "a,b\n1,2\n3\n4,5,6\n7,8\n")
+    assert readers.read_csv(spark, path, texts).count() == 2 and readers.malformed_csv(spark, path, texts).count() == 2
+
+
 def test_found_by_name(spark, tmp_path):
     for name in ("x/wanted.csv", "y/z/other.csv", "y/second.csv"):
         write(tmp_path / name, f"id,name,v\n1,{name},2\n")
@@ -98,10 +104,53 @@ def test_csv_columns_go_by_their_names(spark, tmp_path):
     other = write(tmp_path / "b.csv", "name,id\nn,7\n")
     both = readers.read_csv(spark, path, SCHEMA).unionByName(readers.read_csv(spark, other, SCHEMA))
     assert sorted((tuple(r) for r in both.collect()), key=str) == [(1, None, 1.5), (3, None, 2.5), (7, "n", None)]
-    write(tmp_path / "same" / "1.csv", "id,name,v\n1,a,1\n")
-    write(tmp_path / "same" / "2.csv", "name,id,v\nb,2,2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        readers.read_csv(spark, str(tmp_path / "same"), SCHEMA).collect()
+
+
+def test_every_file_goes_by_its_own_header(spark, tmp_path):
+    root = tmp_path / "own headers"
+    write(root / "1.csv", "id,name,v\n1,a,1\nx,bad,1\n")
+    write(root / "2 {x}.csv", "name,id,v\nb,2,2\n")
+    write(root / "3.csv", '\ufeff"v","extra, one",id,id\r\n3,"x,y",3,33\r\n')
+    write(root / "4[a].csv", "unknown,others\np,q\n")
+    write(root / "5.csv", "")
+    write(root / "6.csv", "\n\nid\n6\n")
+    write(root / "7.csv", "name,id,v\n")
+    want = [(1, "a", 1.0), (2, "b", 2.0), (3, None, 3.0), (6, None, None), (None, None, None)]
+    for path in (str(root), [str(root / "1.csv"), str(root / "[2-7]*")]):
+        assert sorted(map(str, map(tuple, readers.read_csv(spark, path, SCHEMA).collect()))) == sorted(map(str, want))
+    assert [r.line for r in readers.malformed_csv(spark, str(root), SCHEMA).collect()] == ["x,bad,1"]
+    headers = {r["file"].rsplit("/")[-1]: r["header"] for r in readers.file_headers(spark, str(root)).collect()}
+    assert len(headers) == 6 and headers["1.csv"] == "id,name,v" and headers["6.csv"] == "id"
+    plan = readers.read_csv(spark, str(root), SCHEMA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 5  # a scan for each distinct header
+
+
+def test_headers_of_files_that_share_a_partition(spark, tmp_path):
+    """Also where the session packs files together all the same, every file's header is found."""
+    for k in range(30):
+        write(tmp_path / f"{k}.csv", f"id,c{k % 3}\n{k},x\n")
+    lines = spark.read.text(str(tmp_path)).selectExpr("value", "_metadata.file_path AS file").coalesce(1)
+    assert lines.mapInArrow(readers._first_lines(False), "file string, header string").count() == 30
+    assert readers.file_headers(spark, str(tmp_path)).count() == 30
+    assert sorted(r.id for r in readers.read_csv(spark, str(tmp_path), SCHEMA).collect()) == list(range(30))
+
+
+def test_large_files_are_not_read_for_their_headers(spark, tmp_path):
+    spark.range(400_000).selectExpr("id", "id % 7 AS v", "'some name' AS name").coalesce(1).write.option("header", True).csv(str(tmp_path / "t"))
+    assert [r["header"] for r in readers.file_headers(spark, str(tmp_path / "t")).collect()] == ["id,v,name"]
+    got = readers.read_csv(spark, str(tmp_path / "t"), SCHEMA)
+    assert got.count() == 400_000 and got.where("v is null or name <> 'some name'").count() == 0
+
+
+def test_folders_without_lines(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert readers.read_csv(spark, str(tmp_path / "none"), SCHEMA).collect() == []
+    write(tmp_path / "blank" / "1.csv", "\n \n")
+    write(tmp_path / "blank" / "2.csv", "")
+    for found in (readers.read_csv(spark, str(tmp_path / "blank"), SCHEMA), readers.find_files(spark, str(tmp_path), ["absent.csv"], SCHEMA)):
+        assert found.collect() == []
+    with pytest.raises(AnalysisException):
+        readers.read_csv(spark, str(tmp_path / "absent"), SCHEMA)
 
 
 def test_csv_texts_over_several_lines(spark, tmp_path):
