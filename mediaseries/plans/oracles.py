@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .queries import (
+    EVERY_SIZE,
     NEGATIVE_WORDS,
     OUTLIER_LIMIT,
     POSITIVE_WORDS,
@@ -484,6 +485,7 @@ SELECT {_day('date')} AS date, i, CAST(x AS BIGINT) AS "count", {_r('y')} AS mid
     "wtlcc_volume": _tlcc(_BASE, _VOL, WINDOW_OFFSETS, ["spearman"], sizes=[QUARTER]),
     "wtlcc_volume_short": _tlcc(_BASE, _VOL, SHORT_OFFSETS, ["spearman"], sizes=[60]),
     "wtlcc_window_sizes": _tlcc(_BASE, _SENT, WINDOW_OFFSETS, ["spearman"], sizes=WINDOW_SIZES),
+    "wtlcc_every_size": _tlcc(_BASE, _SENT, WINDOW_OFFSETS, ["spearman"], sizes=EVERY_SIZE),
     "wtlcc_by_medium": _tlcc(
         _BASE_M, _series("norm_sent", ("medium",)), WINDOW_OFFSETS, ["spearman"], ("medium",), [60]
     ),

@@ -20,6 +20,7 @@ WINDOW_OFFSETS = range(-66, 67, 4)
 SHORT_OFFSETS = range(-20, 21)
 QUARTER = 120
 WINDOW_SIZES = (5, 60, 365)
+EVERY_SIZE = range(5, 366)
 OUTLIER_LIMIT = 35
 POSITIVE_WORDS = ("the", "of", "de", "que", "und", "with", "for", "les")
 NEGATIVE_WORDS = ("and", "to", "la", "der", "is", "en", "that", "die")
@@ -395,6 +396,12 @@ def wtlcc_window_sizes(spark, d):
     return shown(_tlcc(_sentiment_series(spark, d), "norm_sent", ["spearman"], WINDOW_OFFSETS, sizes=WINDOW_SIZES))
 
 
+@query
+def wtlcc_every_size(spark, d):
+    """Windowed Spearman correlation of sentiment at every window size from 5 to 365."""
+    return shown(_tlcc(_sentiment_series(spark, d), "norm_sent", ["spearman"], WINDOW_OFFSETS, sizes=EVERY_SIZE))
+
+
 @query
 def wtlcc_by_medium(spark, d):
     """Windowed Spearman correlation of every medium's sentiment, 60 rows a window."""

@@ -3,7 +3,13 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
+from mediaseries.operators import correlate
 from mediaseries.operators.correlate import (
+    _blocks,
+    average_ranks,
+    codes,
     correlation_extremes,
     kendall_tau_b,
     lagged_correlation,
@@ -121,3 +127,67 @@ def test_pairs_count(spark):
     pairs = lagged_pairs(frame(spark, range(10), range(10)), "x", "y", range(-2, 3))
     assert pairs.count() == 50
     assert pairs.dropna().count() == 10 + 2 * (9 + 8)
+
+
+def test_every_window_size_with_gaps_and_ties(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 5, 70).astype(float), rng.integers(0, 9, 70).astype(float)
+    x[[3, 17, 18, 19, 20, 21]] = np.nan
+    y[[0, 40]] = np.nan
+    absent = [10, 50, 51, 52, 53, 54, 55, 56, 57, 58, 59]  # places without a row: windows of such only have none either
+    df = frame(spark, x, y).where(~F.col("i").isin(absent))
+    got = lagged_correlation(df, "x", "y", range(-6, 7, 4), methods=["spearman", "pearson", "kendall"], window_sizes=range(2, 72, 3)).collect()
+    kept = [i not in absent for i in range(70)]
+    a = pd.Series(x).where(kept)
+    want = {
+        (w, k // w, m, o)
+        for w in range(2, 72, 3)
+        for k in range(70)
+        if kept[k]
+        for m in ("spearman", "pearson", "kendall")
+        for o in range(-6, 7, 4)
+    }
+    assert {(r.window_size, r.window, r.method, r.offset) for r in got} == want and len(got) == len(want)
+    for r in got:
+        part = slice(r.window * r.window_size, (r.window + 1) * r.window_size)
+        value = expected(a[part].to_numpy(), pd.Series(y).where(kept).shift(-r.offset)[part].to_numpy(), 0, r.method)
+        assert (r.correlation is None) == (value is None), r
+        if value is not None:
+            assert r.correlation == pytest.approx(value, abs=1e-12)
+
+
+def test_ranks_of_many_distinct_values():
+    rng = np.random.default_rng(6)
+    values = rng.random(40_000)
+    values[::7] = values[3]
+    both = rng.random(40_000) < 0.9
+    got = average_ranks(codes(values), both)
+    assert (got[both] == pd.Series(values[both]).rank().to_numpy()).all()
+    assert codes(values).dtype == np.int64 and codes(values[:100]).dtype == np.int16
+
+
+def test_a_series_is_moved_once_and_never_joined(spark, tmp_path):
+    path = str(tmp_path / "s")
+    spark.range(2000).selectExpr("id % 4 AS k", "id DIV 4 AS i", "rand(1) AS x", "rand(2) AS y").write.parquet(path)
+    rows = spark.read.parquet(path)
+    for methods, sizes in ((["pearson", "spearman"], None), (["kendall"], None), (["spearman"], range(5, 366))):
+        physical = lagged_correlation(rows, "x", "y", keys=["k"], methods=methods, window_sizes=sizes)._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("Exchange") == 1 and "Join" not in physical
+    blocks = _blocks(list(range(-150, 151)), ["pearson", "spearman", "kendall"], None)
+    assert len(blocks) == 9 and sum(len(o) for m, o, _ in blocks if "kendall" in m) == 301
+
+
+@pytest.mark.parametrize("methods", [["pearson"], ["kendall", "spearman"]])
+def test_shares_do_not_change_results(spark, monkeypatch, methods):
+    rng = np.random.default_rng(7)
+    df = frame(spark, rng.integers(0, 30, 50), rng.random(50))
+
+    def rows(sizes):
+        return sorted(map(tuple, lagged_correlation(df, "x", "y", range(-9, 10), methods=methods, window_sizes=sizes).collect()), key=str)
+
+    whole, cut = rows(None), rows([7, 20])
+    for name, value in (("TOGETHER", 1), ("SHARE", 5), ("TAU_SHARE", 5)):
+        monkeypatch.setattr(correlate, name, value)
+    assert [r[:-1] for r in whole] == [r[:-1] for r in rows(None)] and [r[:-1] for r in cut] == [r[:-1] for r in rows([7, 20])]
+    for old, new in zip(whole + cut, rows(None) + rows([7, 20])):
+        assert old[-1] == pytest.approx(new[-1]) if old[-1] is not None else new[-1] is None
