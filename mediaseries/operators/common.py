@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
+
 
 def attach(df: DataFrame, summary: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Put the one ``summary`` row of a key beside each row of ``df``.
@@ -36,16 +38,33 @@ def describe_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
 
 
-def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each group under a total order.
+def size_in_bytes(df: DataFrame) -> int:
+    """What Spark takes a frame's size to be; of a staged table, its files tell."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The first row of each group by ``order``, NULLs first; of rows alike in it the smallest by their other columns, taken in turn.
 
-    Equal rows are dropped by hash first, then an aggregate with map-side combine reduces a group of any size
-    where it lies; its sort (texts have no hash aggregate) sees distinct rows only.
+    The smallest order of each group is found first, without the other columns, and staged. Where that table is no larger than ``limit`` bytes
+    (Spark's own bound of broadcasts unless given), it meets the rows where they lie, and only rows that are first go
+    on, to settle ties. Beyond it each task reduces its rows to one per group before any is
+    moved. Either way no more than a row per group and task is shuffled. Columns must be of types that can be sorted.
     """
-    rest = [c for c in df.columns if c not in by]
-    df = df.distinct()
-    first = F.min(F.struct(*order, F.struct(*rest).alias("row"))).alias("first")
-    return df.groupBy(*by).agg(first).select(*[F.col(c) if c in by else F.col(f"first.row.{c}") for c in df.columns])
+    rest = [c for c in df.columns if c not in by and c not in order]
+    least = stage(df.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first")), "first-orders")
+    if limit is None:
+        bound = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        limit = int(df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(bound)) if bound != "-1" else -1
+    if size_in_bytes(least) <= limit:
+        others = least.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], *[F.col(f"_first.{c}").alias(f"_order{k}") for k, c in enumerate(order)])
+        same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
+        same += [F.col(c).eqNullSafe(F.col(f"_order{k}")) for k, c in enumerate(order)]
+        df = df.join(F.broadcast(others), same, "left_semi").select(*df.columns)
+        if not rest:
+            return df.distinct()
+    first = F.min(F.struct(*order, *rest)).alias("_first")
+    return df.groupBy(*by).agg(first).select(*[F.col(c) if c in by else F.col(f"_first.{c}") for c in df.columns])
 
 
 def pending_counts(df: DataFrame, column: str) -> DataFrame:

@@ -141,6 +141,26 @@ def test_keep_first(spark):
     assert sorted(tuple(r) for r in common.keep_first(df, ["k"], ["o"]).collect()) == [(1, 1, "z"), (2, 5, "c")]
 
 
+@pytest.mark.parametrize("limit", [None, -1])
+def test_keep_first_of_ties_nulls_and_copies(spark, limit):
+    rows = [(1, 2, "b", 1), (1, None, "z", 1), (1, None, "y", 2), (1, None, "y", 1), (None, 5, None, 3), (None, 5, "c", 0), (2, 1, "q", 1), (2, 1, "q", 1)]
+    df = spark.createDataFrame(rows, "k int, o int, v string, w int")
+    got = sorted((tuple(r) for r in common.keep_first(df, ["k"], ["o"], limit).collect()), key=str)
+    assert got == sorted([(1, None, "y", 1), (None, 5, None, 3), (2, 1, "q", 1)], key=str)
+    only = common.keep_first(df.select("k", "o"), ["k"], ["o"], limit)
+    assert sorted((tuple(r) for r in only.collect()), key=str) == sorted([(1, None), (None, 5), (2, 1)], key=str)
+    assert common.keep_first(df.limit(0), ["k"], ["o"], limit).count() == 0
+
+
+def test_keep_first_moves_only_first_rows(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 AS k", "id % 50 AS o", "concat('text ', id) AS text").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    small = common.keep_first(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert small.index("partial_min") < small.index("BroadcastHashJoin") and "LeftSemi" in small  # first rows only reach the aggregate
+    large = common.keep_first(df, ["k"], ["o"], -1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in large and large.index("Exchange") < large.index("partial_min")
+
+
 def test_pending(spark):
     df = spark.createDataFrame([(1, None), (2, 7)], "k int, v int")
     assert tuple(common.pending_counts(df, "v").first()) == (2, 1, 1)
