@@ -28,6 +28,11 @@ FREE_PATTERNS = (
     (r"^[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", ("d MMM yyyy[ H:m[:s]][ Z]", "d MMMM yyyy[ H:m[:s]]")),
 )
 
+#: Two numbers, either of which may be the day, and a year.
+DAY_MONTH = r"^\s*\"?([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}"
+#: The same layouts for sources that put the day before the month.
+DAY_FIRST = tuple((shape, tuple(p.replace("M/d/yyyy", "d/M/yyyy") for p in patterns)) for shape, patterns in FREE_PATTERNS)
+
 _WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _MIN_EPOCH, _MAX_EPOCH = -62135596800.0, 253402300799.0

@@ -672,3 +672,71 @@ m AS (SELECT unnest([0, 1]) AS merge)
 SELECT CAST(merge AS INTEGER) AS merge, (SELECT count(*) FROM k WHERE opener = merge) AS inserted,
   (SELECT count(*) FROM k WHERE opener < merge AND last = merge) AS updated, (SELECT count(*) FROM d WHERE lone AND rank = merge) AS keyless
 FROM m"""
+
+_BLOCKS = f"""
+marked AS (
+  SELECT page_id, url, html, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(
+    translate(regexp_replace(regexp_replace(html, '(?is)<title[^>]*>(.*?)</title>', '', 'g'), '{_DROPPED}', '', 'g'), chr(28) || chr(29) || chr(30), ''),
+    '(?i)<a\\b[^>]*>', chr(28), 'g'), '(?i)</a\\s*>', chr(29), 'g'), '{_BREAK}', chr(30), 'g'), chr(30)),
+    lambda s: {{'text': {_tidy("translate(regexp_replace(s, '(?s)<[^>]*>', '', 'g'), chr(28) || chr(29), '')")},
+      'linked': {_tidy("array_to_string(regexp_extract_all(regexp_replace(s, '(?s)<[^>]*>', '', 'g'), chr(28) || '([^' || chr(29) || ']*)', 1), ' ')")}}}),
+    lambda b: b.text <> '') AS blocks FROM pages),
+counted AS (
+  SELECT page_id, url, html, list_transform(blocks, lambda b: {{'text': b.text, 'words': len(string_split(b.text, ' ')),
+    'linked': CASE WHEN b.linked = '' THEN 0 ELSE len(string_split(b.linked, ' ')) END}}) AS b FROM marked),
+near AS (
+  SELECT page_id, k, b[k].text AS text, b[k].words AS words, b[k].linked / b[k].words AS share,
+    CASE WHEN k > 1 THEN b[k - 1].words ELSE 0 END AS before, CASE WHEN k > 1 THEN b[k - 1].linked / b[k - 1].words ELSE 0 END AS share_before,
+    CASE WHEN k < len(b) THEN b[k + 1].words ELSE 0 END AS after
+  FROM (SELECT page_id, b, unnest(range(1, len(b) + 1)) AS k FROM counted)),
+bodies AS (
+  SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text FROM near
+  WHERE share <= 1 / 3 AND CASE WHEN share_before <= 5 / 9 THEN words > 16 OR after > 15 OR before > 4 ELSE words > 40 OR after > 17 END
+  GROUP BY page_id)"""
+ORACLES["page_bodies"] = f"""WITH {_BLOCKS}
+SELECT page_id, url, {_TITLE_SQL} AS title, coalesce(bodies.text, '') AS text FROM pages LEFT JOIN bodies USING (page_id)"""
+
+ORACLES["source_day_orders"] = """SELECT event_type, count(*) FILTER (day_first AND day(ts) > 12) AS day_votes,
+  count(*) FILTER (NOT day_first AND day(ts) > 12) AS month_votes, count(*) FILTER (day_first AND day(ts) > 12) > count(*) FILTER (NOT day_first AND day(ts) > 12) AS day_first
+FROM (SELECT *, event_type IN ('view', 'error') AS day_first FROM events) GROUP BY event_type"""
+ORACLES["source_datetimes"] = """SELECT event_id, event_type, strftime(moved, '%Y-%m-%d %H:%M:00.000000') AS datetime, strftime(moved, '%Y-%m-%d') AS date, true AS formatted
+FROM (SELECT *, ts + to_months(CAST(event_id % 12 AS INTEGER)) AS moved FROM events)"""
+
+_WEIGHTS = """
+told AS (SELECT list_distinct(regexp_extract_all(lower(text), '\\p{L}+')) AS words, toxic = 0 AS p FROM documents JOIN labels USING (doc_id)
+  WHERE doc_id % 3 <> 1 AND toxic IS NOT NULL),
+totals AS (SELECT count(*) FILTER (p) AS all_p, count(*) FILTER (NOT p) AS all_n FROM told),
+word_counts AS (SELECT word, count(*) FILTER (p) AS p, count(*) FILTER (NOT p) AS n FROM (SELECT unnest(words) AS word, p FROM told) GROUP BY word),
+cells AS (SELECT word, p + 0.5e0 AS a, all_p - p + 0.5e0 AS b, n + 0.5e0 AS c, all_n - n + 0.5e0 AS d FROM word_counts, totals WHERE all_p > 0 AND all_n > 0),
+weights AS (
+  SELECT word, round(ln(a) - ln(b) - ln(c) + ln(d), 12) AS weight FROM cells
+  WHERE abs(round(ln(a) - ln(b) - ln(c) + ln(d), 12)) >= round(3 * sqrt(1 / a + 1 / b + 1 / c + 1 / d), 12)
+  UNION ALL SELECT '', round(ln(all_p + 0.5e0) - ln(all_n + 0.5e0), 12) FROM totals)"""
+ORACLES["learned_weights"] = f"WITH {_WEIGHTS} SELECT word, {_r('weight', 6)} AS weight FROM weights"
+ORACLES["classify_learned"] = f"""WITH {_sentences('documents', 'doc_id')}, {_WEIGHTS},
+spoken AS (SELECT doc_id, pos, unnest(list_append(regexp_extract_all(lower(sentence), '\\p{{L}}+'), '')) AS word FROM sent),
+summed AS (SELECT doc_id, pos, round(sum(weight), 9) AS score FROM spoken JOIN weights USING (word) GROUP BY ALL),
+scored AS (
+  SELECT doc_id, pos, CASE WHEN score > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label, tanh(abs(score) / 2) AS conf FROM summed WHERE score <> 0),
+{_verdicts('doc_id')}
+SELECT doc_id, CASE WHEN text <> '' THEN coalesce(label, 'NEUTRAL') END AS label,
+  {_r("CASE WHEN text <> '' THEN coalesce(conf, 0e0) END", 6)} AS conf
+FROM documents LEFT JOIN verdicts USING (doc_id)"""
+
+_ABBREVIATED = """
+docs AS (SELECT doc_id, replace(replace(replace(replace(replace(text, ' the ', ' etc. '), ' que ', ' etc. '), ' und ', ' etc. '),
+  ' of ', ' e.g. '), ' de ', ' e.g. ') AS text FROM documents),
+tokens AS (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+(?:\\.\\p{L}+)*\\.?')) AS token FROM docs),
+stop_counts AS (SELECT regexp_replace(token, '\\.$', '') AS word, count(*) AS n, count(*) FILTER (token LIKE '%.') AS stops FROM tokens GROUP BY 1),
+usual AS (SELECT sum(stops) / sum(n)::DOUBLE AS u FROM stop_counts),
+abbreviations AS (
+  SELECT word, round(2 * (stops * (ln(0.99e0) - ln(u)) + (n - stops) * (ln(0.01e0) - ln(1 - u))) * exp(-len(replace(word, '.', '')))
+    * (len(word) - len(replace(word, '.', '')) + 1) * pow(len(replace(word, '.', '')), (stops - n)::DOUBLE), 9) AS score
+  FROM stop_counts, usual WHERE stops > 0)"""
+ORACLES["abbreviations"] = f"WITH {_ABBREVIATED} SELECT word, {_r('score', 6)} AS score FROM abbreviations WHERE score >= 0.3"
+ORACLES["whole_sentences"] = f"""WITH {_ABBREVIATED}, {_sentences('docs', 'doc_id')},
+open AS (
+  SELECT doc_id, pos, sentence, lag(score IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY pos) AS goes_on
+  FROM sent LEFT JOIN (SELECT * FROM abbreviations WHERE score >= 0.3) ON word = lower(regexp_extract(sentence, '(\\p{{L}}+(?:\\.\\p{{L}}+)*)\\.$', 1))),
+numbered AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS whole FROM open)
+SELECT doc_id, CAST(whole AS INTEGER) AS pos, string_agg(sentence, ' ' ORDER BY pos) AS sentence FROM numbered GROUP BY doc_id, whole"""

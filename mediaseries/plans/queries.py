@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions import dates, scores, text
-from ..operators import articles, classify, common, correlate, enrich, media, merge, rollup, series, stats, users
+from ..operators import articles, classify, common, correlate, enrich, learned, media, merge, rollup, series, stats, users
 from ..session import stage, staged_path
 from ..sources import readers, writers
 from ..sources.masters import StandingMaster
@@ -671,6 +671,31 @@ def page_articles(spark, d):
     return articles.extract_articles(views.table(spark, d, "pages"))
 
 
+@query
+def page_bodies(spark, d):
+    """Title and running text of every page, without advertisements, menus and footers."""
+    return articles.extract_bodies(views.table(spark, d, "pages"))
+
+
+@query
+def source_datetimes(spark, d):
+    """Dates that two kinds of events write as day/month and as month/day, read as each source writes them."""
+    at, day_first = F.col("ts").cast("timestamp"), F.col("event_type").isin("view", "error")
+    late = F.expr("make_interval(0, event_id % 12)")
+    moved = F.date_format(at + late, "yyyy-MM-dd HH:mm:ss").cast("timestamp")
+    raw = F.when(day_first, F.date_format(moved, "dd/MM/yyyy HH:mm")).otherwise(F.date_format(moved, "M/d/yyyy HH:mm"))
+    rows = views.table(spark, d, "events").select("event_id", "event_type", raw.alias("datetime"))
+    return shown(learned.format_by_source(rows, "event_type"))
+
+
+@query
+def source_day_orders(spark, d):
+    """Which kinds of events put the day first, with the votes of their unambiguous texts."""
+    at, day_first = F.col("ts").cast("timestamp"), F.col("event_type").isin("view", "error")
+    raw = F.when(day_first, F.date_format(at, "dd/MM/yyyy HH:mm")).otherwise(F.date_format(at, "M/d/yyyy HH:mm"))
+    return learned.learn_day_order(views.table(spark, d, "events").select("event_type", raw.alias("datetime")), "event_type")
+
+
 @query
 def country_names(spark, d):
     """Country name and id for cities that lack them."""
@@ -844,6 +869,47 @@ def classify_lexicon_table(spark, d):
     return shown(classify.apply_verdicts(docs, classify.text_verdicts(scored, "doc_id"), "doc_id").drop("text"))
 
 
+def _learned_weights(spark, d):
+    docs = views.texts(spark, d).select("doc_id", "text").join(views.table(spark, d, "labels"), "doc_id")
+    return learned.learn_weights(docs.filter("doc_id % 3 <> 1"), F.col("toxic") == 0)
+
+
+@query
+def learned_weights(spark, d):
+    """Words that tell hostile documents from others, with their weights, from two thirds of the labels."""
+    return shown(_learned_weights(spark, d), 6)
+
+
+@query
+def classify_learned(spark, d):
+    """Verdict of every document by a linear classifier learned from the labels."""
+    docs = views.texts(spark, d).select("doc_id", "text")
+    weights = stage(_learned_weights(spark, d), "weights")
+    scored = learned.score_with_weights(classify.sentence_rows(docs, "doc_id"), weights, "doc_id")
+    return shown(classify.apply_verdicts(docs, classify.text_verdicts(scored, "doc_id"), "doc_id").drop("text"), 6)
+
+
+def _with_abbreviations(spark, d):
+    """Documents in which some words are written as abbreviations."""
+    text_ = F.col("text")
+    for word, short in (("the", "etc."), ("que", "etc."), ("und", "etc."), ("of", "e.g."), ("de", "e.g.")):
+        text_ = F.replace(text_, F.lit(f" {word} "), F.lit(f" {short} "))
+    return views.texts(spark, d).select("doc_id", text_.alias("text"))
+
+
+@query
+def abbreviations(spark, d):
+    """Words that the corpus writes as abbreviations, with their scores."""
+    return shown(learned.learn_abbreviations(_with_abbreviations(spark, d)), 6)
+
+
+@query
+def whole_sentences(spark, d):
+    """Sentences of every document, where full stops of abbreviations end none."""
+    docs = _with_abbreviations(spark, d)
+    return learned.whole_sentences(docs, "doc_id", stage(learned.learn_abbreviations(docs), "abbreviations"))
+
+
 def vowel_model():
     """A stand-in for a trained model: more e than a is positive."""
 
