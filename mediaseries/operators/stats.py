@@ -10,6 +10,8 @@ from ..session import stage
 from .common import attach
 
 ACCURACY = 10_000
+#: Rank errors of the sketch by which a bracket reaches beyond its answer.
+SLACK = 2.0
 
 
 def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -34,23 +36,33 @@ def quantiles(
     each way. Rows below a bracket become one with their count and maximum, rows above it one with their
     minimum, where they lie; only the distinct values inside (about 4/accuracy of a key's rows) are shuffled. They are
     sorted by range, each task counts its share, and the counts of the tasks before it are added up, so
-    no task holds a key or a bracket. The sketch steers the work, not the result: an answer outside its
-    bracket is an error.
+    no task holds a key or a bracket. The sketch steers the work, not the result: where an answer lies outside its
+    bracket, all is done again with brackets sixteen times as wide, in the end from the smallest to the greatest value.
     """
-    keys, spark = list(keys), df.sparkSession
+    slack = SLACK / accuracy
+    while True:
+        found = stage(_bracketed(df, value, probs, list(keys), accuracy, slack), "quantiles")
+        if slack >= 1 or found.where(F.col("quantile").isNull()).isEmpty():
+            return found
+        slack = max(slack * 16, SLACK / accuracy, 1e-6)
+
+
+def _bracketed(df: DataFrame, value: str, probs: Sequence[float], keys: list[str], accuracy: int, slack: float) -> DataFrame:
+    """One round of ``quantiles``: NULL where an answer lies outside its bracket of ``slack`` on either side."""
+    spark = df.sparkSession
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 2.0 / accuracy
     near = [p for q in probs for p in (max(q - slack, 0.0), min(q + slack, 1.0))]
     sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", near, accuracy).alias("_near"), F.count("*").alias("_total")
-    )
-    brackets = F.array(
-        *[
-            F.struct(F.lit(float(q)).alias("prob"), F.col("_near")[2 * k].alias("lo"), F.col("_near")[2 * k + 1].alias("hi"))
-            for k, q in enumerate(probs)
-        ]
+        F.percentile_approx("_v", near, accuracy).alias("_near"), F.count("*").alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
     )
-    placed = _beside(rows, sketch, keys, ["_near", "_total"], "sketch").withColumn("_b", F.explode(brackets))
+
+    def bracket(k: int, q: float):
+        lo = F.col("_near")[2 * k] if q - slack > 0 else F.col("_min")
+        hi = F.col("_near")[2 * k + 1] if q + slack < 1 else F.col("_max")
+        return F.struct(F.lit(float(q)).alias("prob"), lo.alias("lo"), hi.alias("hi"))
+
+    brackets = F.array(*[bracket(k, q) for k, q in enumerate(probs)])
+    placed = _beside(rows, sketch, keys, ["_near", "_total", "_min", "_max"], "sketch").withColumn("_b", F.explode(brackets))
     zone = F.when(F.col("_v") < F.col("_b.lo"), 0).when(F.col("_v") <= F.col("_b.hi"), 1).otherwise(2).alias("_zone")
     inside = F.when(F.col("_v").between(F.col("_b.lo"), F.col("_b.hi")), F.col("_v")).alias("_inside")
     steps = placed.groupBy(*keys, F.col("_b.prob").alias("prob"), "_total", zone, inside).agg(
@@ -61,7 +73,7 @@ def quantiles(
     by = [*keys, "prob"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_steps = steps.repartitionByRange(tasks, *by, "_v").withColumn("_task", F.spark_partition_id())
-    sorted_steps = stage(sorted_steps.select(*by, "_total", "_v", "_n", "_task"), "steps")
+    sorted_steps = stage(sorted_steps.select(*by, "_total", "_zone", "_v", "_n", "_task"), "steps")
     shares = sorted_steps.groupBy(*by, "_task").agg(F.sum("_n").alias("_share"))
     earlier = W.partitionBy(*by).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
     offsets = shares.select(*by, "_task", F.coalesce(F.sum("_share").over(earlier), F.lit(0)).alias("_offset"))
@@ -71,13 +83,15 @@ def quantiles(
     place = (F.col("_total") - 1) * F.col("prob")
 
     def at(rank):
-        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+        """The value of a rank: any inside the bracket, the greatest of those below it, the smallest of those above."""
+        known = (F.col("_zone") == 1) | ((F.col("_zone") == 0) & (rank == F.col("_upto") - 1)) | ((F.col("_zone") == 2) & (rank == F.col("_before")))
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_upto")) & known, F.col("_v")))
 
     found = counted.groupBy(*by).agg(
         at(F.floor(place)).alias("_a"), at(F.ceil(place)).alias("_z"), F.max(place - F.floor(place)).alias("_f")
     )
     exact = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
-    return found.select(*by, F.coalesce(exact, F.raise_error(F.lit("a quantile lies outside its bracket"))).alias("quantile"))
+    return found.select(*by, exact.alias("quantile"))
 
 
 def _fences(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:

@@ -22,6 +22,25 @@ def test_quantiles_through_brackets(spark):
     assert lone[0.5] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.5))
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_missed_brackets_are_widened(spark, monkeypatch, keys):
+    """With brackets far too narrow for a coarse sketch, answers are missed at first and found in a later round."""
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=3000).round(6)
+    df = spark.createDataFrame([(k % 3, float(v)) for k, v in enumerate(values)], "k int, v double")
+    rounds = []
+    inner = stats._bracketed
+    monkeypatch.setattr(stats, "SLACK", 0.0)
+    monkeypatch.setattr(stats, "_bracketed", lambda *a: rounds.append(a[-1]) or inner(*a))
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r["k"] if keys else None, r["prob"]): r["quantile"] for r in stats.quantiles(df, "v", probs, keys, accuracy=20).collect()}
+    for k in range(3) if keys else [None]:
+        own = values if k is None else values[k::3]
+        for p in probs:
+            assert got[k, p] == pytest.approx(np.quantile(own, p), abs=1e-12)
+    assert len(rounds) > 1 and rounds[0] == 0 and rounds == sorted(rounds)
+
+
 def test_box_and_outliers(spark):
     values = [float(v) for v in (1, 2, 3, 4, 5, 6, 7, 8, 9, 100, -50)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
