@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
 
@@ -10,6 +10,8 @@ from ..session import stage
 DRAW_RATE = 8.0
 #: Terms of the distribution function; at a mean of 8 what lies beyond is far below the 52 bits of a draw.
 TERMS = 64
+#: Draws of a document that are made in one row. Sources with more are dealt out in blocks of so many first.
+BLOCK = 128
 #: The order of a mix is a number below this.
 ORDERS = 1 << 52
 
@@ -32,7 +34,7 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None, source: str = "
     sources weigh the same. A source without a target, or with one that is NULL or not above 0, gets the rate 0.
     NULL is a source like any other. Columns: source, __rate, __draws, __cdf.
     """
-    sizes = docs.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("__n"))
+    sizes = docs.groupBy(F.col(f"`{source}`").alias("__source")).agg(F.count("*").alias("__n"))
     if targets is None:
         weighted = sizes.withColumn("__weight", F.lit(1.0))
     else:
@@ -42,7 +44,7 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None, source: str = "
     weighted = stage(weighted.withColumn("__weight", weight), "mixing-sizes")
     whole = weighted.agg(F.sum("__n").alias("n"), F.sum("__weight").alias("w")).select(F.struct("n", "w").alias("s")).scalar()
     rate = F.when(F.col("__weight") > 0, F.col("__weight") / whole["w"] * whole["n"] / F.col("__n")).otherwise(0.0)
-    draws = F.greatest(F.ceil(F.col("__rate") / DRAW_RATE), F.lit(1)).cast("int")
+    draws = F.greatest(F.ceil(F.col("__rate") / DRAW_RATE), F.lit(1)).cast("long")
     mean = F.col("__rate") / F.col("__draws")
     begin = F.struct(F.exp(-F.col("__mean")).alias("term"), F.array(F.exp(-F.col("__mean"))).alias("cdf"))
 
@@ -73,24 +75,52 @@ def mix_sources(
 
     The mean of a row's repetitions is its source's rate (``repetition_rates``); the number is the inverse of the
     distribution at a hash of ``seed`` and ``key``, so equal keys (NULL ones too) repeat equally often, and any run or
-    retry gives the same mix. ``copy_column`` (int, from 1) and ``order_column`` (long) replace columns of the same
-    name; rows are range-partitioned and sorted by the latter. An empty table gives an empty mix.
+    retry gives the same mix. The columns of ``docs`` stay as they are, whatever their names; ``copy_column`` (int, from 1) and ``order_column``
+    (long) come behind them, with underscores at their end where such a name is taken. Rows are range-partitioned and sorted by the
+    latter. An empty table gives an empty mix.
 
     The rates are one row per source, written to the shared folder, so Spark knows their size: small ones are
-    broadcast, and beyond that the join on the source is one whose hot sides AQE splits. Documents move once, by uniform keys.
+    broadcast, and beyond that the join on the source is one whose hot sides AQE splits. Documents move once, by uniform keys;
+    those of sources so rare that a document needs more than ``BLOCK`` draws are first dealt out in blocks of draws, so that no
+    row and no task makes all copies of one. More than 2^31 - 1 copies of one document are an error.
     """
     rates = stage(repetition_rates(docs, targets, source), "mixing-rates")
-    kept = docs.drop(copy_column, order_column)
-    joined = kept.join(rates, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col("__draws")),
-        F.lit(0),
-        lambda total, draw: total + F.size(F.filter("__cdf", lambda c: c <= hash_unit(seed, F.col(f"`{key}`"), draw))),
-    )
-    drawn = joined.withColumn("__count", F.when(F.col("__rate") > 0, count).otherwise(0)).where("__count > 0")
-    copies = drawn.withColumn(copy_column, F.explode(F.sequence(F.lit(1), F.col("__count"))))
-    ordered = copies.withColumn(order_column, hash_number(f"{seed}-order", F.col(f"`{key}`"), F.col(copy_column)))
-    mixed = ordered.select(*[F.col(f"`{c}`") for c in kept.columns], copy_column, order_column)
+    taken = set(map(str.lower, docs.columns))  # Spark tells names apart without regard to case
+    while copy_column.lower() in taken:
+        copy_column += "_"
+    while order_column.lower() in {copy_column.lower(), *taken}:
+        order_column += "_"
+    held = docs.select(F.struct("*").alias("doc"))
+    own_key = F.col(f"doc.`{key}`")
+
+    def joined(some: DataFrame) -> DataFrame:
+        return held.join(some, F.col(f"doc.`{source}`").eqNullSafe(F.col("__source"))).where("__rate > 0")
+
+    def drawn(first: Column, last: Column) -> Column:
+        """Copies that the draws from ``first`` to ``last`` give."""
+        return F.aggregate(
+            F.sequence(first, last),
+            F.lit(0),
+            lambda total, draw: total + F.size(F.filter("__cdf", lambda c: c <= hash_unit(seed, own_key, draw))),
+        )
+
+    few = joined(rates.where(F.col("__draws") <= BLOCK)).withColumn("__count", drawn(F.lit(1).cast("long"), F.col("__draws"))).where("__count > 0")
+    copies = few.select("doc", F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("__copy"))
+    many = rates.where(F.col("__draws") > BLOCK)
+    if not many.isEmpty():
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__draws") - 1) / BLOCK)))
+        dealt = stage(joined(many).withColumn("__row", F.monotonically_increasing_id()), "mixing-rare").withColumn("__block", blocks)
+        dealt = dealt.repartition("__row", "__block")
+        begin = F.col("__block") * BLOCK + 1
+        counted = dealt.withColumn("__count", drawn(begin, F.least(begin + BLOCK - 1, F.col("__draws"))))
+        counted = stage(counted.select("__row", "__block", "__count"), "mixing-counts")
+        earlier = Window.partitionBy("__row").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("__count").over(earlier), F.lit(0)).cast("int")
+        numbered = counted.withColumn("__before", before).where("__count > 0")
+        rare = dealt.select("doc", "__row", "__block").join(numbered, ["__row", "__block"])
+        copies = copies.unionByName(rare.select("doc", F.explode(F.sequence(F.col("__before") + 1, F.col("__before") + F.col("__count"))).alias("__copy")))
+    ordered = copies.withColumn("__order", hash_number(f"{seed}-order", own_key, F.col("__copy")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.floor(F.col(order_column) / F.lit(ORDERS) * parts).cast("int")
-    return mixed.repartitionById(parts, place).sortWithinPartitions(order_column, f"`{key}`", copy_column)
+    place = F.floor(F.col("__order") / F.lit(ORDERS) * parts).cast("int")
+    mixed = ordered.repartitionById(parts, place).sortWithinPartitions("__order", own_key, "__copy")
+    return mixed.select("doc.*", F.col("__copy").alias(copy_column), F.col("__order").alias(order_column))

@@ -43,6 +43,18 @@ def test_one_document_of_each_group(kept):
     assert sorted(kept["near_dedup"]) == sorted(r for r in kept["toxicity"] if groups[r[0]] == r[0])
 
 
+def test_documents_of_one_id_are_told_apart(spark):
+    """Rows alike in id and text are one; an id's other text, and texts without an id, are documents of their own."""
+    one, other, third = (" ".join(f"{name}{k}" for k in range(40)) for name in "abc")
+    rows = [(1, one, "x"), (2, one, "x"), (2, other, "x"), (3, third, "z"), (3, third, "y"), (None, "d " + third, "x"), (None, "only here", "x"), (None, "only here", None), (4, None, "x"), (5, "", "x"), (5, "", "x")]
+    docs = spark.createDataFrame([(k, t, "en", s, 1) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    kept = [(1, one, "x"), (2, other, "x"), (None, "only here", None), (4, None, "x"), (5, "", "x")]
+    assert sorted(str(g) for g in got if third not in (g[1] or "")) == sorted(map(str, kept))
+    assert [g for g in got if third in (g[1] or "")] == [(3, third, "y")]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
 def test_repeated_strings_are_cut(kept):
     seen, want = set(), []
     for row in sorted(kept["near_dedup"]):

@@ -1,5 +1,6 @@
 """Decontamination, toxicity, license scan, token counts and mixing on hand-made rows."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mediaseries.llm import decontamination, token_counts as counting
+from mediaseries.llm import decontamination, mixing, token_counts as counting
 from mediaseries.llm.decontamination import FMIndex, WaveletTree, contamination_report, cut_words, remove_contamination, suffix_array
 from mediaseries.llm.licenses import BASE, GATES, license_report, rules
 from mediaseries.llm.mixing import mix_sources, repetition_rates
@@ -244,14 +245,46 @@ def test_rates_and_copies(spark):
     assert rates == pytest.approx({"big": 6020 / 5 / 4000, "small": 6020 * 3 / 5 / 2000, None: 6020 / 5 / 20})
     mixed = mix_sources(docs, targets)
     got = mixed.collect()
-    assert [r["shuffle_key"] for r in got] == sorted(r["shuffle_key"] for r in got) and mixed.columns == ["doc_id", "text", "source", "copy", "shuffle_key"]
+    assert [r["shuffle_key"] for r in got] == sorted(r["shuffle_key"] for r in got) and mixed.columns == ["doc_id", "text", "source", "copy", "copy_", "shuffle_key"]
     counts = Counter(r["source"] for r in got)
     for source, want in (("big", 1204), ("small", 3612), (None, 1204)):
         assert abs(counts[source] - want) < 5 * math.sqrt(want)
     times = Counter(r["doc_id"] for r in got if r["source"] == "small")
     share = sum(1 for k in range(0, 6000, 3) if times[k] == 0) / 2000
     assert abs(share - math.exp(-rates["small"])) < 0.04
-    assert sorted((r["doc_id"], r["copy"]) for r in mix_sources(docs.repartition(5), targets).collect()) == sorted((r["doc_id"], r["copy"]) for r in got)
+    assert {r["copy"] for r in got} == {"old"}
+    assert sorted((r["doc_id"], r["copy_"]) for r in mix_sources(docs.repartition(5), targets).collect()) == sorted((r["doc_id"], r["copy_"]) for r in got)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["__source", "__rate", "__count", "__draws", "__cdf", "__row", "__block", "__copy", "__order", "doc", "Copy", "shuffle_key", "copy_"]
+    rows = [(k, "s" if k % 2 else None, *(f"{n} {k}" for n in names)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for targets in (None, spark.createDataFrame([("s", 1.0)], "source string, weight double")):
+        mixed = mix_sources(docs, targets)
+        assert mixed.columns == [*docs.columns, "copy__", "shuffle_key_"]
+        got = mixed.collect()
+        assert got and all(tuple(r)[:-2] == rows[r["doc_id"]] for r in got)
+        plain = mix_sources(docs.select("doc_id", "source"), targets).collect()
+        assert [(r["doc_id"], r["copy__"], r["shuffle_key_"]) for r in got] == [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in plain]
+
+
+def test_copies_of_a_rare_source_are_dealt_out(spark):
+    """A source of one document among 8,001 has the rate 4,000.5: its draws are made in blocks, and add up as in one row."""
+    docs = spark.createDataFrame([(k, "much" if k else "rare") for k in range(8001)], "doc_id long, source string")
+    rate = next(r for r in repetition_rates(docs, None).collect() if r["__source"] == "rare")
+    assert rate["__rate"] == pytest.approx(4000.5) and rate["__draws"] == 501 > mixing.BLOCK
+    want = sum(sum(c <= int(hashlib.md5(f"mix|0|{draw}".encode()).hexdigest()[:13], 16) / 2**52 for c in rate["__cdf"]) for draw in range(1, 502))
+    got = [r["copy"] for r in mix_sources(docs).where("source = 'rare'").collect()]
+    assert sorted(got) == list(range(1, want + 1)) and abs(want - 4000.5) < 5 * math.sqrt(4000.5)
+
+
+def test_blocks_of_draws_change_nothing(spark, monkeypatch):
+    rows = [(k, "much") for k in range(400)] + [(k, "rare") for k in (7, 7, 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    whole = mix_sources(docs).collect()
+    monkeypatch.setattr(mixing, "BLOCK", 3)
+    assert mix_sources(docs).collect() == whole and sum(r["source"] == "rare" for r in whole) > 100
 
 
 def test_mix_of_odd_rows(spark):
