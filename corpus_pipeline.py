@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediaseries.llm import queries
-from mediaseries.llm.bagminhash import near_duplicates, node_ids
+from mediaseries.llm.bagminhash import near_duplicates
 from mediaseries.llm.decontamination import remove_contamination
 from mediaseries.llm.mixing import mix_sources
 from mediaseries.llm.suffix_dedup import remove_repeats
@@ -24,10 +24,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    found = near_duplicates(docs)
-    dropped = found.where("id <> class_id").select("id")
-    return docs.withColumn("__id", node_ids("doc_id")).join(dropped, F.col("__id") == F.col("id"), "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates, that with the smallest number.
+
+    A document is an id with a text: rows alike in both are one, of which the smallest by its other columns stays. Its number is the id;
+    further texts of an id, and texts without an id, have numbers from 2^62 on, made from both.
+    """
+    row, low = "__row", "__low"  # no names of documents, whose columns are COLUMNS
+    docs, text = docs.select(*COLUMNS), F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.groupBy(F.col("doc_id").alias("__id")).agg(F.min(text).alias(low), F.max(text).alias("__high"))
+    several = stage(texts.where(f"__id IS NOT NULL AND {low} < __high").select("__id", low), "several-texts")
+    own = F.col("doc_id").isNotNull() & (F.col(low).isNull() | (F.col(low) == text))
+    number = F.when(own, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 62)) + (1 << 62))
+    numbered = docs.join(several, F.col("doc_id") == F.col("__id"), "left").select(*COLUMNS, number.alias(row))
+    found = stage(near_duplicates(numbered, row), "near-duplicates")
+    dropped = found.where("id <> class_id").select("id").distinct()
+    left = numbered.join(dropped, F.col(row) == F.col("id"), "left_anti")
+    again = stage(found.where("id = class_id").groupBy("id").count().where("count > 1").select("id"), "repeated-rows")
+    if again.isEmpty():
+        return left.select(*COLUMNS)
+    once = left.join(again, F.col(row) == F.col("id"), "left_anti").select(*COLUMNS)
+    more = left.join(again, F.col(row) == F.col("id"), "left_semi").groupBy(row).agg(F.min(F.struct(*COLUMNS)).alias("first"))
+    return once.unionByName(more.select("first.*"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
