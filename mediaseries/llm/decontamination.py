@@ -251,7 +251,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, columns: Sequence[str]
     added = [f"{prefix}words", f"{prefix}spans", f"{prefix}items"]
     columns = [c for c in dict.fromkeys(columns) if c not in added]
     carried = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, "text"])])
-    sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     chars = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // BLOCK_CHARS
     types = {f.name: f.dataType.simpleString() for f in carried.schema.fields}

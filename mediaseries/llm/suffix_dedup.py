@@ -32,9 +32,14 @@ HELD_SUFFIXES = 150_000
 SAMPLE_TEXTS = 2000
 SAMPLE_ANCHORS = 32
 SMALL = 256
+#: Documents whose anchors or suffixes meet in one group, on average; there are at least as many groups as shuffle partitions.
+ROWS_A_BUCKET = 20_000
+#: The span of an anchor that only stands for its hash; strings are shorter than this by far.
+STAND_IN = (1 << 16) - 1
+LONGEST = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_WANTED = np.dtype([("id", "<i8"), ("hash", "<i8"), ("place", "<u4"), ("back", "u1"), ("span", "u1")])
-_PLACE = np.dtype([("place", "<u4"), ("back", "u1"), ("span", "u1")])
+_WANTED = np.dtype([("id", "<i8"), ("hash", "<i8"), ("place", "<u4"), ("back", "<u2"), ("span", "<u2")])
+_PLACE = np.dtype([("place", "<u4"), ("back", "<u2"), ("span", "<u2")])
 _SPAN = np.dtype([("id", "<i8"), ("hash", "<i8"), ("first", "<i8"), ("last", "<i8")])
 
 
@@ -206,7 +211,13 @@ def _numbers(array) -> np.ndarray:
     return array.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_MARK = np.dtype([("key", "<u8"), ("text", "<u4"), ("place", "<u4"), ("back", "u1"), ("span", "u1")])
+_MARK = np.dtype([("key", "<u8"), ("text", "<u4"), ("place", "<u4"), ("back", "<u2"), ("span", "<u2")])
+
+
+def bucket_of(ids: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document. Copies of a text are dealt out by their ids."""
+    ids, hashes = np.ascontiguousarray(ids).view(np.uint64), np.ascontiguousarray(hashes).view(np.uint64)
+    return (mix(hashes ^ mix(ids)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _send_anchors(buckets: int, length: int, gram: int):
@@ -219,9 +230,9 @@ def _send_anchors(buckets: int, length: int, gram: int):
         often = count[inverse] > 1
         known, alone = marks[often], marks[~often]
         one = known[np.unique(known["key"], return_index=True)[1]].copy()
-        one["span"] = 255  # a stand-in: it makes its hash a repeated one and is no candidate itself
+        one["span"] = STAND_IN  # a stand-in: it makes its hash a repeated one and is no candidate itself
         sent = np.concatenate([alone, one])
-        parts = [(0, sent, (sent["key"] % np.uint64(buckets)).astype(np.int64)), (1, known, mix(hashes[known["text"]].view(np.uint64)).astype(np.uint64) % np.uint64(buckets))]
+        parts = [(0, sent, sent["key"] % np.uint64(buckets)), (1, known, bucket_of(ids[known["text"]], hashes[known["text"]], buckets))]
         for kind, some, bucket in parts:
             bucket = bucket.astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -279,14 +290,14 @@ def _find_candidates(buckets: int):
         ids, hashes, marks, known = np.concatenate(ids), np.concatenate(hashes), np.concatenate(marks), np.concatenate(kinds) == 1
         sent = np.flatnonzero(~known)
         _, inverse, count = np.unique(marks["key"][sent], return_inverse=True, return_counts=True)
-        known[sent] = (count[inverse] > 1) & (marks["span"][sent] != 255)
+        known[sent] = (count[inverse] > 1) & (marks["span"][sent] != STAND_IN)
         marks = marks[known]
         wanted = np.empty(len(marks), _WANTED)
         wanted["id"], wanted["hash"] = ids[marks["text"]], hashes[marks["text"]]
         for name in _PLACE.names:
             wanted[name] = marks[name]
         wanted = wanted[np.lexsort((wanted["place"], wanted["hash"], wanted["id"]))]
-        bucket = (mix(wanted["hash"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket = bucket_of(wanted["id"], wanted["hash"], buckets)
         order = np.argsort(bucket, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
         return pa.table(
@@ -432,14 +443,16 @@ def _field(batch, name):
 def find_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Where strings of ``length`` bytes begin that begin earlier too: __id, __hash and runs of beginnings [first, last].
 
-    Earlier means in a document with a smaller ``key`` (an integer), or in the same one before. Runs of a document may overlap.
+    ``length`` is at most 16,384. Earlier means in a document with a smaller ``key`` (an integer), or in the same one before. Runs of a document may overlap.
     Rows equal in key and text are one document. NULL texts are empty; a NULL key comes after all others; rows with equal
     keys and different texts are ordered by a hash of the text. Empty tables and short texts give no rows.
     """
+    if not gram <= length <= LONGEST:
+        raise ValueError(f"strings of {gram} to {LONGEST} bytes can be looked for")
     spark = docs.sparkSession
     texts = identified(docs, key)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_BUCKET))
     sample = docs.select("text").sample(min(1.0, SAMPLE_TEXTS / max(1, rows)), seed=7).limit(2 * SAMPLE_TEXTS)
     leads = sorted(r[0] for r in sample.mapInArrow(_sample_leads(length, gram), "lead binary").collect())
     splitters = sorted({bytes(leads[k * len(leads) // parts]) for k in range(1, parts)}) if leads else []

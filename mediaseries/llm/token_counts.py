@@ -38,28 +38,28 @@ def count_spliced(encode, text: str, chunk: int, overlap: int) -> int:
     """Tokens of a text from overlapping chunks. ``encode`` gives the sorted ends of a text's tokens, in characters.
 
     Each chunk takes over from the one before it at a common boundary in their overlap. A chunk begins anywhere,
-    also inside a word; only its tokens behind the boundary count.
+    also inside a word; only its tokens behind the boundary count. Where the overlap holds no stable place, or the two encodings
+    have no boundary at it, the overlap is widened.
     """
     total, low, high, held = 0, 0, min(len(text), chunk), 0
     ends = encode(text[low:high])
     while high < len(text):
-        width = overlap
-        while True:
+        width, joined = overlap, False
+        while not joined:
             begin = max(held, high - width)
             splice = last_stable(text, begin + 1, high - 1)
-            if splice is not None or begin == held:
+            if splice is not None:
+                after = max(min(len(text), begin + chunk), min(len(text), high + 1))
+                following = encode(text[begin:after])
+                cut, join = bisect_right(ends, splice - low), bisect_right(following, splice - begin)
+                joined = bool(cut and join) and ends[cut - 1] == splice - low and following[join - 1] == splice - begin
+            if begin == held:
                 break
             width *= 2
-        if splice is None:  # no common boundary however wide the overlap: the chunk itself grows
+        if not joined:  # no common boundary however wide the overlap: the chunk itself grows, in the end to the whole text
             high = min(len(text), high + max(chunk, high - low))
             ends = encode(text[low:high])
             continue
-        after = min(len(text), begin + chunk)
-        after = max(after, min(len(text), high + 1))
-        following = encode(text[begin:after])
-        cut, join = bisect_right(ends, splice - low), bisect_right(following, splice - begin)
-        if not cut or not join or ends[cut - 1] != splice - low or following[join - 1] != splice - begin:
-            raise ValueError("a proven boundary is no boundary of the encodings")
         total += cut - bisect_right(ends, held - low)
         low, high, held, ends = begin, after, splice, following
     return total + len(ends) - bisect_right(ends, held - low)

@@ -158,13 +158,17 @@ def learn(
     """Entries, weights and the curve, from at most ``sample_rows`` labelled texts.
 
     docs(doc_id, text) and labels(doc_id, toxic) meet on doc_id; several labels of an id count as toxic if one is.
-    The sample is the labelled ids that come first by hash, so its ids may be broadcast. An entry needs toxic texts
+    The sample is the labelled ids that come first by hash, so its ids may be broadcast, and of their rows, where ids are
+    repeated, as many as the sample has. An entry needs toxic texts
     enough to be no accident and odds of at least e^3. NULL ids and labels are ignored; with no toxic or no clean
     text there is no lexicon and every text scores as any other.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    if sample.count() > sample_rows:  # ids stand in several rows
+        by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+        sample = stage(sample.orderBy(*by_hash).limit(sample_rows), "toxicity-sample")
     sizes = {r["toxic"] > 0: r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:

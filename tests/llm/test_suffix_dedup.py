@@ -48,7 +48,7 @@ def documents(seed, length):
     return rows
 
 
-@pytest.mark.parametrize("seed, length, gram", [(1, 100, 24), (2, 30, 8), (3, 16, 11)])
+@pytest.mark.parametrize("seed, length, gram", [(1, 100, 24), (2, 30, 8), (3, 16, 11), (4, 400, 24)])
 @pytest.mark.parametrize("parts", [1, 7])
 def test_against_all_strings(spark, seed, length, gram, parts):
     rows = documents(seed, length)
@@ -60,6 +60,23 @@ def test_against_all_strings(spark, seed, length, gram, parts):
     )
 
 
+def test_long_strings_and_copies_over_many_buckets(spark, monkeypatch):
+    """Strings of 400 bytes in passages of 1500, and a third of all rows copies of one text, dealt out by their ids."""
+    monkeypatch.setattr(suffix_dedup, "ROWS_A_BUCKET", 5)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, copied = letters(1500), letters(900)
+    rows = [(k, copied if k % 3 == 0 else letters(200) + (passage if k % 3 == 1 else "") + letters(100)) for k in range(60)]
+    want = plain(rows, 400)
+    got = repeat_report(spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA).repartition(6), length=400).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((i, *want[i, t]) for i, t in rows)
+    ids, hashes = np.arange(3000), np.full(3000, 7)
+    assert np.bincount(suffix_dedup.bucket_of(ids, hashes, 10)).max() < 400
+    for length in (10, 20_000):
+        with pytest.raises(ValueError):
+            repeat_report(spark.createDataFrame([], SCHEMA), length=length)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     rng = np.random.default_rng(1)

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from mediaseries.llm import decontamination, mixing, token_counts as counting
+from mediaseries.llm import decontamination, mixing, token_counts as counting, toxicity
 from mediaseries.llm.decontamination import FMIndex, WaveletTree, contamination_report, cut_words, remove_contamination, suffix_array
 from mediaseries.llm.licenses import BASE, GATES, license_report, rules
 from mediaseries.llm.mixing import mix_sources, repetition_rates
@@ -212,6 +212,44 @@ def test_spliced_counts_are_whole_counts(tokenizer):
                 assert count_spliced(ends, text, chunk, overlap) == want, (text, chunk, overlap)
 
 
+def test_overlaps_are_widened_until_the_encodings_meet():
+    """An encoding that goes wrong for so many characters behind a cut, up to the whole chunk and beyond."""
+    text = "some words of a text that is cut " * 30
+    right = [k for k, c in enumerate(text) if c == " " and k] + [len(text)]
+
+    def ends(reach):
+        def encode(part):
+            at = text.find(part) if part != text else 0
+            own = [k for k, c in enumerate(part) if c == " " and k] + [len(part)]
+            return own if part == text or at == 0 else [k for k in own if k > reach]
+
+        return encode
+
+    for reach in (0, 20, 90, 150, 10_000):
+        for chunk, overlap in ((200, 10), (100, 40), (400, 3)):
+            assert count_spliced(ends(reach), text, chunk, overlap) == len(right), (reach, chunk, overlap)
+
+
+def test_the_sample_of_the_lexicon_is_bounded(spark):
+    """Few ids with many rows each: the sample has no more rows than asked for."""
+    docs = spark.createDataFrame([(k % 4, f"idiot {k} words" if k % 4 == 1 else f"kind {k} words") for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(4)], "doc_id long, toxic int")
+    seen = []
+    inner = toxicity.stage
+
+    def staged(df, name):
+        out = inner(df, name)
+        seen.append(out.count())
+        return out
+
+    toxicity.stage = staged
+    try:
+        model = learn(docs, labels, sample_rows=3000)
+    finally:
+        toxicity.stage = inner
+    assert seen == [4000, 3000] and "idiot" in str(model.weights)
+
+
 def test_pieces_join_to_the_text():
     for text in odd_texts():
         cut = pieces(text)
