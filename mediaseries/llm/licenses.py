@@ -134,6 +134,8 @@ NOTICES = [
 
 _GRANT = r"(?:licensed|released|distributed|available|provided|published|covered|shared) (?:freely )?(?:under|by) (?:the )?(?:terms of )?(?:the )?"
 _BLANK = "  "
+#: Matches that are folded together.
+BLOCK = 128
 
 
 def rules() -> list[dict]:
@@ -172,20 +174,52 @@ _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 _CC_BY = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
-def _intervals(text: Column, pattern: Column) -> Column:
-    """[low, high) of every match, in characters, from what stands between the matches."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<low:int,high:int>>").alias("found"))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(values: Column) -> Column:
+    """An array in arrays of ``BLOCK``. What is folded to a new array is folded within these, so that many matches
+    are not copied once for each of them."""
+    count = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(numbers: Column) -> Column:
+    """For each of an array of ints the sum of those before it."""
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
 
-    def add(state, step):
-        low = state["at"] + F.length(step["between"])
-        high = low + F.length(step["match"])
-        more = F.concat(state["found"], F.array(F.struct(low.alias("low"), high.alias("high"))))
-        return F.when(step["match"].isNull(), state).otherwise(F.struct(high.alias("at"), more.alias("found")))
+    def add(state, n):
+        return F.struct((state["sum"] + n).alias("sum"), F.concat(state["before"], F.array(state["sum"])).alias("before"))
 
+    def joined(parts):
+        shifts = F.aggregate(parts, start, lambda state, part: add(state, part["sum"]), lambda state: state["before"])
+        return F.flatten(F.zip_with(parts, shifts, lambda part, shift: F.transform(part["before"], lambda n: n + shift)))
+
+    return _let(F.transform(_blocks(numbers), lambda block: F.aggregate(block, start, add)), joined)
+
+
+def _matches(text: Column, pattern: Column) -> Column:
+    """What stands before each match, and the match."""
     steps = F.zip_with(
         F.split(text, pattern), F.regexp_extract_all(text, pattern, F.lit(0)), lambda b, m: F.struct(b.alias("between"), m.alias("match"))
     )
-    return F.aggregate(steps, start, add, lambda state: state["found"])
+    return F.filter(steps, lambda s: s["match"].isNotNull())
+
+
+def _intervals(text: Column, pattern: Column) -> Column:
+    """[low, high) of every match, in characters, from what stands between the matches."""
+
+    def placed(sizes):
+        def interval(size, before):
+            low = before + size["gap"]
+            return F.struct(low.alias("low"), (low + size["size"]).alias("high"))
+
+        return F.zip_with(sizes, _before(F.transform(sizes, lambda s: s["gap"] + s["size"])), interval)
+
+    sizes = F.transform(_matches(text, pattern), lambda s: F.struct(F.length(s["between"]).alias("gap"), F.length(s["match"]).alias("size")))
+    return _let(sizes, placed)
 
 
 def _detections(text: Column) -> Column:
@@ -217,15 +251,30 @@ def _suppressed(found: Column) -> Column:
     detection stands before it, and only the furthest end so far of each tier has to be known.
     """
     tiers = 6
-    start = F.struct(F.array(*[F.lit(-1)] * tiers).alias("ends"), F.array().cast(_DETECTION).alias("kept"))
+    nowhere = F.array(*[F.lit(-1)] * tiers)
+
+    def further(ends, d):
+        return F.transform(ends, lambda e, k: F.when(k == d["tier"], F.greatest(e, d["high"])).otherwise(e))
 
     def add(state, d):
         reach = F.array_max(F.slice(state["ends"], 1, d["tier"] + 1))
-        ends = F.transform(state["ends"], lambda e, k: F.when(k == d["tier"], F.greatest(e, d["high"])).otherwise(e))
         kept = F.when(reach >= d["high"], state["kept"]).otherwise(F.concat(state["kept"], F.array(d)))
-        return F.struct(ends.alias("ends"), kept.alias("kept"))
+        return F.struct(further(state["ends"], d).alias("ends"), kept.alias("kept"))
+
+    def follow(state, block):
+        """The ends that a block begins with, from those of the blocks before it."""
+        ends = F.aggregate(block, state["ends"], further)
+        return F.struct(ends.alias("ends"), F.concat(state["begins"], F.array(state["ends"])).alias("begins"))
 
-    return F.aggregate(found, start, add, lambda state: state["kept"])
+    def left(block, ends):
+        start = F.struct(ends.alias("ends"), F.array().cast(_DETECTION).alias("kept"))
+        return F.aggregate(block, start, add, lambda state: state["kept"])
+
+    def joined(blocks):
+        start = F.struct(nowhere.alias("ends"), F.array().cast("array<array<int>>").alias("begins"))
+        return F.flatten(F.zip_with(blocks, F.aggregate(blocks, start, follow, lambda state: state["begins"]), left))
+
+    return _let(found, lambda f: _let(_blocks(f), joined))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -252,13 +301,16 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def phrase(words_: str, label: str) -> Column:
-        pattern = F.lit(f" {words_.replace(' ', _BLANK)} ")
-        before = lambda low: F.substring(F.col("__spaced"), F.lit(1), low + 1)
-        blanks = lambda low: F.length(before(low)) - F.length(F.replace(before(low), F.lit(" "), F.lit("")))
-        return F.transform(
-            _intervals(F.col("__spaced"), pattern),
-            lambda s: F.struct(F.floor(blanks(s["low"]) / 2).cast("long").alias("low"), F.lit(label).alias("label")),
-        )
+        pattern, own = F.lit(f" {words_.replace(' ', _BLANK)} "), 2 * (words_.count(" ") + 1)
+
+        def placed(gaps):
+            """The word a match begins with has one blank before it and two before each earlier word."""
+            before = _before(F.transform(gaps, lambda g: g + own))
+            low = F.zip_with(gaps, before, lambda gap, b: F.floor((b + gap + 1) / 2).cast("long"))
+            return F.transform(low, lambda n: F.struct(n.alias("low"), F.lit(label).alias("label")))
+
+        blanks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+        return _let(F.transform(_matches(F.col("__spaced"), pattern), lambda s: blanks(s["between"])), placed)
 
     base = F.array_sort(F.concat(*[phrase(words_, label) for words_, label in BASE.items()]))
     none = F.array()

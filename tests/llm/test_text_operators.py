@@ -3,14 +3,16 @@
 import hashlib
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from mediaseries.llm import decontamination, mixing, token_counts as counting, toxicity
+from mediaseries.llm import decontamination, licenses, mixing, token_counts as counting, toxicity
 from mediaseries.llm.decontamination import FMIndex, WaveletTree, contamination_report, cut_words, remove_contamination, suffix_array
-from mediaseries.llm.licenses import BASE, GATES, license_report, rules
+from mediaseries.llm.licenses import BASE, GATES, license_report, rules, scan_licenses
 from mediaseries.llm.mixing import mix_sources, repetition_rates
 from mediaseries.llm.token_counts import count_spliced, pieces, stable, token_counts
 from mediaseries.llm.toxicity import folded, learn, score
@@ -185,6 +187,43 @@ def test_license_report(spark):
     assert set(BASE.values()) == {"gpl", "apache", "cc-by", "mit"} and license_report(frame(spark, [])).count() == 0
 
 
+def plain_detections(text):
+    """All rules on the spaced words, without keywords, and what stays of them."""
+    spaced = " " + "  ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) + " "
+    found = sorted(
+        (m.start(), -m.end(), r["tier"], r["label"], r["weight"]) for r in rules() for m in re.finditer(r["pattern"], spaced)
+    )
+    kept, ends = [], [-1] * 6
+    for low, back, tier, label, weight in found:
+        if max(ends[: tier + 1]) < -back:
+            kept.append((low, -back, tier, label, weight))
+        ends[tier] = max(ends[tier], -back)
+    return kept
+
+
+@pytest.mark.parametrize("block", [3, 128])
+def test_many_detections_in_one_text(spark, monkeypatch, block):
+    """Positions and suppression over block after block, against all rules in a plain loop."""
+    monkeypatch.setattr(licenses, "BLOCK", block)
+    rng = random.Random(4)
+    parts = ["MIT License", "mit", "licensed under the Apache License, Version 2.0", "GNU General Public License", "GPL", "cc by", "CC BY-SA 4.0", "the", "license", "free software"]
+    rows = [(k, " ".join(rng.choices(parts, k=n))) for k, n in enumerate([0, 1, 2, 3, 4, 9, 40, 128, 129, 700])]
+    for r in scan_licenses(frame(spark, rows)).collect():
+        text = rows[r["doc_id"]][1]
+        assert [tuple(d) for d in r["license_found"]] == plain_detections(text)
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        base = sorted((k, label) for phrase, label in BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        assert sorted(tuple(b) for b in r["license_base"]) == base
+
+
+def test_a_text_of_many_licenses_takes_no_square(spark):
+    """32,000 phrases in one text; folding them one by one into a growing array took minutes."""
+    n = 32_000
+    begin = time.perf_counter()
+    r = license_report(frame(spark, [(1, "mit license and the " * n)])).first()
+    assert (r["n_base"], r["first_word"], r["last_word"], r["n_words"]) == (n, 0, 4 * n - 4, 4 * n) and time.perf_counter() - begin < 60
+
+
 # --- token counts
 
 
