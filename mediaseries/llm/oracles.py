@@ -59,10 +59,15 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_NUMBER = "CASE WHEN r[3] IN ('x', 'X') THEN ('0x' || r[4:-2])::BIGINT ELSE r[3:-2]::BIGINT END"
+
+
 def _decoded(text: str) -> str:
-    for name, letter in warc.NAMED:
-        text = f"replace({text}, {_quoted(name)}, {_quoted(letter)})"
-    return text
+    """Each piece between references with the character of the reference behind it."""
+    letter = f"""CASE WHEN r IS NULL THEN '' WHEN r[2] <> '#' THEN coalesce(names[r], r)
+      WHEN {_NUMBER} = 160 THEN ' ' WHEN {_NUMBER} BETWEEN 1 AND 55295 OR {_NUMBER} BETWEEN 57344 AND 1114111 THEN chr(({_NUMBER})::INTEGER) ELSE chr(65533) END"""
+    pairs = f"list_zip(string_split_regex({text}, {_quoted(warc.REFERENCES)}), regexp_extract_all({text}, {_quoted(warc.REFERENCES)}))"
+    return f"array_to_string(list_transform({pairs}, lambda z: z[1] || list_transform([z[2]], lambda r: {letter})[1]), '')"
 
 
 _CRLF = "chr(13) || chr(10)"
@@ -73,8 +78,8 @@ _PLAIN = rf"regexp_replace({_PLAIN}, '[ \t\f\r]{{2,}}|[\t\f\r]', ' ', 'g')"
 _PLAIN = rf"trim(regexp_replace({_PLAIN}, '[ \n]*\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
 _TITLE = rf"trim(regexp_replace({_decoded(f'regexp_extract(html, {_quoted(warc.TITLE)}, 1)')}, '[ \t\n\f\r]+', ' ', 'g'))"
 _LINKS = (
-    f"list_transform(regexp_extract_all(html, {_quoted(warc.LINKS)}, 1), lambda x: 'outlink: ' || "
-    + _decoded(r"regexp_replace(x, '[ \t\n\f\r]+', '%20', 'g')")
+    f"list_transform(regexp_extract_all(regexp_replace(html, {_quoted(warc.HIDDEN)}, '', 'g'), {_quoted(warc.LINKS)}, 1), lambda x: 'outlink: ' || "
+    + _decoded(rf"regexp_replace(regexp_replace(x, {_quoted(warc.QUOTES)}, '', 'g'), '[ \t\n\f\r]+', '%20', 'g')")
     + " || ' L a/@href')"
 )
 OP3 = f"""
@@ -83,7 +88,8 @@ source AS (
   SELECT page_id, url, html, {_uuid("'response|' || coalesce(page_id::VARCHAR, 'NULL') || '|' || coalesce(url, 'NULL')")} refers_to,
     ['HTTP/1.1 200 OK', 'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(html)] heads, 'sha256:' || sha256(html) digest
   FROM p
-), texts AS (SELECT *, {_PLAIN} plain, {_TITLE} title, {_LINKS} links FROM source),
+), known AS (SELECT map([{", ".join(map(_quoted, warc.NAMED))}], [{", ".join(map(_quoted, warc.NAMED.values()))}]) AS names),
+texts AS (SELECT *, {_PLAIN} plain, {_TITLE} title, {_LINKS} links FROM source, known),
 records AS (
   SELECT page_id, 'conversion' AS type, 'text/plain; charset=utf-8' content_type, plain AS content, url, refers_to, heads, digest FROM texts
   UNION ALL

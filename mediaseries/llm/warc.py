@@ -7,6 +7,9 @@ row, so nothing is shuffled.
 from __future__ import annotations
 
 import gzip
+import io
+import zlib
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,15 +17,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SOFTWARE = "corpus derivatives"
+#: Bytes of content that are handed on together.
+BATCH_BYTES = 16_000_000
 # Patterns that Java and RE2 read alike.
 _END = r"(?:[ \t\n\f\r/][^>]*)?>"
 HIDDEN = rf"(?is)<(?:!--.*?-->|script{_END}.*?</script[ \t\n\f\r]*>|style{_END}.*?</style[ \t\n\f\r]*>|title{_END}.*?</title[ \t\n\f\r]*>)"
 BLOCKS = rf"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|pre|article|section|nav|aside|header|footer|main|form|body|html|head|blockquote){_END}"
 TAGS = r"<[a-zA-Z/!][^>]*>"
 TITLE = rf"(?is)<title{_END}(.*?)</title"
-LINKS = r'(?i)<a[ \t\n\f\r][^>]*?href[ \t\n\f\r]*=[ \t\n\f\r]*"([^"]*)"'
-# Named characters, & last so that nothing is decoded twice.
-NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_S = r"[ \t\n\f\r]"
+LINKS = rf"""(?i)<a(?:{_S}|{_S}[^>]*?[ \t\n\f\r"'])href{_S}*={_S}*("[^"]*"|'[^']*'|[^ \t\n\f\r"'>]+)"""
+QUOTES = r"""^["']|["']$"""
+#: Character references: decimal, hexadecimal, named.
+REFERENCES = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+#: The names that HTML knows, and what they stand for; a no-break space counts as a blank.
+NAMED = {f"&{name}": " " if letters == "\xa0" else letters for name, letters in html5.items() if name.endswith(";")}
 
 
 def record_uuid(*parts: Column) -> Column:
@@ -55,14 +64,29 @@ def responses_of(pages: DataFrame, key: str = "page_id", date: str = DATE) -> Da
     )
 
 
+def _character(reference: Column) -> Column:
+    """What a reference stands for. Numbers that are no character are U+FFFD, unknown names stay as they are."""
+    number = F.when(
+        reference.rlike("^&#[xX]"), F.conv(F.regexp_extract(reference, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("long")
+    ).otherwise(F.regexp_extract(reference, "#([0-9]+)", 1).try_cast("long"))
+    sound = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    letter = F.when(number == 0xA0, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    names = F.create_map(*[F.lit(part) for item in NAMED.items() for part in item])
+    named = F.coalesce(F.try_element_at(names, reference), reference)
+    return F.when(F.startswith(reference, F.lit("&#")), F.when(sound, letter).otherwise("\ufffd")).otherwise(named)
+
+
 def decoded(text: Column) -> Column:
-    for name, letter in NAMED:
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return text
+    """The text with its character references decoded, in one pass, so that none is decoded twice."""
+    pattern = F.lit(REFERENCES)
+    parts = F.zip_with(
+        F.split(text, REFERENCES), F.regexp_extract_all(text, pattern, F.lit(0)), lambda part, r: F.concat(part, F.coalesce(_character(r), F.lit("")))
+    )
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: one line per block, without markup, scripts and comments, named characters decoded."""
+    """The text of a page: one line per block, without markup, scripts and comments, character references decoded."""
     text = F.regexp_replace(html, HIDDEN, "")
     text = F.regexp_replace(F.regexp_replace(text, BLOCKS, "\n"), TAGS, "")
     text = F.regexp_replace(decoded(text), r"[ \t\f\r]{2,}|[\t\f\r]", " ")
@@ -75,7 +99,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ``block`` is a whole HTTP response. Columns: ``keep``, type, record_id, refers_to, target_uri, date, content_type,
     source_headers (lines of the response's head, its status first), source_digest, block_digest, content_length
     (bytes), content. The metadata's content is ``warc-fields``: source digest, status, source headers, title and one
-    outlink per link, in order. A source digest that the record lacks is made from its payload. NULL or empty blocks give records
+    outlink per link, in order, whatever its quotes, but none from comments and scripts. A source digest that the record lacks is made from its payload. NULL or empty blocks give records
     without headers, links and text; a NULL identifier stays NULL; equal rows give equal records; no rows, none.
     """
     block = F.coalesce(F.col("block"), F.lit(""))
@@ -93,8 +117,10 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     payload = F.col("payload")
     title = F.trim(F.regexp_replace(decoded(F.regexp_extract(payload, TITLE, 1)), r"[ \t\n\f\r]+", " "))
     links = F.transform(
-        F.regexp_extract_all(payload, F.lit(LINKS), F.lit(1)),
-        lambda link: F.concat(F.lit("outlink: "), decoded(F.regexp_replace(link, r"[ \t\n\f\r]+", "%20")), F.lit(" L a/@href")),
+        F.regexp_extract_all(F.regexp_replace(payload, HIDDEN, ""), F.lit(LINKS), F.lit(1)),
+        lambda link: F.concat(
+            F.lit("outlink: "), decoded(F.regexp_replace(F.regexp_replace(link, QUOTES, ""), r"[ \t\n\f\r]+", "%20")), F.lit(" L a/@href")
+        ),
     )
     whole = parsed.select(
         *[F.col(f"`{c}`") for c in keep], "refers_to", "target_uri", "date",
@@ -150,6 +176,33 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(serialized(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
+def _records(data: bytes):
+    """Header fields (names in lower case) and content of each record of a file, plain or of gzip members, read bit by bit."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head: dict[str, str] = {}
+            name = None
+            while (line := stream.readline()) and line.strip():
+                text = line.decode(errors="replace").rstrip("\r\n")
+                if text[0] in " \t" and name:  # a folded line goes on with the one before
+                    head[name] += " " + text.strip()
+                elif ":" in text:
+                    name, value = (part.strip() for part in text.split(":", 1))
+                    name = name.lower()
+                    head[name] = value
+            size = head.get("content-length", "")
+            if not size.isascii() or not size.isdigit():
+                continue
+            content = stream.read(int(size))
+            if len(content) == int(size):
+                yield head, content
+    except (EOFError, gzip.BadGzipFile, zlib.error):
+        return
+
+
 def _parse(batches):
     names = ["type", "record_id", "date", "target_uri", "refers_to", "block_digest", "payload_digest", "content_type", "content"]
     fields = ["warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-refers-to", "warc-block-digest", "warc-payload-digest", "content-type"]
@@ -159,24 +212,22 @@ def _parse(batches):
 
     for batch in batches:
         for data in batch.column("content"):
-            data, rows, at = data.as_py(), [], 0
-            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-            while (begin := data.find(b"WARC/", at)) >= 0:
-                end = data.index(b"\r\n\r\n", begin)
-                head = dict(line.split(": ", 1) for line in data[begin:end].decode().split(CRLF)[1:])
-                head = {name.lower(): value for name, value in head.items()}
-                at = end + 4 + int(head["content-length"])
-                rows.append([*[head.get(f) for f in fields], data[end + 4 : at].decode(errors="replace")])
-                if len(rows) == 1000:
+            rows, size = [], 0
+            for head, content in _records(data.as_py()):
+                rows.append([*[head.get(f) for f in fields], content.decode(errors="replace")])
+                size += len(content)
+                if len(rows) == 1000 or size > BATCH_BYTES:
                     yield batch_of(rows)
-                    rows = []
+                    rows, size = [], 0
             yield batch_of(rows)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records of WARC files: type, record_id, date, target_uri, refers_to, digests, content_type, content.
 
-    A file is one task's work and is held in memory whole, as Spark's binary reader hands it over.
+    A file is one task's work. Spark's binary reader hands it over as it lies there, 2 GB at most; it is decompressed and read bit by bit. Header
+    names count in any case, with or without a blank behind the colon, and may be folded. A record without a sound
+    Content-Length is left out, and reading goes on at the next one; so is one that the file's end cuts off. An empty file has no records.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     kinds = "type string, record_id string, date string, target_uri string, refers_to string, block_digest string, payload_digest string, content_type string, content string"
