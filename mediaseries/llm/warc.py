@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import zlib
 from html.entities import html5
 
@@ -71,28 +72,34 @@ def _character(reference: Column) -> Column:
     ).otherwise(F.regexp_extract(reference, "#([0-9]+)", 1).try_cast("long"))
     sound = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
     letter = F.when(number == 0xA0, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-    names = F.create_map(*[F.lit(part) for item in NAMED.items() for part in item])
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # a constant, folded when the plan is made
     named = F.coalesce(F.try_element_at(names, reference), reference)
     return F.when(F.startswith(reference, F.lit("&#")), F.when(sound, letter).otherwise("\ufffd")).otherwise(named)
 
 
 def decoded(text: Column) -> Column:
     """The text with its character references decoded, in one pass, so that none is decoded twice."""
-    pattern = F.lit(REFERENCES)
-    parts = F.zip_with(
-        F.split(text, REFERENCES), F.regexp_extract_all(text, pattern, F.lit(0)), lambda part, r: F.concat(part, F.coalesce(_character(r), F.lit("")))
-    )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"[^&]+|{REFERENCES}|&"), F.lit(0))
+    letters = F.transform(pieces, lambda piece: F.when(F.startswith(piece, F.lit("&")), F.when(piece == "&", "&").otherwise(_character(piece))).otherwise(piece))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(letters, "")).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: one line per block, without markup, scripts and comments, character references decoded."""
-    text = F.regexp_replace(html, HIDDEN, "")
+def visible(html: Column) -> Column:
+    """A page without its comments, scripts, styles and title."""
+    return F.regexp_replace(html, HIDDEN, "")
+
+
+def _lines(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, BLOCKS, "\n"), TAGS, "")
     text = F.regexp_replace(decoded(text), r"[ \t\f\r]{2,}|[\t\f\r]", " ")
     return F.trim(F.regexp_replace(text, r"[ \n]*\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def plain_text(html: Column) -> Column:
+    """The text of a page: one line per block, without markup, scripts and comments, character references decoded."""
+    return _lines(visible(html))
+
+
 def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A metadata and a conversion record for each row of responses(record_id, target_uri, date, block, payload_digest).
 
@@ -113,11 +120,12 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.when(split > 0, F.substring(block, F.lit(1), split - 1)).otherwise(F.lit("")).alias("head"),
         F.when(split > 0, F.substring(block, split + 4, F.length(block))).otherwise(block).alias("payload"),
     )
+    parsed = parsed.withColumn("visible", visible(F.col("payload")))  # text and links are both taken from it
     lines = F.filter(F.split("head", CRLF), lambda line: line != "")
     payload = F.col("payload")
     title = F.trim(F.regexp_replace(decoded(F.regexp_extract(payload, TITLE, 1)), r"[ \t\n\f\r]+", " "))
     links = F.transform(
-        F.regexp_extract_all(F.regexp_replace(payload, HIDDEN, ""), F.lit(LINKS), F.lit(1)),
+        F.regexp_extract_all("visible", F.lit(LINKS), F.lit(1)),
         lambda link: F.concat(
             F.lit("outlink: "), decoded(F.regexp_replace(F.regexp_replace(link, QUOTES, ""), r"[ \t\n\f\r]+", "%20")), F.lit(" L a/@href")
         ),
@@ -128,7 +136,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce("payload_digest", digest(payload)).alias("source_digest"),
         title.alias("title"),
         links.alias("links"),
-        plain_text(payload).alias("text"),
+        _lines(F.col("visible")).alias("text"),
     )
     fields = F.concat(
         F.array(
