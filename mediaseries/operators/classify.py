@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import NEGATIVE, NEUTRAL, POSITIVE
 from ..functions.text import clean_html, letters_only_words, split_sentences
+from ..session import stage
+from .common import broadcast_limit, size_in_bytes
 
 SCORES = "array<struct<label:string,conf:double>>"
 
@@ -134,17 +136,27 @@ def score_sentence_rows(sentences: DataFrame, scorer: Scorer) -> DataFrame:
     return scored.select(*keep, F.inline("_s"))
 
 
+def weigh_words(words: DataFrame, lexicon: DataFrame, id_column: str) -> DataFrame:
+    """The words (id, pos, word) that a staged lexicon holds, with its columns and ``times``, how often they stand in their sentence.
+
+    A lexicon that Spark broadcasts meets each word where it lies (a row each, ``times`` 1), and only words that it holds go
+    on. Words that have to be shuffled for a larger one are counted first, so each travels once per sentence.
+    """
+    if size_in_bytes(lexicon) <= broadcast_limit(words.sparkSession):
+        return words.join(lexicon, "word").withColumn("times", F.lit(1))
+    return words.groupBy(id_column, "pos", "word").agg(F.count("*").alias("times")).join(lexicon, "word")
+
+
 def score_with_lexicon_table(sentences: DataFrame, lexicon: DataFrame, id_column: str) -> DataFrame:
     """Scores sentence rows against a table (word, weight) of any length, weights being 1 or -1.
 
-    A sentence's words are counted before they are joined, so a word travels once per sentence; how the
-    lexicon is moved is Spark's choice by its size, and AQE splits the words that are hot in a shuffle.
+    The lexicon is staged, so that Spark knows its size and chooses by it how to move it; AQE splits the words that are
+    hot in a shuffle.
     """
     words = sentences.select(id_column, "pos", F.explode(letters_only_words("sentence")).alias("word"))
-    counted = words.groupBy(id_column, "pos", "word").agg(F.count("*").alias("times"))
     weight, times = F.col("weight"), F.col("times")
     return (
-        counted.join(lexicon, "word")
+        weigh_words(words, stage(lexicon, "lexicon"), id_column)
         .groupBy(id_column, "pos")
         .agg(F.sum(F.when(weight > 0, times).otherwise(0)).alias("p"), F.sum(F.when(weight < 0, times).otherwise(0)).alias("n"))
         .filter(F.col("p") != F.col("n"))
@@ -169,12 +181,15 @@ def text_verdicts(scores: DataFrame, id_column: str) -> DataFrame:
 
 
 def apply_verdicts(df: DataFrame, verdicts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """Put verdicts on texts: NEUTRAL with 0 where a text has none, nothing where there is no text."""
-    usable = F.col(text) != ""
-    joined = df.join(verdicts.select(id_column, F.col("label").alias("_l"), F.col("conf").alias("_c")), id_column, "left")
+    """Put verdicts on texts: NEUTRAL with 0 where a text has none, nothing where there is no text.
+
+    Whether there is a text is asked before the join, so texts that are not selected afterwards do not travel.
+    """
+    usable = F.col("_usable")
+    joined = df.withColumn("_usable", F.col(text) != "").join(verdicts.select(id_column, F.col("label").alias("_l"), F.col("conf").alias("_c")), id_column, "left")
     return joined.withColumns(
         {
             "label": F.when(usable, F.coalesce(F.col("_l"), F.lit(NEUTRAL))),
             "conf": F.when(usable, F.coalesce(F.col("_c"), F.lit(0.0))),
         }
-    ).drop("_l", "_c")
+    ).drop("_l", "_c", "_usable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
 
@@ -43,6 +43,12 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Spark's own bound of broadcasts in bytes, -1 if it broadcasts nothing."""
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(bound)) if bound != "-1" else -1
+
+
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int | None = None) -> DataFrame:
     """The first row of each group by ``order``, NULLs first; of rows alike in it the smallest by their other columns, taken in turn.
 
@@ -54,8 +60,7 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str], limit: in
     rest = [c for c in df.columns if c not in by and c not in order]
     least = stage(df.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first")), "first-orders")
     if limit is None:
-        bound = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        limit = int(df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(bound)) if bound != "-1" else -1
+        limit = broadcast_limit(df.sparkSession)
     if size_in_bytes(least) <= limit:
         others = least.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], *[F.col(f"_first.{c}").alias(f"_order{k}") for k, c in enumerate(order)])
         same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]

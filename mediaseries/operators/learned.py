@@ -12,7 +12,7 @@ from ..functions.dates import DAY_FIRST, DAY_MONTH, parse_datetime
 from ..functions.scores import NEGATIVE, POSITIVE
 from ..functions.text import letters_only_words
 from ..session import stage
-from .classify import sentence_rows
+from .classify import sentence_rows, weigh_words
 
 #: A word counts if its log odds are so many standard errors away from even.
 SIGNIFICANT = 3.0
@@ -47,13 +47,12 @@ def score_with_weights(sentences: DataFrame, weights: DataFrame, id_column: str)
     """Label and confidence of sentence rows (id, pos, sentence) by a table of ``learn_weights``.
 
     A sentence's score is the sum of the weights of its words, each occurrence counted; the label is its sign, the confidence the
-    hyperbolic tangent of half its size: 0 for even odds, towards 1. A score of zero is no label. Words are counted
-    within their sentence before they are joined.
+    hyperbolic tangent of half its size: 0 for even odds, towards 1. A score of zero is no label. Stage the weights, so that
+    their size decides how words meet them (``classify.weigh_words``).
     """
     words = sentences.select(id_column, "pos", F.explode(F.array_append(letters_only_words("sentence"), F.lit(ALWAYS))).alias("word"))
-    counted = words.groupBy(id_column, "pos", "word").agg(F.count("*").alias("times"))
     score = F.round(F.sum(F.col("weight") * F.col("times")), 9).alias("score")
-    summed = counted.join(weights, "word").groupBy(id_column, "pos").agg(score).where("score <> 0")
+    summed = weigh_words(words, weights, id_column).groupBy(id_column, "pos").agg(score).where("score <> 0")
     return summed.select(
         id_column,
         "pos",

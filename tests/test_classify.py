@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,27 @@ def test_formatted_rows_are_not_parsed_again(spark):
     df = spark.createDataFrame([(1, "20200102", True), (2, "20200102", False), (3, "2020-01-02 03:04:05", True), (4, "0", None)], "id int, datetime string, formatted boolean")
     got = {r.id: str(r.datetime) for r in enrich.format_datetimes(df).collect()}
     assert got == {1: "None", 2: "1970-08-22 19:08:22", 3: "2020-01-02 03:04:05", 4: "1970-01-01 00:00:00"}
+
+
+def test_words_and_texts_stay_where_they_lie(spark):
+    """A small lexicon meets words in their own task, and texts do not travel to their verdicts; a large one gives the same."""
+    docs = spark.createDataFrame([(1, "Good good day. Bad."), (2, "bad bad good."), (3, ""), (4, None), (5, "Neither.")], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("good", 1), ("bad", -1)], "word string, weight int")
+
+    def verdicts():
+        scored = classify.score_with_lexicon_table(classify.sentence_rows(docs, "doc_id"), lexicon, "doc_id")
+        return classify.apply_verdicts(docs, classify.text_verdicts(scored, "doc_id"), "doc_id").drop("text")
+
+    found = verdicts()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*word", physical)
+    assert not re.search(r"Project \[[^\n]*(?<!\()text#\d+[,\]]", plan)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = sorted(verdicts().collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert sorted(found.collect()) == large
+    assert [(r["doc_id"], r["label"]) for r in large] == [(1, "POSITIVE"), (2, "NEGATIVE"), (3, None), (4, None), (5, "NEUTRAL")]

@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from mediaseries.session import stage
 from mediaseries.operators import articles, classify, learned
 from mediaseries.plans import views
 
@@ -125,3 +126,12 @@ def test_bodies_of_pages_leave_menus_and_footers_out(spark):
         ads += r["all"].split("\n\n")[0] not in r["text"]
         kept += len(r["text"]) / len(r["all"])
     assert kept / len(both) > 0.9 and ads > 0.5 * len(both)
+
+
+def test_words_stay_where_small_weights_meet_them(spark):
+    rows = spark.createDataFrame([(1, 0, "a a b"), (2, 0, "c"), (2, 1, "b c")], "doc_id long, pos int, sentence string")
+    weights = stage(spark.createDataFrame([("a", 1.5), ("b", -1.0), ("", 0.25)], "word string, weight double"), "weights")
+    found = learned.score_with_weights(rows, weights, "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["pos"], r["label"]) for r in found.collect()) == [(1, 0, "POSITIVE"), (2, 0, "POSITIVE"), (2, 1, "NEGATIVE")]
+    assert "word#" not in "".join(x for x in plan.split("\n") if "hashpartitioning" in x)
