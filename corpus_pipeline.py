@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     number = F.when(own, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 62)) + (1 << 62))
     numbered = docs.join(several, F.col("doc_id") == F.col("__id"), "left").select(*COLUMNS, number.alias(row))
     found = stage(near_duplicates(numbered, row), "near-duplicates")
-    dropped = found.where("id <> class_id").select("id").distinct()
+    dropped = stage(found.where("id <> class_id").select("id").distinct(), "dropped")  # its true size tells whether texts have to move
     left = numbered.join(dropped, F.col(row) == F.col("id"), "left_anti")
     again = stage(found.where("id = class_id").groupBy("id").count().where("count > 1").select("id"), "repeated-rows")
     if again.isEmpty():
