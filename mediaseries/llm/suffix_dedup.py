@@ -20,20 +20,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import mix, pack, slices, text_buffer, unpack
+from .words import give_back, mix, pack, slices, text_buffer, unpack
 
 #: Bytes of a string that must not occur again, and of the grams that choose anchors.
 LENGTH = 100
 GRAM = 24
-PIECE = 1 << 20
-#: Anchors, and suffixes with their bytes, that a task holds at a time.
+#: Bytes whose grams are hashed at a time; about a hundred bytes of memory each.
+PIECE = 1 << 18
+#: Anchors, and suffixes with their bytes, that a task holds at a time. Suffixes of longer strings are fewer, of the same size.
 HELD_ANCHORS = 1_500_000
 HELD_SUFFIXES = 150_000
+#: Suffixes whose bytes, or rows of a matrix, are copied at a time.
+BLOCK = 20_000
 SAMPLE_TEXTS = 2000
 SAMPLE_ANCHORS = 32
 SMALL = 256
 #: Documents whose anchors or suffixes meet in one group, on average; there are at least as many groups as shuffle partitions.
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 5_000
 #: The span of an anchor that only stands for its hash; strings are shorter than this by far.
 STAND_IN = (1 << 16) - 1
 LONGEST = 1 << 14
@@ -121,7 +124,7 @@ def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
     width = -(-length // 8)
     padded = np.zeros((n, width * 8), np.uint8)
     padded[:, :length] = rows
-    words = padded.view(">u8").astype(np.uint64)
+    words = padded.view(">u8")
     out, filled, stack = np.empty(n, np.int64), 0, [(np.arange(n), 0)]
     while stack:
         part, depth = stack.pop()
@@ -133,7 +136,7 @@ def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
             out[filled : filled + len(part)] = part[np.argsort(text, kind="stable")]
             filled += len(part)
         else:
-            word = words[part, depth]
+            word = words[part, depth].astype(np.uint64)
             pivot = np.sort(word[[0, len(word) // 4, len(word) // 2, 3 * len(word) // 4, -1]])[2]
             less, more = word < pivot, word > pivot
             stack += [(part[more], depth), (part[~less & ~more], depth + 1), (part[less], depth)]
@@ -143,10 +146,10 @@ def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
 def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     """How many leading bytes each string in order shares with the one before it; 0 for the first."""
     out = np.zeros(len(order), np.int16)
-    for low in range(1, len(order), 100_000):
-        here, before = rows[order[low : low + 100_000]], rows[order[low - 1 : low - 1 + len(order[low : low + 100_000])]]
-        same = here == before
-        out[low : low + 100_000] = np.where(same.all(1), rows.shape[1], np.argmin(same, 1))
+    for low in range(1, len(order), BLOCK):
+        high = min(low + BLOCK, len(order))
+        same = rows[order[low:high]] == rows[order[low - 1 : high - 1]]
+        out[low:high] = np.where(same.all(1), rows.shape[1], np.argmin(same, 1))
     return out
 
 
@@ -160,11 +163,10 @@ def repeated(ids, hashes, places, nearest, furthest, around, length: int = LENGT
     repeats = np.zeros((n, reach + 1), bool)
     if n < 2:
         return repeats
-    turn = np.lexsort((places, hashes, ids))
-    ids, hashes, places, nearest, furthest, around = (x[turn] for x in (ids, hashes, places, nearest, furthest, around))
-    same = (ids[1:] == ids[:-1]) & (hashes[1:] == hashes[:-1]) & (places[1:] == places[:-1])
-    rank = np.concatenate([[0], np.cumsum(~same)])
-    behind, before = around[:, reach:], np.ascontiguousarray(around[:, :reach][:, ::-1])
+    turn, rank = np.lexsort((places, hashes, ids)), np.zeros(n, np.int64)
+    same = np.logical_and.reduce([x[turn[1:]] == x[turn[:-1]] for x in (ids, hashes, places)])
+    rank[turn[1:]] = np.cumsum(~same)
+    behind, before = around[:, reach:], around[:, :reach][:, ::-1]
     by_behind, by_before = multikey_quicksort(behind), multikey_quicksort(before)
     behind_common, before_common = common_prefixes(behind, by_behind), common_prefixes(before, by_before)
     group_behind, group_before = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -176,20 +178,21 @@ def repeated(ids, hashes, places, nearest, furthest, around, length: int = LENGT
         group_before[by_before] = np.cumsum(before_common < back)
         string = group_behind[some] * (n + 1) + group_before[some]
         by_string = np.argsort(string, kind="stable")
-        sorted_strings = string[by_string]
+        sorted_strings, ranks = string[by_string], rank[some[by_string]]
         first = np.concatenate([[True], sorted_strings[1:] != sorted_strings[:-1]])
-        earliest = rank[some[by_string[first]]][np.cumsum(first) - 1]
-        repeats[some[by_string], back] = rank[some[by_string]] > earliest
-    out = np.empty_like(repeats)
-    out[turn] = repeats
-    return out
+        earliest = np.minimum.reduceat(ranks, np.flatnonzero(first))[np.cumsum(first) - 1]
+        repeats[some[by_string], back] = ranks > earliest
+    return repeats
 
 
 def spans_of(ids, hashes, places, repeats: np.ndarray) -> np.ndarray:
     """Repeats as runs of beginnings, merged where they touch."""
-    edge = np.diff(np.pad(repeats, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    suffix, low = np.nonzero(edge == 1)
-    _, high = np.nonzero(edge == -1)
+    found = []
+    for begin in range(0, max(1, len(repeats)), BLOCK):
+        edge = np.diff(np.pad(repeats[begin : begin + BLOCK], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        suffix, low = np.nonzero(edge == 1)
+        found.append((suffix + begin, low, np.nonzero(edge == -1)[1]))
+    suffix, low, high = (np.concatenate(x) for x in zip(*found))
     spans = np.empty(len(suffix), _SPAN)
     spans["id"], spans["hash"] = ids[suffix], hashes[suffix]
     spans["first"], spans["last"] = places[suffix] - high + 1, places[suffix] - low
@@ -225,13 +228,14 @@ def _send_anchors(buckets: int, length: int, gram: int):
     they travel as known ones, dealt by text, and one of them stands for their hash."""
 
     def rows(ids, hashes, marks):
-        key, count = marks["key"], None
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        often = count[inverse] > 1
-        known, alone = marks[often], marks[~often]
+        _, inverse, count = np.unique(marks["key"], return_inverse=True, return_counts=True)
+        often = (count > 1)[inverse]
+        del inverse, count
+        known = marks[often]
         one = known[np.unique(known["key"], return_index=True)[1]].copy()
         one["span"] = STAND_IN  # a stand-in: it makes its hash a repeated one and is no candidate itself
-        sent = np.concatenate([alone, one])
+        sent = np.concatenate([marks[~often], one])
+        del marks, often
         parts = [(0, sent, sent["key"] % np.uint64(buckets)), (1, known, bucket_of(ids[known["text"]], hashes[known["text"]], buckets))]
         for kind, some, bucket in parts:
             bucket = bucket.astype(np.int64)
@@ -247,9 +251,14 @@ def _send_anchors(buckets: int, length: int, gram: int):
     def send(batches):
         ids, hashes, marks, held, base = [], [], [], 0, 0
 
+        def taken(parts):
+            whole = np.concatenate(parts)
+            parts.clear()
+            return whole
+
         def flush():
             if held:
-                out = list(rows(np.concatenate(ids), np.concatenate(hashes), np.concatenate(marks)))
+                out = list(rows(taken(ids), taken(hashes), taken(marks)))
                 yield pa.record_batch(
                     [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                     ["bucket", "kind", "ids", "hashes", "marks"],
@@ -268,8 +277,9 @@ def _send_anchors(buckets: int, length: int, gram: int):
             held += len(mark)
             if held > HELD_ANCHORS:
                 yield from flush()
-                ids, hashes, marks, held, base = [], [], [], 0, 0
+                held, base = 0, 0
         yield from flush()
+        give_back()
 
     return send
 
@@ -278,6 +288,7 @@ def _find_candidates(buckets: int):
     """Anchors of one bucket whose hash occurs twice, packed by the bucket of their text."""
 
     def find(table: pa.Table) -> pa.Table:
+        give_back()
         ids, hashes, marks, kinds, base = [], [], [], [], 0
         for row in table.select(["kind", "ids", "hashes", "marks"]).to_pylist():
             mark = unpack(row["marks"], _MARK)
@@ -333,15 +344,19 @@ def _send_suffixes(splitters: list[bytes], length: int, gram: int):
     """Suffixes of a task's candidates by bucket of their leading bytes, without those that repeat inside the task;
     the repeats found here travel along as spans."""
     reach = length - gram
+    limit = max(1, min(HELD_SUFFIXES, HELD_SUFFIXES * (2 * LENGTH - GRAM) // (reach + length)))
     edges = np.array(splitters or [b""], f"S{gram}")
 
     def rows(ids, hashes, places, nearest, furthest, around):
         repeats = repeated(ids, hashes, places, nearest, furthest, around, length)
         spans = spans_of(ids, hashes, places, repeats)
         back = np.arange(reach + 1)
-        left = ~repeats & (nearest[:, None] <= back) & (back <= furthest[:, None])
+        left = np.logical_not(repeats, out=repeats)
+        left &= nearest[:, None] <= back
+        left &= back <= furthest[:, None]
         some = np.flatnonzero(left.any(1))
-        low, high = np.argmax(left[some], 1), reach - np.argmax(left[some][:, ::-1], 1)
+        left = left[some]
+        low, high = np.argmax(left, 1), reach - np.argmax(left[:, ::-1], 1)
         lead = np.ascontiguousarray(around[some, reach : reach + gram]).view(f"S{gram}").ravel()
         bucket = np.searchsorted(edges, lead, "right") if splitters else np.zeros(len(some), np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -354,33 +369,38 @@ def _send_suffixes(splitters: list[bytes], length: int, gram: int):
 
     def send(batches):
         held: list[list[np.ndarray]] = []
+        around, size = np.empty((limit, reach + length), np.uint8), 0
 
         def flush():
             if held:
-                out = list(rows(*(np.concatenate(x) for x in zip(*held))))
+                out = list(rows(*(np.concatenate(x) for x in zip(*held)), around[:size]))
                 yield pa.record_batch(
                     [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                     ["bucket", "places", "around", "spans"],
                 )
 
-        size = 0
         for batch in slices(batches):
             data, at = text_buffer(_field(batch, "text"))
             data = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
+            windows = np.lib.stride_tricks.sliding_window_view(data, reach + length)
             ids, hashes = _numbers(_column(batch, "__id")), _numbers(_column(batch, "__hash"))
             marks = [np.frombuffer(x, _PLACE) for x in _column(batch, "marks").to_pylist()]
             text = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
             mark = np.concatenate(marks) if marks else np.zeros(0, _PLACE)
-            for low in range(0, len(mark), HELD_SUFFIXES):
-                t, m = text[low : low + HELD_SUFFIXES], mark[low : low + HELD_SUFFIXES]
+            low = 0
+            while low < len(mark):
+                high = min(low + BLOCK, low + limit - size)
+                t, m = text[low:high], mark[low:high]
                 place, back = m["place"].astype(np.int64), m["back"].astype(np.int64)
-                around = np.lib.stride_tricks.sliding_window_view(data, reach + length)[at[t] + place]
-                held.append([ids[t], hashes[t], place, back - m["span"].astype(np.int64), back, around])
-                size += len(t)
-                if size >= HELD_SUFFIXES:
+                around[size : size + len(t)] = windows[at[t] + place]
+                held.append([ids[t], hashes[t], place, back - m["span"].astype(np.int64), back])
+                low, size = high, size + len(t)
+                if size == limit:
                     yield from flush()
                     held, size = [], 0
         yield from flush()
+        del around
+        give_back()
 
     return send
 
@@ -390,15 +410,18 @@ def _compare_bucket(length: int, gram: int):
     reach = length - gram
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.select(["places", "around", "spans"]).to_pylist()
-        spans = [np.frombuffer(r["spans"], _SPAN) for r in rows if r["spans"] is not None]
-        sent = [r for r in rows if r["places"] is not None]
-        if sent:
-            columns = [np.frombuffer(r["places"], np.int64).reshape(5, -1) for r in sent]
+        give_back()
+        spans = [np.frombuffer(x, _SPAN) for x in table.column("spans").to_pylist() if x is not None]
+        columns = [np.frombuffer(x, np.int64).reshape(5, -1) for x in table.column("places").to_pylist() if x is not None]
+        if columns:
             ids, hashes, places, nearest, furthest = (np.concatenate([c[i] for c in columns]) for i in range(5))
-            sizes = [c.shape[1] * (reach + length) for c in columns]
-            bytes_of = [pa.decompress(r["around"], n, codec="zstd", asbytes=True) for r, n in zip(sent, sizes)]
-            around = np.frombuffer(b"".join(bytes_of), np.uint8).reshape(-1, reach + length)
+            around, at = np.empty((len(ids), reach + length), np.uint8), 0
+            for packed in table.column("around"):
+                if packed.is_valid:
+                    n = columns.pop(0).shape[1]
+                    data = pa.decompress(packed.as_buffer(), n * (reach + length), codec="zstd")
+                    around[at : at + n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+                    at += n
             spans.append(spans_of(ids, hashes, places, repeated(ids, hashes, places, nearest, furthest, around, length)))
         found = np.concatenate(spans) if spans else np.zeros(0, _SPAN)
         names = {"__id": "id", "__hash": "hash", "first": "first", "last": "last"}

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mediaseries.llm import suffix_dedup
@@ -105,3 +107,50 @@ def test_removal_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert repeat_report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def peak(work, *args):
+    """Bytes that ``work`` takes at most, beside its arguments."""
+    tracemalloc.start()
+    try:
+        work(*args)
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_beside_held_suffixes():
+    """Suffixes are compared without copies of the bytes around them, and hashes of a text lie there for one piece at a time."""
+    n, rng = 60_000, np.random.default_rng(3)
+    around = np.tile(rng.integers(97, 123, (n // 2, 176)).astype(np.uint8), (2, 1))
+    ids, back = np.arange(n), np.full(n, 76)
+    assert peak(suffix_dedup.repeated, ids, ids, ids, back - 20, back, around) < 2.2 * around.nbytes
+    data = rng.integers(97, 123, 1 << 22).astype(np.uint8)
+    assert peak(anchors, data, np.array([0, len(data)])) < 12 * len(data)
+
+
+@pytest.mark.parametrize("length, limit", [(100, 500), (400, 113)])
+def test_a_task_holds_no_more_suffixes_than_it_may(monkeypatch, length, limit):
+    """Whatever lies in a batch, and the fewer the longer their strings are; none is left out or compared twice."""
+    monkeypatch.setattr(suffix_dedup, "HELD_SUFFIXES", 500)
+    seen, compare = [], suffix_dedup.repeated
+
+    def watched(ids, hashes, places, nearest, furthest, around, length):
+        seen.append((len(ids), len(around), list(zip(ids.tolist(), places.tolist()))))
+        return compare(ids, hashes, places, nearest, furthest, around, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated", watched)
+    texts = ["".join(random.Random(k).choices("abcdefgh ", k=4000)) for k in range(8)]
+    marks, want = [], []
+    for k, text in enumerate(texts):
+        _, place, _, first, last = anchors(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), length)
+        mark = np.empty(len(place), suffix_dedup._PLACE)
+        mark["place"], mark["back"], mark["span"] = place, place - first, last - first
+        marks.append(mark.tobytes())
+        want += [(k, p) for p in place.tolist()]
+    rows = pa.array([{"text": t} for t in texts])
+    batch = pa.record_batch([pa.array(range(8), pa.int64()), pa.array(range(8), pa.int64()), rows, pa.array(marks, pa.binary())], ["__id", "__hash", "row", "marks"])
+    sent = list(suffix_dedup._send_suffixes([], length, 24)(batch.slice(k, 1) for k in range(8)))
+    assert [x for _, _, held in seen for x in held] == want and len(seen) > 1
+    assert all(n == m <= limit for n, m, _ in seen)
+    assert sum(len(x) for b in sent for x in b.column(1).to_pylist()) == 40 * len(want)
